@@ -14,7 +14,7 @@ Verified links are joined into classes by distributed connected components.
 
 Exact copies are one node before any bucket is formed. A bucket of up to
 `all_pairs` nodes gives all its pairs. In a larger one every node is paired with
-the bucket's first node, and the bucket is split again by each of the other bands,
+the bucket's first node, and the bucket is split again by each other large bucket,
 where the same rule holds; so no bucket, however hot, gives a number of pairs that
 grows with its square, and no member is dropped.
 
@@ -205,12 +205,10 @@ def candidates(nodes: DataFrame, how: Weighted) -> DataFrame:
     """Distinct candidate pairs of nodes (node, keys)."""
     members = stored(nodes.select("node", F.explode("keys").alias("key")), "bands")
     pairs, large = bucket_pairs(members, how)
-    again = (
-        large.join(nodes, "node")
-        .select("node", F.col("key").alias("outer"), F.explode("keys").alias("inner"))
-        .where("outer != inner")
-        .select("node", F.xxhash64("outer", "inner").alias("key"))
-    )
+    # a small bucket has given all its pairs, so only two large buckets that share members are split by each other
+    own = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("k")).where("size(k) > 1")  # at most `bands` keys
+    both = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
+    again = own.select("node", F.explode(both).alias("key"))
     return pairs.unionAll(bucket_pairs(again, how)[0]).distinct()
 
 
