@@ -208,7 +208,7 @@ def candidates(nodes: DataFrame, how: Weighted) -> DataFrame:
     # a small bucket has given all its pairs, so only two large buckets that share members are split by each other
     own = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("k")).where("size(k) > 1")  # at most `bands` keys
     both = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    again = own.select("node", F.explode(both).alias("key"))
+    again = stored(own.select("node", F.explode(both).alias("key")), "split")  # read three times below
     return pairs.unionAll(bucket_pairs(again, how)[0]).distinct()
 
 
