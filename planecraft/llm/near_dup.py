@@ -14,7 +14,7 @@ Verified links are joined into classes by distributed connected components.
 
 Exact copies are one node before any bucket is formed. A bucket of up to
 `all_pairs` nodes gives all its pairs. In a larger one every node is paired with
-the bucket's first node, and the bucket is split again by each other large bucket,
+one node, drawn by the bucket's hash, and the bucket is split again by each other large bucket,
 where the same rule holds; so no bucket, however hot, gives a number of pairs that
 grows with its square, and no member is dropped.
 
@@ -193,11 +193,12 @@ def signatures(docs: DataFrame, idf, how: Weighted) -> DataFrame:
 
 def bucket_pairs(members: DataFrame, how: Weighted) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of members (node, key); and the members of buckets beyond `all_pairs`."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("first")).where("n > 1")
     shared = members.join(sizes, "key")
     small, large = shared.where(f"n <= {how.all_pairs}"), shared.where(f"n > {how.all_pairs}")
     within = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    star = large.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    # buckets of the same members get different centres, so a node is held against many of its neighbours
+    star = large.where("node != first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
     return within.unionAll(star), large.select("node", "key")
 
 
