@@ -31,6 +31,22 @@ def otsu(hist: DataFrame, *keys: str) -> DataFrame:
     return scored.groupBy(*keys).agg(best).select(*keys, F.col("b.bin").alias("threshold_bin"), F.col("b.between").alias("between_variance"))
 
 
+def otsu2(hist: DataFrame, *keys: str) -> DataFrame:
+    """The two bins up to which the lower two of three classes reach: between-class variance is largest, the first pair of equal ones.
+
+    Pairs are made of a group's bins, at most bins**2 / 2 for each group, whatever the stack.
+    """
+    w = Window.partitionBy(*keys)
+    up = w.orderBy("bin")
+    sums = hist.select(*keys, "bin", F.sum("n").over(up).cast("double").alias("n"), F.sum(F.col("n") * F.col("bin")).over(up).cast("double").alias("s"), F.sum("n").over(w).cast("double").alias("nt"), F.sum(F.col("n") * F.col("bin")).over(w).cast("double").alias("st")).where("n < nt")
+    later = sums.select(*keys, F.col("bin").alias("bin2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    pairs = sums.join(later, list(keys)).where("bin < bin2")
+    # numbers of bins and pixels are whole, so every square below is exact
+    between = F.expr("(s * s / n + (s2 - s) * (s2 - s) / (n2 - n) + (st - s2) * (st - s2) / (nt - n2)) / nt - (st / nt) * (st / nt)")
+    best = F.max_by(F.struct("bin", "bin2", "v"), F.struct("v", -F.col("bin"), -F.col("bin2"))).alias("b")
+    return pairs.withColumn("v", F.round(between, 6)).groupBy(*keys).agg(best).select(*keys, F.col("b.bin").alias("threshold1_bin"), F.col("b.bin2").alias("threshold2_bin"), F.col("b.v").alias("between_variance"))
+
+
 def above(pixels: DataFrame, deviations: float, *keys: str) -> DataFrame:
     """Values strictly above mean + deviations x standard deviation of their group."""
     limit = pixels.groupBy(*keys).agg((F.avg("v") + deviations * F.stddev_pop("v")).alias("threshold"))

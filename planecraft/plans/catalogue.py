@@ -118,6 +118,18 @@ def otsu(spark, d):
     return histogram.otsu(histogram.histogram(pixels(spark, d), 64, "w"), "w")
 
 
+@query(
+    pixel_sql=_hist_sql(64)
+    + """, c AS (SELECT w, bin, CAST(sum(n) OVER u AS DOUBLE) AS n, CAST(sum(n * bin) OVER u AS DOUBLE) AS s, CAST(sum(n) OVER a AS DOUBLE) AS nt, CAST(sum(n * bin) OVER a AS DOUBLE) AS st FROM h
+      WINDOW u AS (PARTITION BY w ORDER BY bin), a AS (PARTITION BY w)),
+    p AS (SELECT x.w, x.bin, y.bin AS bin2, round((x.s * x.s / x.n + (y.s - x.s) * (y.s - x.s) / (y.n - x.n) + (x.st - y.s) * (x.st - y.s) / (x.nt - y.n)) / x.nt - (x.st / x.nt) * (x.st / x.nt), 6) AS v
+      FROM c x JOIN c y ON x.w = y.w AND x.bin < y.bin WHERE y.n < y.nt)
+    SELECT w, bin AS threshold1_bin, bin2 AS threshold2_bin, v AS between_variance FROM p QUALIFY row_number() OVER (PARTITION BY w ORDER BY v DESC, bin, bin2) = 1"""
+)
+def otsu2(spark, d):
+    return histogram.otsu2(histogram.histogram(pixels(spark, d), 64, "w"), "w")
+
+
 @query(pixel_sql=", t AS (SELECT w, avg(v) + 2 * stddev_pop(v) AS th FROM pixels GROUP BY w) SELECT w, round(any_value(th), 6) AS threshold, count(*) FILTER (v > th) AS n_above FROM pixels JOIN t USING (w) GROUP BY w")
 def threshold_basic(spark, d):
     return histogram.above(pixels(spark, d), 2.0, "w")
