@@ -14,9 +14,12 @@ Verified links are joined into classes by distributed connected components.
 
 Exact copies are one node before any bucket is formed. A bucket of up to
 `all_pairs` nodes gives all its pairs. In a larger one every node is paired with
-one node, drawn by the bucket's hash, and the bucket is split again by each other large bucket,
-where the same rule holds; so no bucket, however hot, gives a number of pairs that
-grows with its square, and no member is dropped.
+one node, drawn by the bucket's hash, so that pairs grow with the bucket and not
+with its square. A large bucket that is one class after that needs no more. In the
+others, the texts outside the bucket's largest class are held against all its texts
+in blocks of bounded size, and only links between classes leave a block: no link of
+two texts that share a band is lost. The work of that last step grows with (texts
+outside the largest class) x (texts of the bucket), in parallel tasks.
 
 Defined results: a text under five words is one shingle of all its words; a text
 without words, or null, is compared only as a copy of an equal text, null never.
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -49,13 +53,15 @@ CLASSES = "doc_id long, class_id long"
 
 @dataclass(frozen=True)
 class Weighted:
-    """Parameters: words in a shingle, samples, the similarity from which texts are linked, and the bucket size up to which all pairs are made."""
+    """Parameters: words in a shingle, samples, the similarity from which texts are linked, the bucket size up to which all pairs are made, and the size of a block of a larger bucket."""
 
     width: int = 5
     bands: int = 16
     rows: int = 4
     similarity: float = 0.8
     all_pairs: int = 24
+    block_bytes: int = 4 << 20
+    block_texts: int = 512
 
 
 def text_shingles(s, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +177,7 @@ def band_keys(samples: np.ndarray, how: Weighted) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, how: Weighted) -> DataFrame:
-    """(doc_id, copy, keys): a 128-bit digest of the text, and its band keys; rows without doc_id or text are left out."""
+    """(doc_id, copy, size, keys): a 128-bit digest of the text, its bytes, and its band keys; rows without doc_id or text are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -185,32 +191,22 @@ def signatures(docs: DataFrame, idf, how: Weighted) -> DataFrame:
                     a, b = edges[d], edges[d + 1]
                     keys.append(band_keys(signature(hashes[a:b], weights[a:b], how.bands * how.rows), how) if b > a else [])
             if batch.num_rows:
-                digests = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "copy": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                raw = [x.encode() for x in batch.column("text").to_pylist()]
+                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "copy": pa.array(digests, pa.binary()), "size": pa.array([len(x) for x in raw], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, copy binary, keys array<long>")
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, copy binary, size long, keys array<long>")
 
 
-def bucket_pairs(members: DataFrame, how: Weighted) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a < b, of members (node, key); and the members of buckets beyond `all_pairs`."""
+def candidates(members: DataFrame, how: Weighted) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b), a < b, of members (node, key, size); and the members of buckets beyond `all_pairs`."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("first")).where("n > 1")
-    shared = members.join(sizes, "key")
+    shared = stored(members.join(sizes, "key"), "shared")
     small, large = shared.where(f"n <= {how.all_pairs}"), shared.where(f"n > {how.all_pairs}")
     within = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    # buckets of the same members get different centres, so a node is held against many of its neighbours
+    # buckets of the same members get different centres, so a node is held against several of its neighbours
     star = large.where("node != first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
-    return within.unionAll(star), large.select("node", "key")
-
-
-def candidates(nodes: DataFrame, how: Weighted) -> DataFrame:
-    """Distinct candidate pairs of nodes (node, keys)."""
-    members = stored(nodes.select("node", F.explode("keys").alias("key")), "bands")
-    pairs, large = bucket_pairs(members, how)
-    # a small bucket has given all its pairs, so only two large buckets that share members are split by each other
-    own = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("k")).where("size(k) > 1")  # at most `bands` keys
-    both = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    again = stored(own.select("node", F.explode(both).alias("key")), "split")  # read three times below
-    return pairs.unionAll(bucket_pairs(again, how)[0]).distinct()
+    return within.unionAll(star).distinct(), large.select("node", "key", "size")
 
 
 def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -249,6 +245,106 @@ def verified(pairs: DataFrame, docs: DataFrame, idf, how: Weighted) -> DataFrame
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]], common: int = 32, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted and plain intersections of all pairs of sets of (hashes, weights).
+
+    Hashes held by few sets are counted pair by pair, the others by products of
+    matrices of presence, `columns` at a time. Weights of a hash are taken in layers:
+    the least of two weights is the sum of the layers that both reach.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    hashes, weights = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets]).astype(np.float64)
+    order = np.lexsort((-weights, hashes))
+    owner, hashes, weights = owner[order], hashes[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    held = np.diff(np.append(first, len(hashes)))
+    heavy, plain = np.zeros(n * n), np.zeros(n * n)
+    rare = np.repeat(held < common, held)
+    o, h, w = owner[rare], hashes[rare], weights[rare]
+    for step in range(1, min(common, len(o))):
+        at = np.flatnonzero(h[step:] == h[:-step])
+        if not len(at):
+            break
+        code = np.minimum(o[at], o[at + step]) * n + np.maximum(o[at], o[at + step])
+        plain += np.bincount(code, minlength=n * n)
+        heavy += np.bincount(code, weights=w[at + step], minlength=n * n)  # weights fall along a hash
+    heavy, plain = heavy.reshape(n, n), plain.reshape(n, n)
+    shared = np.flatnonzero(held >= common)
+    for a in range(0, len(shared), columns):
+        part = shared[a : a + columns]
+        column = np.repeat(np.arange(len(part)), held[part])
+        rows = np.concatenate([np.arange(first[i], first[i] + held[i]) for i in part])
+        present = np.zeros((n, len(part)), np.float32)
+        present[owner[rows], column] = 1
+        plain += np.triu(present @ present.T, 1)
+        left = weights[rows]
+        while len(rows):
+            held_by, column = np.unique(column, return_inverse=True)
+            layer = np.full(len(held_by), np.inf)
+            np.minimum.at(layer, column, left)
+            present = np.zeros((n, len(held_by)))
+            present[owner[rows], column] = np.sqrt(layer)[column]
+            heavy += np.triu(present @ present.T, 1)
+            left = left - layer[column]
+            more = left > 0
+            rows, column, left = rows[more], column[more], left[more]
+    return heavy, plain
+
+
+def links_between(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest, over roots, of the links between sets of different roots."""
+    full = [i for i, (h, _) in enumerate(sets) if len(h)]
+    sets, root = [sets[i] for i in full], root[full]
+    if len(sets) < 2:
+        return []
+    heavy, plain = overlaps(sets)
+    size, weight = np.array([len(h) for h, _ in sets]), np.array([w.sum(dtype=np.float64) for _, w in sets])
+    found = np.maximum(heavy / (weight[:, None] + weight[None, :] - heavy), plain / (size[:, None] + size[None, :] - plain))
+    a, b = np.nonzero(np.triu((found >= similarity - 1e-6) & (root[:, None] != root[None, :]), 1))
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x] = parent.get(parent[x], parent[x])
+        return x
+
+    links = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y and (found[i, j] >= similarity + 1e-6 or max(alike(sets[i], sets[j])) >= similarity):  # sums differ in their last digits
+            parent[max(x, y)] = min(x, y)
+            links.append((min(x, y), max(x, y)))
+    return links
+
+
+def missed_links(large: DataFrame, roots: DataFrame, docs: DataFrame, idf, how: Weighted) -> DataFrame:
+    """Links (a, b), a < b, between roots of texts that share a large bucket and are in different classes so far.
+
+    A bucket's largest class, and its other texts, are split by hash into blocks of about
+    `block_bytes` or `block_texts`; a task takes two blocks, of which at least one is of other texts.
+    """
+    known = stored(large.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "large")
+    by_class = known.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    top = by_class.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > top.n")
+    count = lambda size, n: F.greatest(F.ceil(size / how.block_bytes), F.ceil(n / how.block_texts), F.lit(1)).cast("long")
+    plan = top.select("key", F.col("top.root").alias("top"), count(F.col("size") - F.col("top.size"), F.col("n") - F.col("top.n")).alias("others"), count(F.col("top.size"), F.col("top.n")).alias("mains"))
+    block = F.when(F.col("root") == F.col("top"), F.col("others") + F.pmod(F.xxhash64("node", "key"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node", "key"), F.col("others")))
+    last = F.when(F.col("root") == F.col("top"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    # a task holds all pairs of its two blocks, so a block needs no task with itself
+    open_ = known.join(plan, "key").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("i != j")
+    tasks = stored(open_.select("key", "node", "root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")), "blocks")
+    ids = tasks.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.where("text is not null").select("doc_id", "text").join(small_or_shuffled(ids), "doc_id", "left_semi")
+    texts = texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+
+    def run(pdf):
+        sets = weighted_sets(pa.array(pdf["text"], pa.string()), idf.value, how.width)
+        return pd.DataFrame(links_between(sets, pdf["root"].to_numpy(), how.similarity), columns=["a", "b"], dtype="int64")
+
+    return tasks.join(texts, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component of links (a, b), a < b.
 
@@ -277,15 +373,18 @@ def classes(docs: DataFrame, how: Weighted = Weighted()) -> DataFrame:
     prepare(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(docs, how)))
     found = stored(signatures(docs, idf, how), "signatures")
-    nodes = stored(found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
-    pairs = stored(candidates(nodes.select("node", "keys"), how), "pairs")
-    links = verified(pairs, docs, idf, how)
+    nodes = stored(found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    pairs, large = candidates(nodes.select("node", "size", F.explode("keys").alias("key")), how)
+    links = verified(stored(pairs, "pairs"), docs, idf, how)
     # a document's rows with other texts, and its copies, are links as well
     same = found.select("doc_id", "copy").join(nodes.select("copy", "node"), "copy").select("doc_id", "node").distinct()
     same = stored(same, "members")
     repeated = same.where("doc_id != node").select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b"))
     extra = repeated.join(same.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), (F.col("a") == F.col("again")) | (F.col("b") == F.col("again")), "left_semi") if same.groupBy("doc_id").count().where("count > 1").limit(1).count() else None
     roots = components(links if extra is None else links.unionAll(extra))
+    missed = stored(missed_links(large, roots, docs, idf, how), "missed")
+    if missed.limit(1).count():
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(missed))
     known = same.groupBy("doc_id").agg(F.min("node").alias("node")).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     return docs.select("doc_id").join(known, "doc_id", "left").select(F.col("doc_id").cast("long"), F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"))
 

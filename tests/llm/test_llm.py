@@ -218,6 +218,40 @@ def test_near_duplicates(spark, docs, texts):
     assert near_dup.classes(empty(docs)).count() == 0
 
 
+def test_overlaps_of_all_pairs():
+    rng = np.random.default_rng(0)
+    pool = np.unique(rng.integers(1, 1 << 63, 300, dtype=np.uint64))
+    sets = []
+    for _ in range(60):
+        h = np.sort(rng.choice(pool, rng.integers(1, 200), replace=False))
+        sets.append((h, (rng.integers(1, 5, len(h)) * (1 + (h % np.uint64(97)) / 97)).astype(np.float32)))
+    heavy, plain = near_dup.overlaps(sets, common=12, columns=64)
+    for a in range(60):
+        for b in range(a + 1, 60):
+            _, x, y = np.intersect1d(sets[a][0], sets[b][0], return_indices=True)
+            assert plain[a, b] == len(x) and heavy[a, b] == pytest.approx(np.minimum(sets[a][1][x], sets[b][1][y]).sum(dtype=float))
+
+
+def test_large_buckets_lose_no_link(spark):
+    """A family near the threshold: many members are linked with few others, and to no common centre."""
+    rng, rows = np.random.default_rng(3), []
+    for d in range(150):
+        x = [f"w{i}" for i in range(120)]
+        for j in rng.choice(20, 4, replace=False) * 5:
+            x[j] = f"edit{j}"
+        rows.append((d, " ".join(x)))
+    sets = [{tuple(w[i : i + 5]) for i in range(116)} for w in (t.split() for _, t in rows)]
+    want = list(range(150))
+    for b in range(150):
+        for a in range(b):
+            if want[a] != want[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want = [min(want[a], want[b]) if c in (want[a], want[b]) else c for c in want]
+    assert len(set(want)) == 27
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in (near_dup.Weighted(), near_dup.Weighted(all_pairs=4, block_texts=16)):
+        assert dict(near_dup.classes(docs, how).collect()) == dict(enumerate(want))
+
+
 def test_weighted_samples_meet_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
