@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,14 @@ def radial_average(pixels: DataFrame, cy: float, cx: float, *keys: str) -> DataF
 def z_profile(pixels: DataFrame, y: tuple[int, int], x: tuple[int, int]) -> DataFrame:
     """Mean of a box for each z; the box is a filter below the aggregate."""
     return pixels.where(F.col("y").between(*y) & F.col("x").between(*x)).groupBy("w", "z").agg(F.round(F.avg("v"), 6).alias("v_mean"))
+
+
+def line_profile(planes: DataFrame, start: tuple[float, float], end: tuple[float, float]) -> DataFrame:
+    """Value of the nearest pixel at each unit step from `start` (y, x), short of `end`; null outside the plane."""
+    dy, dx = end[0] - start[0], end[1] - start[1]
+    length = (dy * dy + dx * dx) ** 0.5
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(max(math.ceil(length) - 1, 0)).cast("long"))
+    at = planes.select("z", "w", "ny", "nx", "data", F.explode(steps).alias("step"))
+    y, x = (F.floor(F.lit(float(a)) + F.col("step") * F.lit(d / (length or 1)) + 0.5) for a, d in ((start[0], dy), (start[1], dx)))
+    inside = y.between(0, F.col("ny") - 1) & x.between(0, F.col("nx") - 1)
+    return at.select("z", "w", "step", F.when(inside, F.get("data", (y * F.col("nx") + x).cast("int"))).alias("v"))

@@ -91,6 +91,14 @@ def z_profile(spark, d):
     return reduce.z_profile(pixels(spark, d), (2, 5), (2, 5))
 
 
+@query(
+    pixel_sql=""", s AS (SELECT step, CAST(floor(1 + step * (5 / sqrt(61.0)) + 0.5) AS BIGINT) AS y, CAST(floor(1 + step * (6 / sqrt(61.0)) + 0.5) AS BIGINT) AS x FROM (SELECT unnest(range(8)) AS step))
+    SELECT z, w, step, round(v, 6) AS v FROM s JOIN pixels USING (y, x)"""
+)
+def line_profile(spark, d):
+    return reduce.line_profile(sections(spark, d), (1, 1), (6, 7)).withColumn("v", F.round("v", 6))
+
+
 def _hist_sql(bins: int) -> str:
     return f""", l AS (SELECT w, min(v) AS lo, max(v) AS hi FROM pixels GROUP BY w),
     h AS (SELECT w, CAST(coalesce(floor((v - lo) / nullif((hi - lo) / {bins - 1}, 0)), 0) AS BIGINT) AS bin, count(*) AS n, round(sum(v), 6) AS weight, any_value(lo) AS lo, any_value(hi) AS hi
