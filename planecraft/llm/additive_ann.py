@@ -5,12 +5,16 @@ dimension. The codebooks are fitted one after the other on the residuals of a bo
 sample; every row is then encoded by beam search over all codebooks, with the inner
 products of centroids from a table. Stored with a code is the ratio of the vector's
 norm to its code's norm. A query is scored against codes by a lookup table of its
-inner products with all centroids, times that ratio; the best of each query are then
-reranked by the exact inner product in double precision.
+inner products with all centroids, times that ratio. What the code leaves over is coded
+a second time, a byte for each dimension, and the length of what is then still missing
+is stored: a query's inner product with a row can't be further from the score than that
+length. Every row that may by this bound be among the best is reranked by the exact
+inner product in double precision, so the result is that of a full search.
 
 The query set is scored against all rows in blocks: a block of queries meets every
-block of codes, its running best are kept, and only `shortlist` rows of each query and
-lane leave the task.
+block of codes, and of each query and lane those rows leave the task whose greatest
+possible score reaches the lane's (k + 1)th least possible one. Directions are coded;
+lengths are kept beside them.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a component
 that isn't finite take no part; a query meets candidates of its own dimension only.
@@ -31,12 +35,13 @@ from pyspark.sql import functions as F
 
 from planecraft.llm.jobs import prepare, stored
 
+CODED = ("code", "ratio", "rest", "step", "length", "error")
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class Additive:
-    """Codebooks and their size, the rows that they are fitted on, the beam, the result's size, and the blocks."""
+    """Codebooks and their size, the rows that they are fitted on, the beam, the result's size, the blocks, and the rows that a task holds."""
 
     books: int = 8
     size: int = 256
@@ -44,10 +49,10 @@ class Additive:
     rounds: int = 8
     beam: int = 8
     k: int = 20
-    shortlist: int = 100
     lanes: int = 4
     query_block: int = 128
     code_block: int = 4096
+    held: int = 1 << 20
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -57,6 +62,14 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & sound).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
 
 
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of rows, and their lengths."""
+    top = np.abs(x).max(1)
+    x = x / top[:, None]
+    length = np.sqrt((x * x).sum(1))
+    return x / length[:, None], length * top
+
+
 def fit(x: np.ndarray, how: Additive) -> np.ndarray:
     """Codebooks (books, size, dim) by k-means on residuals. Fewer vectors than centroids give as many centroids as vectors."""
     rng, rest, books = np.random.default_rng(7), x.astype(np.float32), []
@@ -97,6 +110,20 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
     return codes.astype(np.uint8), (np.sqrt((x * x).sum(1)) / np.maximum(np.sqrt((coded * coded).sum(1)), 1e-12)).astype(np.float32)
 
 
+def remainder(x: np.ndarray, codes: np.ndarray, ratios: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What codes times ratios leave of x: bytes (n, dim), their steps, and a bound of the error of a unit query's score in single precision."""
+    parts = books[np.arange(len(books)), codes].astype(np.float64)
+    ratio = ratios.astype(np.float64)
+    rest = x - parts.sum(1) * ratio[:, None]
+    steps = np.maximum(np.abs(rest).max(1) / 127, 1e-30).astype(np.float32)
+    small = np.clip(np.rint(rest / steps[:, None]), -127, 127).astype(np.int8)
+    second = small * steps[:, None].astype(np.float64)
+    missing = np.sqrt(((rest - second) ** 2).sum(1))
+    size = ratio * np.sqrt((parts * parts).sum(2)).sum(1) + np.sqrt((second * second).sum(1))
+    rounding = (x.shape[1] + len(books) + 8) * 2.0**-23 * size  # of sums of that many terms
+    return small, steps, (missing + rounding) * (1 + 1e-6)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A column of equally long lists as rows."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -115,57 +142,67 @@ def entries(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def codes(index: DataFrame, books: np.ndarray, how: Additive) -> DataFrame:
-    """(entry, code, ratio) of every entry."""
+    """(entry, code, ratio, rest, step, length, error) of every entry."""
     kept = index.sparkSession.sparkContext.broadcast(books)  # books x size x dim floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code, ratio = encode(matrix(batch.column("embedding")), kept.value, how.beam)
-                yield pa.RecordBatch.from_pydict({"entry": batch.column("entry"), "code": [c.tobytes() for c in code], "ratio": ratio})
+                x, length = unit(matrix(batch.column("embedding")))
+                code, ratio = encode(x, kept.value, how.beam)
+                rest, step, error = remainder(x, code, ratio, kept.value)
+                yield pa.RecordBatch.from_pydict({"entry": batch.column("entry"), "code": [c.tobytes() for c in code], "ratio": ratio, "rest": [r.tobytes() for r in rest], "step": step, "length": length, "error": error})
 
-    return index.mapInArrow(run, "entry long, code binary, ratio float")
+    return index.mapInArrow(run, "entry long, code binary, ratio float, rest binary, step float, length double, error double")
 
 
 def shortlists(queries: DataFrame, coded: DataFrame, books: np.ndarray, how: Additive) -> DataFrame:
-    """(query_id, entry): for every query and lane the entries with the highest scores by lookup table."""
+    """(query_id, entry): for every query and lane all entries that may be among the k + 1 with the highest inner products."""
     n_queries, n_codes = queries.count(), coded.count()
     query_blocks, code_blocks = -(-n_queries // how.query_block), -(-n_codes // how.code_block)
     q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, query_blocks))).alias("q")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("embedding").alias("vectors"))
-    c = coded.groupBy(F.pmod(F.xxhash64("entry"), F.lit(max(1, code_blocks))).alias("c")).agg(F.collect_list("entry").alias("entries"), F.collect_list("code").alias("codes"), F.collect_list("ratio").alias("ratios"))
+    c = coded.groupBy(F.pmod(F.xxhash64("entry"), F.lit(max(1, code_blocks))).alias("c")).agg(F.collect_list("entry").alias("entries"), *[F.collect_list(c).alias(f"{c}s") for c in CODED])
     pairs = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(1, query_blocks) - 1)).cast("array<long>"))).join(q, "q")
     pairs = pairs.withColumn("lane", F.col("c") % how.lanes).repartition("q", "lane").sortWithinPartitions("q", "lane", "c")
     kept = queries.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, now, best = kept.value, None, None
+        books, now = kept.value, None
+        query_ids = vectors = table = least = held = None
 
         def out() -> pa.RecordBatch:
-            ids, scores, found = best
-            real = scores > -np.inf
-            return pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, scores.shape[1])[real.ravel()], "entry": found[real]})
+            row, found, _ = held
+            return pa.RecordBatch.from_pydict({"query_id": query_ids[row], "entry": found})
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                values = lambda c: one.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 key = (one.column("q")[0].as_py(), one.column("lane")[0].as_py())
                 if key != now:
                     if now is not None:
                         yield out()
-                    query_ids = one.column("query_ids").flatten().to_numpy(zero_copy_only=False)
-                    vectors = matrix(one.column("vectors").flatten()).astype(np.float32)
+                    query_ids = values("query_ids")
+                    vectors = unit(matrix(one.column("vectors").flatten()))[0].astype(np.float32)
                     table = np.einsum("qd,bsd->bsq", vectors, books)  # a row of all queries for each centroid
-                    now, best = key, (query_ids, np.full((len(query_ids), how.shortlist), -np.inf, np.float32), np.zeros((len(query_ids), how.shortlist), np.int64))
-                code = np.frombuffer(b"".join(one.column("codes").flatten().to_pylist()), np.uint8).reshape(-1, len(books))
+                    now, least = key, np.full((len(query_ids), how.k + 1), -np.inf)
+                    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                code, rest = (np.frombuffer(b"".join(one.column(c).flatten().to_pylist()), t).reshape(-1, n) for c, t, n in (("codes", np.uint8, len(books)), ("rests", np.int8, vectors.shape[1])))
                 score = table[0][code[:, 0]]
                 for b in range(1, len(books)):
                     score += table[b][code[:, b]]
-                score = score.T * one.column("ratios").flatten().to_numpy(zero_copy_only=False)
-                ids = one.column("entries").flatten().to_numpy(zero_copy_only=False)
-                scores = np.concatenate((best[1], score), 1)
-                found = np.concatenate((best[2], np.broadcast_to(ids, score.shape)), 1)
-                at = np.argpartition(-scores, how.shortlist - 1, 1)[:, : how.shortlist]
-                best = (best[0], np.take_along_axis(scores, at, 1), np.take_along_axis(found, at, 1))
+                score = score.T * values("ratios") + (vectors @ rest.T.astype(np.float32)) * values("steps")
+                length, error = values("lengths"), values("errors")
+                high = (score + error) * length
+                least = np.concatenate((least, (score - error) * length), 1)
+                least = np.partition(least, least.shape[1] - how.k - 1, 1)[:, -how.k - 1 :]
+                bar = least.min(1)
+                row, column = np.nonzero(high >= bar[:, None])
+                still = held[2] >= bar[held[0]]
+                held = tuple(np.concatenate((old[still], new)) for old, new in zip(held, (row, values("entries")[column], high[row, column])))
+                if len(held[0]) > how.held:  # rows that can't be told apart are reranked all
+                    yield out()
+                    held = tuple(x[:0] for x in held)
         if now is not None:
             yield out()
 
@@ -183,11 +220,11 @@ def search(vectors: DataFrame, is_query, how: Additive = Additive()) -> DataFram
         index, ids = entries(own, how.k)
         index = stored(index, "index")
         rows = index.orderBy(F.xxhash64("entry"), "entry").limit(how.sample).toArrow()  # the fit's bounded sample
-        books = fit(matrix(rows["embedding"]), how)
+        books = fit(unit(matrix(rows["embedding"]))[0], how)
         coded = stored(codes(index, books, how), "codes")
         queries = own.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
         short = shortlists(queries, coded, books, how)
-        # the query's own entry may be left off the shortlist by better ones; its copies are found with it
+        # the query's own entry may be left off by better ones; its copies are found with it
         exact = short.join(index.withColumnRenamed("embedding", "v"), "entry").join(queries.withColumnRenamed("embedding", "q"), "query_id")
         score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         scored = exact.select("query_id", "entry", score.alias("score"))
