@@ -10,7 +10,11 @@ is taken as it is: two copies of an article on one host are no boilerplate.
 
 Pages are dealt by host; hosts with many pages are split into shards by the hash of
 page_id, and a shard is handled in blocks of `block` pages, which bounds memory.
-Pages with the same token stream count as one page.
+What repeats between blocks is found before that, by hash: all runs of `run` tokens
+have as anchor the least hash of the shorter runs in them, equal runs have equal
+anchors, and only runs whose anchor stands on several pages of the host are counted
+themselves. A shard gets those of its runs that repeat on the host, so how pages are
+dealt doesn't change a text. Pages with the same token stream count as one page.
 
 Defined results: null html is empty, with an empty text; a null or odd url is a host
 of its own; repeated rows give a row each; an empty table gives an empty result; other
@@ -20,6 +24,7 @@ one space.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -30,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planecraft.llm.jobs import prepare
+from planecraft.llm.jobs import prepare, small_or_shuffled, stored
+from planecraft.llm.text_arrays import mix, slices
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 FURNITURE, MAIN, OTHER = 0, 1, 2
@@ -145,8 +151,59 @@ def covered(streams: list[np.ndarray], run: int) -> list[np.ndarray]:
     return [hit[e - n : e] for e, n in zip(ends, sizes)]
 
 
-def extract(pages: list[str | None], how: Hosts) -> list[str]:
-    """Main texts of some pages of one host."""
+def run_keys(streams: list[str], hosts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of `run` tokens, page by page: the page, the anchor, and the run's own hash; the last two hold the host's number."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    part = max(1, run // 2)
+    for a, _, s in slices(pa.array(streams, pa.large_string())):
+        page = np.repeat(np.arange(s.n), s.n_words())
+        n = len(page) - run + 1
+        if n <= 0:
+            continue
+        inside = page[:n] == page[run - 1 :]
+        short = s.hashes(s.starts[: len(page) - part + 1], s.ends[part - 1 :])
+        anchor = short[:n].copy()
+        for j in range(1, run - part + 1):
+            np.minimum(anchor, short[j : j + n], out=anchor)
+        page = page[:n][inside]
+        host = mix(hosts[a + page].astype(np.int64).view(np.uint64))
+        found.append((a + page, mix(anchor[inside] ^ host).view(np.int64), mix(s.hashes(s.starts[:n], s.ends[run - 1 :])[inside] + host).view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def anchored(rows: DataFrame, how: Hosts) -> DataFrame:
+    """(host, shard, stream, anchor, runs): each page's different anchors, with the runs that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [" ".join(text for _, text in blocks(p)) for p in batch.column("html").to_pylist()]
+            page, anchor, runs = run_keys(texts, batch.column("number").to_numpy(), how.run)
+            if not len(page):
+                continue
+            order = np.lexsort((anchor, page))
+            page, anchor, runs = page[order], anchor[order], runs[order]
+            first = np.flatnonzero(np.concatenate(([True], (page[1:] != page[:-1]) | (anchor[1:] != anchor[:-1]))))
+            stream = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t in texts])
+            at = pa.array(page[first])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(page)), pa.int32()), pa.array(runs))
+            yield pa.RecordBatch.from_pydict({"host": batch.column("host").take(at), "shard": batch.column("shard").take(at), "stream": stream[page[first]], "anchor": anchor[first], "runs": lists})
+
+    return rows.select("host", "shard", "number", "html").mapInArrow(run, "host string, shard long, stream long, anchor long, runs array<long>")
+
+
+def host_runs(rows: DataFrame, how: Hosts) -> DataFrame:
+    """(host, shard, run): the runs of each shard that pages of the host with different streams hold."""
+    several = lambda df, key: df.groupBy(key).agg(F.min("stream").alias("one"), F.max("stream").alias("two")).where("one != two").select(key)
+    found = anchored(rows, how)
+    anchors = stored(several(found.select("anchor", "stream"), "anchor"), "anchors")
+    likely = found.join(small_or_shuffled(anchors), "anchor", "left_semi").select("host", "shard", "stream", F.explode("runs").alias("run"))
+    likely = stored(likely, "runs")
+    repeated = stored(several(likely.select("run", "stream"), "run"), "repeated")
+    return likely.select("host", "shard", "run").distinct().join(small_or_shuffled(repeated), "run", "left_semi")
+
+
+def extract(pages: list[str | None], how: Hosts, number: int = 0, repeated: np.ndarray = np.zeros(0, np.int64)) -> list[str]:
+    """Main texts of some pages of one host; `repeated` has the keys, in order, of runs that other pages of the host hold too."""
     parsed = [blocks(p) for p in pages]
     words = [[w for _, text in b for w in text.split(" ")] for b in parsed]
     numbers: dict[str, int] = {}
@@ -155,6 +212,13 @@ def extract(pages: list[str | None], how: Hosts) -> list[str]:
     stands_for = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]
     different = sorted(set(stands_for))
     hits = dict(zip(different, covered([streams[i] for i in different], how.run)))
+    if len(repeated):
+        page, _, runs = run_keys([" ".join(words[i]) for i in different], np.full(len(different), number), how.run)
+        known = repeated[np.minimum(np.searchsorted(repeated, runs), len(repeated) - 1)] == runs
+        begins = np.searchsorted(page, np.arange(len(different) + 1))
+        for j, i in enumerate(different):
+            for at in np.flatnonzero(known[begins[j] : begins[j + 1]]):
+                hits[i][at : at + how.run] = True
     out = []
     for i, b in enumerate(parsed):
         if any(zone == MAIN for zone, _ in b):
@@ -181,24 +245,40 @@ def main_texts(pages: DataFrame, how: Hosts = Hosts()) -> DataFrame:
     large = hosts.where(F.col("count") > least).select("host", (F.col("count") / how.block).cast("long").alias("shards"))  # at most split_hosts rows
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(F.broadcast(large), "host", "left")
     shard = F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("shards") + 1), F.lit(0))
-    rows = rows.withColumn("shard", shard).repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id")
+    rows = rows.withColumn("shard", shard.cast("long")).withColumn("number", F.xxhash64("host"))
+    # a host that fits into a block needs no search beyond it; beyond `split_hosts` such hosts aren't told apart
+    wide = rows if least > how.block else rows.where("shards is not null")
+    rows = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "shard", "number", F.lit(None).cast("long").alias("run"))
+    if least > how.block or large.limit(1).count():
+        null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+        runs = host_runs(wide, how).select(null("page_id", "long"), null("url", "string"), null("html", "string"), "host", "shard", F.xxhash64("host").alias("number"), "run")
+        rows = rows.unionAll(runs)
+    rows = rows.repartition("host", "shard").sortWithinPartitions("host", "shard", F.col("run").isNull(), "run", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        runs: list[int] = []
+        repeated = np.zeros(0, np.int64)
 
         def done() -> pa.RecordBatch:
-            texts = extract([r[2] for r in held], how)
+            texts = extract([r[2] for r in held], how, held[0][3], repeated)
             return pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in held], pa.int64()), "url": pa.array([r[1] for r in held], pa.string()), "text": texts, "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
         now = None
         for batch in batches:
-            for *row, h, s in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "shard"))):
+            for *row, h, s, known in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "number", "host", "shard", "run"))):
                 if held and ((h, s) != now or len(held) >= how.block):
                     yield done()
                     held.clear()
-                now = (h, s)
+                if (h, s) != now:
+                    runs, repeated, now = [], np.zeros(0, np.int64), (h, s)
+                if known is not None:
+                    runs.append(known)
+                    continue
+                if len(runs) != len(repeated):
+                    repeated = np.array(runs, np.int64)  # they come first, in order
                 held.append(tuple(row))
         if held:
             yield done()
 
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "shard").mapInArrow(run, EXTRACTED)
+    return rows.mapInArrow(run, EXTRACTED)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from planecraft.llm import additive_ann
+from planecraft.llm import additive_ann, main_text
 
 
 def test_ann_finds_all_neighbours_outside_the_fit_sample(spark, tmp_path):
@@ -25,3 +25,15 @@ def test_ann_finds_all_neighbours_outside_the_fit_sample(spark, tmp_path):
         hits += len(set(np.argsort(-score)[:20].tolist()) & got[q])
     print("recall", hits / (20 * n / 400))
     assert hits == 20 * n / 400
+
+
+def test_main_text_sees_repeats_over_the_whole_host(spark):
+    """A notice on 6 of 300 pages goes, however the host's pages are dealt; the same words on another host stay."""
+    notice = " ".join(f"notice{i}" for i in range(25))
+    story = lambda i: " ".join(f"p{i}w{j}" for j in range(30))
+    rows = [(i, f"http://big.org/{i}", f"<div>{notice if i % 50 == 0 else ''}</div><p>{story(i)}</p>") for i in range(300)]
+    rows += [(1000, "http://big.org/1000", rows[7][2]), (1001, "http://small.org/", f"<div>{notice}</div>")]  # equal pages count as one
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: story(i) for i in range(300)} | {1000: story(7), 1001: notice}
+    for how in (main_text.Hosts(block=16), main_text.Hosts(block=16, split_hosts=2), main_text.Hosts()):
+        assert {r.page_id: r.text for r in main_text.main_texts(pages, how).collect()} == want
