@@ -43,11 +43,16 @@ def in_nanometres(params: DataFrame, pixel: tuple[float, float, float], half: tu
 
 
 def matched(targets: DataFrame, params: DataFrame, reference: float) -> DataFrame:
-    """Parameters of each target wavelength by its rounded value; a wavelength without any takes the reference's."""
-    own = params.select(F.round("wave").cast("int").alias("k"), *NAMES)
-    ref = own.where(F.col("k") == int(round(reference))).select(*[F.col(c).alias(f"ref_{c}") for c in NAMES]).limit(1)
-    found = targets.withColumn("k", F.round("wave").cast("int")).join(own, "k", "left").join(F.broadcast(ref))  # one row
-    return found.select("target", "wave", *[F.coalesce(c, f"ref_{c}").alias(c) for c in NAMES])
+    """Parameters of each target wavelength in every frame, by its rounded value; a wavelength without any takes the frame's reference.
+
+    Of channels of one wavelength the first counts. The targets are a row for each channel.
+    """
+    first = F.min_by(F.struct(*NAMES), "w").alias("p")
+    own = params.groupBy("t", F.round("wave").cast("int").alias("k")).agg(first)
+    ref = own.where(F.col("k") == int(round(reference))).select("t", F.col("p").alias("ref"))
+    wanted = params.select("t").distinct().join(F.broadcast(targets.withColumn("k", F.round("wave").cast("int"))))
+    found = wanted.join(own, ["t", "k"], "left").join(ref, "t", "left")
+    return found.select("t", "target", "wave", *[F.coalesce(f"p.{c}", f"ref.{c}").alias(c) for c in NAMES])
 
 
 def crop_box(params: DataFrame, ny: int, nx: int) -> DataFrame:

@@ -233,7 +233,7 @@ def _values(rows) -> str:
 )
 def wave_matched_params(spark, d):
     own = parameters(spark, d).where("t = 0").join(F.broadcast(spark.createDataFrame(PARAM_WAVES, "w long, wave double")), "w")  # a row for each channel
-    return params.matched(spark.createDataFrame(WAVES, "target int, wave double"), own, 488.0)
+    return params.matched(spark.createDataFrame(WAVES, "target int, wave double"), own, 488.0).drop("t")  # of frame 0 only, as its SQL
 
 
 @query(f"WITH {PARAMS_SQL} SELECT t, CAST(max(ceil(greatest(ty, 0))) AS BIGINT) AS y0, CAST(min(floor(512 + least(ty, 0))) AS BIGINT) AS y1, CAST(max(ceil(greatest(tx, 0))) AS BIGINT) AS x0, CAST(min(floor(512 + least(tx, 0))) AS BIGINT) AS x1 FROM params GROUP BY t")

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from planecraft.llm import additive_ann, main_text
+from planecraft.operators import params
 
 
 def test_ann_finds_all_neighbours_outside_the_fit_sample(spark, tmp_path):
@@ -37,3 +38,11 @@ def test_main_text_sees_repeats_over_the_whole_host(spark):
     want = {i: story(i) for i in range(300)} | {1000: story(7), 1001: notice}
     for how in (main_text.Hosts(block=16), main_text.Hosts(block=16, split_hosts=2), main_text.Hosts()):
         assert {r.page_id: r.text for r in main_text.main_texts(pages, how).collect()} == want
+
+
+def test_wavelengths_are_matched_in_every_frame(spark):
+    rows = [(t, w, wave, *[100.0 * t + w] * 7) for t in range(3) for w, wave in ((0, 488.0), (1, 560.9))]
+    own = spark.createDataFrame(rows, ["t", "w", "wave", *params.NAMES])
+    targets = spark.createDataFrame([(0, 561.0), (1, 488.4), (2, 700.0)], "target int, wave double")
+    got = sorted((r.t, r.target, r.tz, r.mx) for r in params.matched(targets, own, 488.0).collect())
+    assert got == [(t, i, 100.0 * t + w, 100.0 * t + w) for t in range(3) for i, w in enumerate((1, 0, 0))]
