@@ -1,12 +1,18 @@
-"""Reductions over stacks. All are partial aggregates: only one row for each group and task is shuffled."""
+"""Reductions over stacks. All are partial aggregates: only one row for each group and task is shuffled.
+
+Quantiles are exact, by counts: a row for each group, task and bin is shuffled, and the
+different values of the last bin.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planecraft.llm.jobs import stored
+
 
 def mmms(pixels: DataFrame, *keys: str) -> DataFrame:
     """Minimum, maximum, mean and population standard deviation."""
@@ -21,15 +27,57 @@ def section_mmms(sections: DataFrame) -> DataFrame:
     return sections.where(n > 0).select("z", "w", F.array_min("data").alias("v_min"), F.array_max("data").alias("v_max"), F.round(mean, 6).alias("v_mean"), F.round(F.sqrt(spread), 6).alias("v_std"))
 
 
+def _narrowed(values: DataFrame, wanted: DataFrame, keys: list[str], bins: int) -> tuple[DataFrame, DataFrame]:
+    """The values of the bins that hold the wanted ranks, as (keys, which, v), and (keys, which, rank) with the ranks inside them.
+
+    Bins are between approximate quantiles, which sets their size only: they are counted exactly.
+    """
+    by = [*keys, "which"]
+    edges = values.groupBy(*by).agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10 * bins).alias("edges"))
+    edges = stored(edges, "edges")  # stored, or each use would count all again
+    binned = values.join(edges, by).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("bin"))).join(wanted, by)
+    hit = upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    hit = hit.select(*by, "bin", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    hit = stored(hit, "ranks")
+    return binned.join(hit.drop("rank"), [*by, "bin"]).drop("bin"), hit.drop("bin")
+
+
+def ranked(pixels: DataFrame, ranks: dict[str, Column], *keys: str, bins: int = 256, rounds: int = 2) -> DataFrame:
+    """(keys, one column for each of `ranks`): the values of these ranks (from 0, columns over the group's count `n`) among the group's values."""
+    keyed = pixels.select(F.struct(*keys).alias("key"), "v")  # a struct is joined by its nulls too
+    known = keyed.where(F.col("v").isNotNull())
+    wanted = known.groupBy("key").agg(F.count("*").alias("n"))
+    wanted = wanted.select("key", F.explode(F.create_map(*[x for name, r in ranks.items() for x in (F.lit(name), r.cast("long"))])).alias("which", "rank"))
+    values = known.withColumn("which", F.explode(F.array(*map(F.lit, ranks))))
+    for _ in range(rounds):
+        values, wanted = _narrowed(values, wanted, ["key"], bins)
+    by = ["key", "which"]
+    counts = values.groupBy(*by, "v").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("v"))).join(wanted, by)
+    hit = upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    found = hit.groupBy("key").agg(*[F.max(F.when(F.col("which") == name, F.col("v"))).alias(name) for name in ranks])
+    return keyed.select("key").distinct().join(found, "key", "left").select("key.*", *ranks)
+
+
+def median(pixels: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Mean of the two middle values."""
+    middle = ranked(pixels, {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)}, *keys)
+    return middle.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias(name))
+
+
 def median_mad(pixels: DataFrame, *keys: str) -> DataFrame:
     """Median, and median absolute deviation from it."""
-    centre = pixels.groupBy(*keys).agg(F.median("v").alias("v_median"))
-    return pixels.join(centre, list(keys)).groupBy(*keys).agg(F.round(F.first("v_median"), 6).alias("v_median"), F.round(F.median(F.abs(F.col("v") - F.col("v_median"))), 6).alias("v_mad"))
+    centre = stored(median(pixels, "v_median", *keys), "medians")
+    apart = pixels.join(centre, list(keys)).select(*keys, F.abs(F.col("v") - F.col("v_median")).alias("v"))
+    both = centre.join(median(apart, "v_mad", *keys), list(keys))
+    return both.select(*keys, F.round("v_median", 6).alias("v_median"), F.round("v_mad", 6).alias("v_mad"))
 
 
 def percentile(pixels: DataFrame, share: float, *keys: str) -> DataFrame:
     """The least value that `share` of the values don't exceed."""
-    return pixels.groupBy(*keys).agg(F.expr(f"percentile_disc({share}) within group (order by v)").alias("v_top"))
+    return ranked(pixels, {"v_top": F.greatest(F.ceil(F.col("n") * share) - 1, F.lit(0))}, *keys)
 
 
 def argmax(pixels: DataFrame, *keys: str) -> DataFrame:
