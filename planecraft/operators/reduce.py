@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planecraft.llm.jobs import stored
+from planecraft.plans.storage import stored
 
 
 def mmms(pixels: DataFrame, *keys: str) -> DataFrame:
