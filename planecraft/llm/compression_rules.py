@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from planecraft.llm.jobs import prepare
-from planecraft.llm.text_arrays import SYMBOL, Slice, mix, shingles, slices
+from planecraft.llm.text_arrays import SYMBOL, Slice, mix, ranks, shingles, slices
 
 ASSESSED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
@@ -61,8 +61,8 @@ def distinct_lines(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     text = np.searchsorted(s.bounds, starts, "right") - 1
     has_word = np.searchsorted(s.starts, ends) > np.searchsorted(s.starts, starts)
     starts, ends, text = starts[has_word], ends[has_word], text[has_word]
-    key = mix(s.hashes(starts, ends) + mix(text.astype(np.uint64) + np.uint64(1)))
-    _, at = np.unique(key, return_index=True)
+    line = ranks(s.data, starts, ends, s.hashes(starts, ends))
+    _, at = np.unique(text * (len(line) + int(line.max(initial=0)) + 1) + line, return_index=True)
     return np.bincount(text, minlength=s.n), np.bincount(text[at], minlength=s.n)
 
 
@@ -70,11 +70,21 @@ def repeated_words(s: Slice, width: int = 5) -> np.ndarray:
     """Per text: words inside a window of `width` words that the text holds twice or more."""
     hashes, text, at = shingles(s.words(), s.first_word, width)
     key = mix(hashes + mix(text.astype(np.uint64) + np.uint64(1)))
-    ordered = np.sort(key)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(twice):
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    twice = np.zeros(len(key) + 1, bool)
+    twice[1:-1] = ordered[1:] == ordered[:-1]
+    maybe = np.sort(order[twice[:-1] | twice[1:]])  # few windows: whether they are the same is seen from their words
+    if not len(maybe):
         return np.zeros(s.n, np.int64)
-    places = at[np.isin(key, twice)]
+    words = np.unique(at[maybe][:, None] + np.arange(width))
+    number = np.zeros(len(s.starts), np.int64)
+    number[words] = ranks(s.data, s.starts[words], s.ends[words], s.hashes(s.starts[words], s.ends[words]))
+    rows = np.column_stack((text[maybe], number[at[maybe][:, None] + np.arange(width)]))
+    order = np.lexsort(rows.T[::-1])
+    new = np.concatenate(([True], (rows[order][1:] != rows[order][:-1]).any(1)))
+    group = np.cumsum(new) - 1
+    places = at[maybe[order[np.bincount(group)[group] > 1]]]
     edge = np.zeros(len(s.starts) + width + 1, np.int64)
     np.add.at(edge, places, 1)
     np.add.at(edge, places + width, -1)

@@ -23,7 +23,7 @@ import numpy as np  # noqa: E402
 import pyarrow as pa  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from planecraft.llm.text_arrays import SPACE, make_slice, spans, text_bytes  # noqa: E402
+from planecraft.llm.text_arrays import SPACE, make_slice, same_bytes, spans, text_bytes  # noqa: E402
 
 #: Slots of the table of units; it starts anew when three in five are taken.
 SLOT_BITS = 21
@@ -72,7 +72,10 @@ class Library:
 
 
 class UnitTable:
-    """Ids by a unit's 64-bit hash: open addressing over arrays, with all units of a slice probed together."""
+    """Ids by a unit's 64-bit hash: open addressing over arrays, with all units of a slice probed together.
+
+    The units' bytes are kept, and compared at each use: a unit that shares the hash of another is encoded by itself.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], slot_bits: int = SLOT_BITS):
         self.encode, self.size = encode, 1 << slot_bits
@@ -82,6 +85,8 @@ class UnitTable:
         self.keys, self.entry = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.n_ids, self.n = np.zeros(4096, np.uint32), 0, 0
+        self.at, self.size_of = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.bytes, self.n_bytes = np.zeros(4096, np.uint8), 0
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each hash its slot, or the free slot where it belongs, and whether it is there."""
@@ -96,13 +101,20 @@ class UnitTable:
             left = left[(held != hashes[left]) & (held != 0)]
         return slots, there
 
-    def add(self, hashes: np.ndarray, encoded: list[np.ndarray]) -> None:
-        counts = np.array([len(x) for x in encoded], np.int64)
-        total, n = self.n_ids + int(counts.sum()), self.n + len(encoded)
+    def add(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        encoded = self.encode(units)
+        counts, sizes = np.array([len(x) for x in encoded], np.int64), np.array([len(x) for x in units], np.int64)
+        total, n, held = self.n_ids + int(counts.sum()), self.n + len(encoded), self.n_bytes + int(sizes.sum())
         while total > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while held > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros_like(self.bytes)))
         while n > len(self.start):
-            self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
+            self.start, self.count, self.at, self.size_of = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count, self.at, self.size_of))
+        self.bytes[self.n_bytes : held] = np.frombuffer(b"".join(units), np.uint8)
+        self.at[self.n : n] = self.n_bytes + np.cumsum(sizes) - sizes
+        self.size_of[self.n : n] = sizes
+        self.n_bytes = held
         self.ids[self.n_ids : total] = np.concatenate(encoded)
         self.start[self.n : n] = self.n_ids + np.cumsum(counts) - counts
         self.count[self.n : n] = counts
@@ -122,17 +134,26 @@ class UnitTable:
         if not there.all():
             gone = np.flatnonzero(~there)
             new, first = np.unique(hashes[gone], return_index=True)
-            if self.n + len(new) > 0.6 * self.size:
+            if self.n + len(new) > 0.6 * self.size or self.n_bytes > 1 << 26:
                 self.clear()
                 new, first = np.unique(hashes, return_index=True)
                 gone = np.arange(len(hashes))
             raw = data.tobytes()
-            self.add(new, self.encode([raw[a:b] for a, b in zip(starts[gone[first]].tolist(), ends[gone[first]].tolist())]))
+            self.add(new, [raw[a:b] for a, b in zip(starts[gone[first]].tolist(), ends[gone[first]].tolist())])
             slots, _ = self.probe(hashes)
-        entry = self.entry[slots]
+        entry, sizes = self.entry[slots], ends - starts
         counts = self.count[entry]
         before = np.cumsum(counts) - counts
-        return self.ids[np.repeat(self.start[entry] - before, counts) + np.arange(int(counts.sum()))], counts
+        ids = self.ids[np.repeat(self.start[entry] - before, counts) + np.arange(int(counts.sum()))]
+        other = self.size_of[entry] != sizes
+        alike = np.flatnonzero(~other)
+        other[alike] = ~same_bytes(data, starts[alike], self.bytes, self.at[entry[alike]], sizes[alike])
+        if not other.any():
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(other).tolist():
+            parts[i] = self.encode([data[starts[i] : ends[i]].tobytes()])[0]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 class Encoder:

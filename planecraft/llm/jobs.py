@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planecraft.plans.shipping import ship
+from planecraft.plans.storage import scratch, stored  # noqa: F401
 
 #: Rows of an Arrow batch between the JVM and Python; texts may be long.
 BATCH_ROWS = 500
@@ -24,30 +22,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Written to the shared folder and read again: cuts lineage and keeps the columns compressed."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_or_shuffled(ids: DataFrame, count: int | None = None) -> DataFrame:
     """Broadcast ids if they are counted to be few; else leave the join to a shuffle."""
     count = ids.count() if count is None else count

@@ -1,10 +1,13 @@
 """Vectorised word and shingle hashing over Arrow string batches.
 
 A batch's texts lie end to end in one byte buffer. Prefix sums of
-``value(byte) * base**position`` (modulo 2**64) give the polynomial hash of any
-byte range in two array reads, so words, lines and whole texts are hashed
-without a Python loop. A word is a maximal run of bytes outside
-``[\\x20\\x09-\\x0D]``; these are single bytes in UTF-8, so bytes suffice.
+``value(byte) * base**position`` modulo the prime 2**31 - 1, for two bases, give a
+62-bit polynomial hash of any byte range in two array reads for each base, so words,
+lines and whole texts are hashed without a Python loop. (Modulo a power of two such
+hashes collide on regular texts whatever the base; modulo a prime two different
+ranges of n bytes collide for at most n of the bases.) Where a result must be exact,
+equal hashes are checked byte by byte with `same_bytes`. A word is a maximal run of
+bytes outside ``[\\x20\\x09-\\x0D]``; these are single bytes in UTF-8, so bytes suffice.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ import pyarrow as pa
 
 #: Texts are handled in slices of about so many bytes, which bounds the arrays of a step.
 SLICE_BYTES = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LONG = 1 << 16
+PRIME = (1 << 31) - 1
+BASES = (1_205_847_963, 743_018_521)
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 SPACE = np.zeros(256, bool)
@@ -27,8 +31,8 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 _rng = np.random.default_rng(20240607)
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+BYTE_VALUE = _rng.integers(1, PRIME, 256, dtype=np.int64)
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,15 +42,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n; kept for the next slice."""
-    if len(_powers.get("base", ())) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        for name, step in (("base", BASE), ("inverse", INVERSE)):
-            table = np.full(size, step, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["base"], _powers["inverse"]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Nonnegative numbers below 2**63 as numbers below 2**32 + 2 that are equal modulo the prime."""
+    return (x & PRIME) + (x >> 31)
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """The remainders of nonnegative numbers below 2**63."""
+    x = reduced(reduced(x))
+    return x - PRIME * (x >= PRIME)
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """base**i and base**-i for i below n, for each base; kept for the next slice."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
+        made = []
+        for step in (x for base in BASES for x in (base, pow(base, -1, PRIME))):
+            table, known = np.ones(size, np.uint32), 1
+            while known < size:
+                more = min(known, size - known)
+                table[known : known + more] = table[:more].astype(np.int64) * pow(step, known, PRIME) % PRIME
+                known += more
+            made.append(table)
+        _powers[:] = made
+    return _powers
 
 
 @dataclass
@@ -55,7 +75,7 @@ class Slice:
 
     data: np.ndarray  # uint8, all texts end to end
     bounds: np.ndarray  # byte offset of each text, and the end
-    prefix: np.ndarray  # prefix[i] = hash sum of bytes before i
+    prefix: tuple[np.ndarray, np.ndarray]  # for each base, prefix[i] = hash sum of bytes before i
     starts: np.ndarray  # byte offset of each word
     ends: np.ndarray
     first_word: np.ndarray
@@ -68,7 +88,11 @@ class Slice:
         """Of the byte ranges [a, b): equal bytes give equal hashes wherever they stand."""
         if not len(a):
             return np.zeros(0, np.uint64)
-        return mix((self.prefix[b] - self.prefix[a]) * powers(len(self.data) + 1)[1][a] + (b - a).astype(np.uint64))
+        key, tables = np.zeros(len(a), np.int64), powers(len(self.data) + 1)
+        for prefix, inverse in zip(self.prefix, tables[1::2]):
+            x = least(prefix[b] - prefix[a])
+            key = (key << 31) | least(x * inverse[a].astype(np.int64))
+        return mix(key.view(np.uint64) + mix((b - a).astype(np.uint64)))
 
     def words(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
@@ -82,6 +106,39 @@ class Slice:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
+def same_bytes(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of `one` from a[i] and those of `two` from b[i] are the same, sizes[i] of them."""
+    same = np.ones(len(a), bool)
+    long = np.flatnonzero(sizes > LONG)
+    for i in long.tolist():
+        same[i] = np.array_equal(one[a[i] : a[i] + sizes[i]], two[b[i] : b[i] + sizes[i]])
+    short = np.flatnonzero(sizes <= LONG)
+    ends = np.cumsum(sizes[short])
+    at = 0
+    while at < len(short):  # some bytes at a time
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        part = short[at:upto]
+        owner = np.repeat(part, sizes[part])
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
+        same[owner[one[a[owner] + step] != two[b[owner] + step]]] = False
+        at = upto
+    return same
+
+
+def ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the byte ranges: two have the same number if and only if their bytes are the same."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[number]
+    odd = ends - starts != ends[like] - starts[like]
+    even = np.flatnonzero(~odd & (like != np.arange(len(like))))
+    odd[even] = ~same_bytes(data, starts[even], data, starts[like[even]], (ends - starts)[even])
+    if odd.any():  # two different ranges with one hash
+        known: dict[bytes, int] = {}
+        for i in np.flatnonzero(odd).tolist():
+            number[i] = len(first) + known.setdefault(data[starts[i] : ends[i]].tobytes(), len(known))
+    return number
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column's texts end to end, and their offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,9 +164,11 @@ def spans(bounds: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def make_slice(data: np.ndarray, bounds: np.ndarray) -> Slice:
-    base, _ = powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * base[: len(data)], out=prefix[1:])
+    values, prefix = BYTE_VALUE[data], []
+    for base in powers(len(data) + 1)[::2]:
+        sums = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(reduced(values * base[: len(data)]), out=sums[1:])
+        prefix.append(sums)
     space = SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[bounds[:-1]] = True
@@ -119,7 +178,7 @@ def make_slice(data: np.ndarray, bounds: np.ndarray) -> Slice:
     last[bounds[1:]] = True
     after = np.concatenate((space[1:], [True])) if len(data) else np.zeros(0, bool)
     ends = np.flatnonzero(~space & (after | last[1:])) + 1
-    return Slice(data, bounds, prefix, starts, ends, np.searchsorted(starts, bounds))
+    return Slice(data, bounds, tuple(prefix), starts, ends, np.searchsorted(starts, bounds))
 
 
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Slice]]:
