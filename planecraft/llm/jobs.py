@@ -22,6 +22,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def partitions(docs: DataFrame, column: str = "text", each: int = 32 << 20, most: int = 100_000) -> int:
+    """Partitions for a shuffle of texts, from their bytes: about `each` a partition, a partition for each core at least, and `most` at most."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, min(most, -(-size // each)))
+
+
 def small_or_shuffled(ids: DataFrame, count: int | None = None) -> DataFrame:
     """Broadcast ids if they are counted to be few; else leave the join to a shuffle."""
     count = ids.count() if count is None else count

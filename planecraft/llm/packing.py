@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planecraft.llm.encoding import encoder
-from planecraft.llm.jobs import prepare
+from planecraft.llm.jobs import partitions, prepare
 from planecraft.llm.text_arrays import mix, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -101,7 +101,7 @@ def along_curve(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.array(curve_keys(batch.column("text")))], ["doc_id", "text", "curve_key"])
 
     keyed = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, curve_key long")
-    return keyed.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", F.xxhash64("text"), "text")
+    return keyed.repartitionByRange(partitions(docs), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", F.xxhash64("text"), "text")
 
 
 def pack(docs: DataFrame, how: Packing) -> DataFrame:

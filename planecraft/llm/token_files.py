@@ -2,17 +2,18 @@
 
 All documents' ids, each with its end token, lie end to end in ascending doc_id
 order, cut into sequences of equal length. A file holds batches of `rows` sequences:
-a fixed-size list of ids and one of mask bits (false in the padding after a file's
-last id). As all lists have one size, sequence i is found by arithmetic, and a
-memory-mapped file gives it without a copy. A second small file lists the documents
-of the first: doc_id, place of the first id, number of ids.
+a fixed-size list of ids and one of mask bytes (0 in the padding after a file's last
+id, else 1). As all lists have one size, sequence i is found by arithmetic, and a
+memory-mapped file gives ids and mask without a copy. A second small file lists the
+documents of the first: doc_id, place of the first id, number of ids.
 
 A file is written under a name of its task attempt and then renamed, so a task that
-is run again leaves the same files. Ids take two bytes where the vocabulary allows.
+is run again leaves the same files. Ids take two bytes where the vocabulary's largest
+id allows, else four.
 
 Defined results: a null text is empty and has its end token only; null doc_ids come
-first; rows that tie in doc_id are ordered by their text. An empty table gives no
-files and an empty result. Columns other than doc_id and text are not read.
+first; rows that tie in doc_id are ordered by a hash of their text, then by the text.
+An empty table gives no files and an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,10 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from planecraft.llm.encoding import encoder
-from planecraft.llm.jobs import prepare, scratch, stored
+from planecraft.llm.jobs import partitions, prepare, scratch, stored
 
 WRITTEN = "part long, path string, n_tokens long, n_docs long"
 DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -38,15 +40,22 @@ DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 @dataclass(frozen=True)
 class Format:
-    """Ids of a sequence, sequences of a batch, bytes of an id."""
+    """Ids of a sequence, sequences of a batch, bytes of an id (2 or 4; 0: by the vocabulary)."""
 
     length: int = 2048
     rows: int = 64
-    id_bytes: int = 2
+    id_bytes: int = 0
 
     def schema(self) -> pa.Schema:
         kind = pa.uint16() if self.id_bytes == 2 else pa.uint32()
-        return pa.schema([pa.field("ids", pa.list_(kind, self.length)), pa.field("mask", pa.list_(pa.bool_(), self.length))])
+        return pa.schema([pa.field("ids", pa.list_(kind, self.length)), pa.field("mask", pa.list_(pa.uint8(), self.length))])
+
+    def holding(self, largest: int) -> Format:
+        """This format with ids wide enough for the largest one."""
+        needed = 2 if largest < 1 << 16 else 4
+        if self.id_bytes and self.id_bytes < needed:
+            raise ValueError(f"ids up to {largest} don't fit into {self.id_bytes} bytes")
+        return replace(self, id_bytes=self.id_bytes or needed)
 
 
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -78,7 +87,7 @@ class SequenceWriter:
             self.held, self.size = [rest.copy()], len(rest)
 
     def write(self, ids: np.ndarray, valid: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(x, self.form.length) for x in (pa.array(ids), pa.array(np.arange(len(ids)) < valid))]
+        lists = [pa.FixedSizeListArray.from_arrays(x, self.form.length) for x in (pa.array(ids), pa.array((np.arange(len(ids)) < valid).view(np.uint8)))]
         self.writer.write_batch(pa.record_batch(lists, schema=self.form.schema()))
 
     def close(self) -> None:
@@ -99,16 +108,24 @@ class SequenceFile:
         self.rows = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 0
         self.held: tuple[int, np.ndarray] = (-1, np.zeros(0))
 
+    def n_tokens(self) -> int:
+        """Ids in the file, by the masks: only the last batch has padding."""
+        last = self.reader.num_record_batches - 1
+        return last * self.rows * self.length + int(self.masks(last).sum()) if last >= 0 else 0
+
+    def masks(self, b: int) -> np.ndarray:
+        return self.reader.get_batch(b).column("mask").flatten().to_numpy(zero_copy_only=True).view(bool)
+
     def batch_ids(self, b: int) -> np.ndarray:
         if self.held[0] != b:
             self.held = (b, self.reader.get_batch(b).column("ids").flatten().to_numpy(zero_copy_only=True))
         return self.held[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view) and mask of sequence i."""
+        """Ids and mask of sequence i, as views."""
         b, row = divmod(i, self.rows)
-        mask = self.reader.get_batch(b).column("mask")[row].values.to_numpy(zero_copy_only=False)
-        return self.batch_ids(b)[row * self.length : (row + 1) * self.length], mask
+        place = slice(row * self.length, (row + 1) * self.length)
+        return self.batch_ids(b)[place], self.masks(b)[place]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         batch, found = self.rows * self.length, []
@@ -128,6 +145,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, kind: str =
     """Encode all documents and write them to the folder; returns (part, path, n_tokens, n_docs) of the files."""
     spark = docs.sparkSession
     prepare(spark)
+    form = form.holding(max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = opened(folder)
@@ -159,7 +177,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, kind: str =
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [where], "n_tokens": [writer.total], "n_docs": [n_docs]})
 
     tie = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     return stored(rows.mapInArrow(run, WRITTEN), "token-files")
 
 
@@ -167,15 +185,19 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Each document of the files: doc_id, place of its first id in the whole stream, number of ids, and their crc32."""
     prepare(spark)
     n_files = max(1, files.count())
+    # one task for a row of each file; `partitions` bounds their number
     placed = files.select("path", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 ids, listed = SequenceFile(path + ".arrow"), pa.ipc.open_file(opened(path)[0].open_input_file(opened(path)[1] + ".docs.arrow"))
+                valid = ids.n_tokens()
                 for b in range(listed.num_record_batches):
                     found = listed.get_batch(b)
                     starts, counts = found.column("start").to_numpy(), found.column("n_tokens").to_numpy()
+                    if len(starts) and starts[-1] + counts[-1] > valid:
+                        raise ValueError(f"{path}: documents beyond the file's mask")
                     crcs = [zlib.crc32(ids.ids(a, n).astype("<u4").tobytes()) for a, n in zip(starts.tolist(), counts.tolist())]
                     yield pa.RecordBatch.from_pydict({"doc_id": found.column("doc_id"), "start": starts + before, "n_tokens": counts, "ids_crc32": pa.array(crcs, pa.int64())})
                 ids.close()

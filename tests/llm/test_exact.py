@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from planecraft.llm import bpe, compression_rules, text_arrays
+from planecraft.llm import bpe, compression_rules, text_arrays, token_files
 from planecraft.llm.encoding import UnitTable, encoder
 from planecraft.llm.queries import tokenizer
 
@@ -52,3 +52,23 @@ def test_ranks_with_one_hash():
     starts, ends = np.array([0, 3, 6, 9, 13, 15, 16]), np.array([2, 5, 8, 12, 15, 150_015, 150_016])
     number = text_arrays.ranks(data, starts, ends, np.zeros(7, np.uint64)).tolist()
     assert number[0] == number[1] and number[2] == number[4] and number[5] == number[6] and len(set(number)) == 4
+
+
+def test_ids_take_the_bytes_that_the_vocabulary_needs():
+    form = token_files.Format()
+    assert form.holding(65_535).id_bytes == 2 and form.holding(65_536).id_bytes == 4
+    with pytest.raises(ValueError):
+        token_files.Format(id_bytes=2).holding(70_000)
+
+
+def test_masks_and_ids_are_views(tmp_path):
+    path = str(tmp_path / "x.arrow")
+    with pa.OSFile(path, "wb") as sink:
+        writer = token_files.SequenceWriter(sink, token_files.Format(length=4, rows=2).holding(9))
+        writer.add(np.arange(11, dtype=np.uint32))
+        writer.close()
+    f = token_files.SequenceFile(path)
+    assert f.n_tokens() == 11
+    for i in range(3):
+        ids, mask = f.sequence(i)
+        assert not ids.flags.owndata and not mask.flags.owndata and ids[mask].tolist() == list(range(4 * i, min(11, 4 * i + 4)))
