@@ -24,14 +24,15 @@ outside the largest class) x (texts of the bucket), in parallel tasks.
 Defined results: a text under five words is one shingle of all its words; a text
 without words, or null, is compared only as a copy of an equal text, null never.
 doc_id identifies a document: rows that repeat a doc_id are one document, whose
-class is that of each of its texts. A row with a null doc_id gets a null class and
-is kept. An empty table gives an empty result. `keep` returns the input's own
-columns whatever their names.
+class is that of each of its texts. Candidates are pairs of texts, not of doc_ids: a
+text is the least doc_id that holds it, and its digest. A row with a null doc_id gets
+a null class and is kept. An empty table gives an empty result. `keep` returns one
+row of each class, with the input's own columns whatever their names; of rows that
+repeat the surviving doc_id it is the first in the order of the row as JSON.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planecraft.llm.jobs import prepare, small_or_shuffled, stored
@@ -48,7 +49,7 @@ from planecraft.llm.text_arrays import mix, shingles, slices
 
 COUNTER_BITS = 20
 BLOCK_BITS = 14
-CLASSES = "doc_id long, class_id long"
+PAIR = ("a", "tag_a", "b", "tag_b")
 
 
 @dataclass(frozen=True)
@@ -176,8 +177,18 @@ def band_keys(samples: np.ndarray, how: Weighted) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(text) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def tag(copy) -> Column:
+    """The part of a digest that tells the texts of one doc_id apart."""
+    return F.xxhash64(copy)
+
+
 def signatures(docs: DataFrame, idf, how: Weighted) -> DataFrame:
-    """(doc_id, copy, size, keys): a 128-bit digest of the text, its bytes, and its band keys; rows without doc_id or text are left out."""
+    """(doc_id, copy, size, keys): the text's digest, its bytes, and its band keys; rows without doc_id or text are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -191,22 +202,36 @@ def signatures(docs: DataFrame, idf, how: Weighted) -> DataFrame:
                     a, b = edges[d], edges[d + 1]
                     keys.append(band_keys(signature(hashes[a:b], weights[a:b], how.bands * how.rows), how) if b > a else [])
             if batch.num_rows:
-                raw = [x.encode() for x in batch.column("text").to_pylist()]
-                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "copy": pa.array(digests, pa.binary()), "size": pa.array([len(x) for x in raw], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                kept = [batch.column(c) for c in ("doc_id", "copy", "size")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "copy", "size", "keys"])
+
+    known = docs.where("doc_id is not null and text is not null")
+    rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest("text").alias("copy"), F.octet_length("text").cast("long").alias("size"))
+    return rows.mapInArrow(run, "doc_id long, copy binary, size long, keys array<long>")
+
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, copy binary, size long, keys array<long>")
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tag, text) of wanted texts (node, tag): one row of each."""
+    ids = wanted.select(F.col("node").alias("doc_id")).distinct()
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_shuffled(ids), "doc_id", "left_semi")
+    rows = rows.select(F.col("doc_id").alias("node"), tag(digest("text")).alias("tag"), "text").dropDuplicates(["node", "tag"])
+    return rows.join(wanted.select("node", "tag").distinct(), ["node", "tag"], "left_semi")
 
 
 def candidates(members: DataFrame, how: Weighted) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs (a, b), a < b, of members (node, key, size); and the members of buckets beyond `all_pairs`."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("first")).where("n > 1")
+    """Distinct candidate pairs (a, tag_a, b, tag_b), a < b, of members (node, tag, key, size); and the members of buckets beyond `all_pairs`."""
+    first = F.min_by(F.struct("node", "tag"), F.struct(F.xxhash64("node", "tag", "key"), "node", "tag")).alias("first")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1")
     shared = stored(members.join(sizes, "key"), "shared")
     small, large = shared.where(f"n <= {how.all_pairs}"), shared.where(f"n > {how.all_pairs}")
-    within = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    one = small.select("key", F.col("node").alias("a"), F.col("tag").alias("tag_a"))
+    within = one.join(small.select("key", F.col("node").alias("b"), F.col("tag").alias("tag_b")), "key").where("a < b").select(*PAIR)
     # buckets of the same members get different centres, so a node is held against several of its neighbours
-    star = large.where("node != first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
-    return within.unionAll(star).distinct(), large.select("node", "key", "size")
+    own = F.struct("node", "tag")
+    low, high = F.least("first", own), F.greatest("first", own)
+    star = large.where("node != first.node").select(low.alias("low"), high.alias("high"))
+    star = star.select(F.col("low.node").alias("a"), F.col("low.tag").alias("tag_a"), F.col("high.node").alias("b"), F.col("high.tag").alias("tag_b"))
+    return within.unionAll(star).distinct(), large.select("node", "tag", "key", "size")
 
 
 def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -230,11 +255,12 @@ def weighted_sets(column: pa.Array, table: np.ndarray, width: int) -> list[tuple
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf, how: Weighted) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.where("text is not null").select("doc_id", "text").join(small_or_shuffled(ids), "doc_id", "left_semi")
-    texts = stored(texts.dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """(a, b) of the pairs whose weighted or plain Jaccard similarity reaches the threshold."""
+    ends = [pairs.select(F.col(x).alias("node"), F.col(f"tag_{x}").alias("tag")) for x in "ab"]
+    texts = stored(texts_of(docs, ends[0].unionAll(ends[1]).distinct()), "texts")
+    both = pairs
+    for x in "ab":
+        both = both.join(texts.select(F.col("node").alias(x), F.col("tag").alias(f"tag_{x}"), F.col("text").alias(f"text_{x}")), [x, f"tag_{x}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -324,25 +350,23 @@ def missed_links(large: DataFrame, roots: DataFrame, docs: DataFrame, idf, how:
     A bucket's largest class, and its other texts, are split by hash into blocks of about
     `block_bytes` or `block_texts`; a task takes two blocks, of which at least one is of other texts.
     """
-    known = stored(large.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "large")
+    known = stored(large.join(roots, "node", "left").select("key", "node", "tag", "size", F.coalesce("root", "node").alias("root")), "large")
     by_class = known.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     top = by_class.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > top.n")
     count = lambda size, n: F.greatest(F.ceil(size / how.block_bytes), F.ceil(n / how.block_texts), F.lit(1)).cast("long")
     plan = top.select("key", F.col("top.root").alias("top"), count(F.col("size") - F.col("top.size"), F.col("n") - F.col("top.n")).alias("others"), count(F.col("top.size"), F.col("top.n")).alias("mains"))
-    block = F.when(F.col("root") == F.col("top"), F.col("others") + F.pmod(F.xxhash64("node", "key"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node", "key"), F.col("others")))
+    block = F.when(F.col("root") == F.col("top"), F.col("others") + F.pmod(F.xxhash64("node", "tag", "key"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node", "tag", "key"), F.col("others")))
     last = F.when(F.col("root") == F.col("top"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
     # a task holds all pairs of its two blocks, so a block needs no task with itself
     open_ = known.join(plan, "key").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("i != j")
-    tasks = stored(open_.select("key", "node", "root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")), "blocks")
-    ids = tasks.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.where("text is not null").select("doc_id", "text").join(small_or_shuffled(ids), "doc_id", "left_semi")
-    texts = texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    tasks = stored(open_.select("key", "node", "tag", "root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")), "blocks")
+    texts = texts_of(docs, tasks)
 
     def run(pdf):
         sets = weighted_sets(pa.array(pdf["text"], pa.string()), idf.value, how.width)
         return pd.DataFrame(links_between(sets, pdf["root"].to_numpy(), how.similarity), columns=["a", "b"], dtype="int64")
 
-    return tasks.join(texts, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return tasks.join(texts, ["node", "tag"]).groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -373,15 +397,15 @@ def classes(docs: DataFrame, how: Weighted = Weighted()) -> DataFrame:
     prepare(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(docs, how)))
     found = stored(signatures(docs, idf, how), "signatures")
-    nodes = stored(found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-    pairs, large = candidates(nodes.select("node", "size", F.explode("keys").alias("key")), how)
+    nodes = found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = stored(nodes.withColumn("tag", tag("copy")), "nodes")
+    pairs, large = candidates(nodes.select("node", "tag", "size", F.explode("keys").alias("key")), how)
     links = verified(stored(pairs, "pairs"), docs, idf, how)
-    # a document's rows with other texts, and its copies, are links as well
-    same = found.select("doc_id", "copy").join(nodes.select("copy", "node"), "copy").select("doc_id", "node").distinct()
-    same = stored(same, "members")
-    repeated = same.where("doc_id != node").select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b"))
-    extra = repeated.join(same.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), (F.col("a") == F.col("again")) | (F.col("b") == F.col("again")), "left_semi") if same.groupBy("doc_id").count().where("count > 1").limit(1).count() else None
-    roots = components(links if extra is None else links.unionAll(extra))
+    same = stored(found.select("doc_id", "copy").join(nodes.select("copy", "node"), "copy").select("doc_id", "node").distinct(), "members")
+    # the texts of a document with several are linked, over the least of their nodes
+    several = stored(same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a != last").select("doc_id", "a"), "several")
+    own = same.join(small_or_shuffled(several), "doc_id").where("node != a").select("a", F.col("node").alias("b"))
+    roots = components(links.unionAll(own))
     missed = stored(missed_links(large, roots, docs, idf, how), "missed")
     if missed.limit(1).count():
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(missed))
@@ -391,6 +415,14 @@ def classes(docs: DataFrame, how: Weighted = Weighted()) -> DataFrame:
 
 def keep(docs: DataFrame, how: Weighted = Weighted()) -> DataFrame:
     """One document of each class (its least doc_id), with all its columns."""
-    dropped = classes(docs, how).where("doc_id != class_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    dropped = stored(dropped, "dropped")
-    return docs.join(small_or_shuffled(dropped), docs["doc_id"] == dropped["_dropped_id"], "left_anti")
+    own = F.col("doc_id").cast("long").alias("_own_id")
+    found = stored(classes(docs, how).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    dropped = found.where("doc_id != class_id").select(F.col("doc_id").alias("_own_id"))
+    repeated = found.where("doc_id = class_id and n > 1").select(F.col("doc_id").alias("_own_id"))
+    rows = docs.select(own, F.struct("*").alias("_row"))
+    leave = stored(dropped.unionAll(repeated), "left-out")
+    kept = rows.join(small_or_shuffled(leave), "_own_id", "left_anti").select("_row.*")
+    if not repeated.limit(1).count():
+        return kept
+    again = rows.join(small_or_shuffled(repeated), "_own_id").groupBy("_own_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return kept.unionAll(again.select("_row.*"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from planecraft.llm import bpe, compression_rules, text_arrays, token_files
+from planecraft.llm import bpe, compression_rules, near_dup, text_arrays, token_files
 from planecraft.llm.encoding import UnitTable, encoder
 from planecraft.llm.queries import tokenizer
 
@@ -72,3 +72,51 @@ def test_masks_and_ids_are_views(tmp_path):
     for i in range(3):
         ids, mask = f.sequence(i)
         assert not ids.flags.owndata and not mask.flags.owndata and ids[mask].tolist() == list(range(4 * i, min(11, 4 * i + 4)))
+
+
+def varied(n, edits, seed, words=120):
+    """n texts, each the same words with some changed."""
+    rng = np.random.default_rng(seed)
+    base = [f"s{seed}w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        x = list(base)
+        for j in rng.choice(words, edits, replace=False):
+            x[j] = f"s{seed}e{i}x{j}"
+        out.append(" ".join(x))
+    return out
+
+
+def test_every_text_of_a_repeated_doc_id_links(spark):
+    one, two = varied(3, 1, 1), varied(3, 1, 2)
+    rows = [(3, one[0]), (3, two[0]), (1, one[1]), (2, two[1]), (7, one[2]), (9, two[2]), (5, "alone here")]
+    expected = {1: 1, 2: 1, 3: 1, 7: 1, 9: 1, 5: 5}
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        found = near_dup.classes(docs)
+        assert {r.doc_id: r.class_id for r in found.collect()} == expected and found.count() == 7
+        assert sorted(r.doc_id for r in near_dup.keep(docs).collect()) == [1, 5]
+    least = spark.createDataFrame([(1, one[0]), (1, two[0]), (1, one[0]), (4, two[1])], "doc_id long, text string")
+    assert [tuple(r) for r in near_dup.keep(least).collect()] == [(1, one[0])]
+
+
+def test_many_repeated_doc_ids_need_no_nested_loop(spark):
+    """5,000 documents of two texts each: a chain of ten documents shares texts with the next one's."""
+    rows = [(i, f"text {i // 10 * 10 + (i + k) % 10} of {i // 10} in a chain of documents") for i in range(5000) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = []
+    listed = near_dup.stored
+
+    def seen(df, what):
+        plans.append(df._jdf.queryExecution().toString())
+        return listed(df, what)
+
+    near_dup.stored = seen
+    try:
+        found = near_dup.classes(docs)
+        plans.append(found._jdf.queryExecution().toString())
+        classes = {r.doc_id: r.class_id for r in found.collect()}
+    finally:
+        near_dup.stored = listed
+    assert all(classes[i] == i // 10 * 10 for i in range(5000))
+    assert not any("NestedLoop" in p for p in plans)
