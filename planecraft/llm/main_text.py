@@ -1,25 +1,29 @@
-"""Main text of web pages: structure, and a suffix array over each host's pages.
+"""Main text of web pages: host suffix arrays, guided by the pages' structure.
 
 A page's html is cut into blocks of text, each in the zone that its elements give it:
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments), the
-declared main part, or neither. The token streams of a host's pages are laid end to
-end and their suffixes are sorted to a depth of `run` tokens; equal neighbours in that
-order from different pages are long substrings that repeat across pages. Tokens that
-such runs cover are boilerplate and go, and the unique runs stay. A declared main part
-is taken as it is: two copies of an article on one host are no boilerplate.
-
-Pages are dealt by host; hosts with many pages are split into shards by the hash of
-page_id, and a shard is handled in blocks of `block` pages, which bounds memory.
-What repeats between blocks is found before that, by hash: all runs of `run` tokens
-have as anchor the least hash of the shorter runs in them, equal runs have equal
-anchors, and only runs whose anchor stands on several pages of the host are counted
-themselves. A shard gets those of its runs that repeat on the host, so how pages are
-dealt doesn't change a text. Pages with the same token stream count as one page.
-
-Defined results: null html is empty, with an empty text; a null or odd url is a host
-of its own; repeated rows give a row each; an empty table gives an empty result; other
+declared main part, headings outside it, or other text. A page's token stream is its
+blocks in order, cut where the zone changes. All suffixes of a host's streams are
+sorted to a depth of `run` tokens: suffixes with the same first tokens, neighbours in
+the suffix array, meet by the hash of host and tokens. Those that stand on several
+different pages are long repeated substrings. Tokens that they cover are boilerplate
+and go; unique runs stay. The search goes over whole hosts and is dealt by suffix, so
+a host of any size is spread over all tasks. Pages with one token stream count as one.
+
+What the array decides: (1) on a page without a declared main part, all text that
+isn't furniture; (2) elsewhere, unmarked text outside the main part: its unique runs
+are kept if they are no fewer tokens than the main part, whose mark is then doubtful
+(a teaser, say); a unique first heading is kept anyway; (3) in a declared main part,
+blocks of `run` tokens or more that several pages of the host hold, one of them outside
+its main part. What repeats inside main parts only is kept: articles quote and copy one another,
+and the article is wanted whole. Furniture by its element or class goes even where it
+is unique, since many hosts have one page only.
+
+Defined results: null html is empty, with an empty text; null and odd urls share the
+host ''; repeated rows give a row each; an empty table gives an empty result; other
 columns are not read. Character references are decoded and runs of white space become
-one space.
+one space. Elements that aren't closed hide nothing after them, but for scripts,
+styles and HTML comments. Parsing is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -35,89 +39,165 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planecraft.llm.jobs import prepare, small_or_shuffled, stored
+from planecraft.llm.jobs import BROADCAST_IDS, prepare, small_or_shuffled, stored
 from planecraft.llm.text_arrays import mix, slices
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
-FURNITURE, MAIN, OTHER = 0, 1, 2
+PARSED = "page_id long, url string, number long, stream long, zones array<byte>, texts array<string>, other array<long>, mains array<long>, furniture array<long>"
+FURNITURE, MAIN, OTHER, HEADING = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
 class Hosts:
-    """Tokens of a repeated run, pages of a suffix array, and the most hosts that are split (by their share of all pages)."""
+    """Tokens of a repeated run."""
 
     run: int = 16
-    block: int = 512
-    split_hosts: int = 4096
 
 
-unseen = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.I | re.S)
-tag = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-marks = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements without text for readers; the first ones hold raw text up to their end tag, or the page's end.
+RAW = set("script style".split())
+HIDDEN = RAW | set("noscript template svg iframe object textarea select math canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 FURNITURE_TAGS = set("nav footer aside form button dialog menu head fieldset input".split())
-furniture_mark = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|banner|cookies?|consent|gdpr|notices?|alerts?|promo(?:tion)?s?|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|comments?|disqus|respond|share|sharing|social|related|newsletter|subscribe|signup|popup|modal|overlay|widgets?|toolbar|pagination|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and the like: a name of such words, with neutral ones beside them, marks furniture.
+FURNITURE_WORDS = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored banner cookie cookies consent gdpr notice notices alert alerts promo promos promotion promotions sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond share sharing social related newsletter subscribe signup popup modal overlay widget widgets toolbar pagination complementary contentinfo search".split()
 )
-main_mark = re.compile(r"(?:^|\s)(?:main|articleBody|article-body|post-content|entry-content)(?:$|\s)", re.I)
+NEUTRAL_WORDS = set("site page global main top bottom left right inner outer wrap wrapper container box block bar area section list item items link links content row col column primary secondary mobile desktop fixed sticky small large text button buttons btn icon icons group form user reader post posts".split())
+STORY_WORDS = set("article entry post story content".split())
+MAIN_NAMES = set("main articlebody article-body post-content entry-content".split())
+
+opening = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+stop = re.compile(r"[>\"']")
+marks = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+word_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^\W\d_a-zA-Z]+")
+
+
+def is_furniture_name(name: str) -> bool:
+    parts = {p.lower() for p in word_parts.findall(name)}
+    known = parts & FURNITURE_WORDS
+    if not known or known == {"header"} and parts & STORY_WORDS:
+        return False
+    return all(p in FURNITURE_WORDS or p in NEUTRAL_WORDS or p.isdigit() for p in parts)
+
+
+class Tags:
+    """Where tags end. A quoted value may hold '>'; a quote that isn't closed is no quote."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.quotes = True
+
+    def end(self, at: int) -> int:
+        """Place of the '>' that ends the tag whose name ends at `at`; -1 if there is none."""
+        page, i = self.page, at
+        if at > self.last[">"]:
+            return -1
+        while self.quotes:
+            m = stop.search(page, i)
+            if m is None:  # all else is quoted: this page's quotes aren't to be trusted
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            elif not page[i : m.start()].rstrip().endswith("="):
+                i = m.end()
+            elif m.end() > self.last[m[0]]:
+                break
+            else:
+                i = page.index(m[0], m.end()) + 1
+        return page.find(">", at)
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) of a page's blocks in order; empty ones are left out."""
-    page = unseen.sub(" ", page or "")
+    page = page or ""
     found: list[tuple[int, str]] = []
-    open_tags: list[tuple[str, int, int]] = []  # name, is furniture, is main
     text: list[str] = []
-    furniture = main = at = 0
+    stack: list[tuple[str, int, int, int]] = []  # open elements: name, is furniture, is main, is heading
+    places: dict[str, list[int]] = {}  # of each name, where it stands in the stack
+    walls: list[int] = []  # where elements stand that aren't inline
+    state = [0, 0, 0]  # open furniture, main parts, headings
+    tags, lower, at = Tags(page), None, 0
 
     def end_block() -> None:
         words = html.unescape("".join(text)).split()
         if words:
-            found.append((FURNITURE if furniture else MAIN if main else OTHER, " ".join(words)))
+            found.append((FURNITURE if state[0] else MAIN if state[1] else HEADING if state[2] else OTHER, " ".join(words)))
         text.clear()
 
-    for m in tag.finditer(page):
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            name, *flags = stack.pop()
+            places[name].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
+            for i, f in enumerate(flags):
+                state[i] -= f
+
+    while m := opening.search(page, at):
         text.append(page[at : m.start()])
-        at = m.end()
-        closing, name, rest = m[1], m[2].lower(), m[3]
+        if m[1]:
+            at = page.find("-->", m.end())
+            at = at + 3 if at >= 0 else len(page)
+            text.append(" ")
+            continue
+        end = tags.end(m.end()) if m[4] else page.find(">", m.end())
+        if end < 0:  # no tag, but text
+            text.append(page[m.start() :])
+            at = len(page)
+            break
+        at = end + 1
+        if m[2]:
+            continue
+        closing, name, rest = m[3], m[4].lower(), page[m.end() : end]
+        if name in HIDDEN:
+            if not closing and not rest.endswith("/"):
+                if lower is None:
+                    lower = page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]", lambda c: c[0].lower(), page)
+                    ends = {n: lower.rfind(f"</{n}") for n in HIDDEN}
+                if at <= ends[name]:
+                    after = page.find(">", lower.index(f"</{name}", at))
+                    at = after + 1 if after >= 0 else len(page)
+                elif name in RAW:
+                    at = len(page)
+            text.append(" ")
+            continue
         if name not in INLINE:
             end_block()
         if name in VOID:
             continue
         if closing:
-            depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), None)
-            if depth is not None:
-                if name in INLINE and any(open_tags[i][1] for i in range(depth, len(open_tags))):
+            own = places.get(name)
+            if own and not (name in INLINE and walls and walls[-1] > own[-1]):
+                if name in INLINE and stack[own[-1]][1]:
                     end_block()
-                for _, f, a in open_tags[depth:]:
-                    furniture -= f
-                    main -= a
-                del open_tags[depth:]
+                close(own[-1])
         elif not rest.endswith("/"):
-            if name == "p":  # a paragraph ends where the next begins
-                depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] not in INLINE), None)
-                if depth is not None and open_tags[depth][0] == "p":
-                    for _, f, a in open_tags[depth:]:
-                        furniture -= f
-                        main -= a
-                    del open_tags[depth:]
-            names = " ".join(x or y or z for x, y, z in marks.findall(rest))
-            is_main = int(name in ("article", "main") or bool(main_mark.search(names)))
-            is_furniture = int(name in FURNITURE_TAGS or name == "header" and not main or not is_main and name != "body" and bool(furniture_mark.search(names)))
-            if is_furniture and name in INLINE:
+            if name == "p" and places.get("p") and walls[-1] == places["p"][-1]:
+                close(walls[-1])  # a paragraph ends where the next begins
+            names = [n for x in marks.findall(rest) for n in ("".join(x)).split()]
+            by_name = name not in ("main", "body", "html") and any(map(is_furniture_name, names))
+            is_main = int(name in ("article", "main") or any(n.lower() in MAIN_NAMES for n in names))
+            is_furniture = int(name in FURNITURE_TAGS or name == "header" and not state[1] or by_name)
+            if name in INLINE:
+                if not is_furniture and not (state[0] and places.get(name)):
+                    continue  # what an inline element holds belongs to the text around it
                 end_block()
-            furniture += is_furniture
-            main += is_main
-            open_tags.append((name, is_furniture, is_main))
+            else:
+                walls.append(len(stack))
+            flags = (is_furniture, is_main, int(name == "h1"))
+            for i, f in enumerate(flags):
+                state[i] += f
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, *flags))
     text.append(page[at:])
     end_block()
     return found
 
 
 def covered(streams: list[np.ndarray], run: int) -> list[np.ndarray]:
-    """For each page's token numbers, which of them stand in a substring of `run` tokens that another page holds too.
+    """The same search for a host held in memory: for each page's token numbers, which of them stand in a substring of `run` tokens that another page holds too.
 
     Suffixes are ranked by prefix doubling up to `run` tokens; equal ranks are neighbours in the suffix array.
     """
@@ -151,134 +231,133 @@ def covered(streams: list[np.ndarray], run: int) -> list[np.ndarray]:
     return [hit[e - n : e] for e, n in zip(ends, sizes)]
 
 
-def run_keys(streams: list[str], hosts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all runs of `run` tokens, page by page: the page, the anchor, and the run's own hash; the last two hold the host's number."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    part = max(1, run // 2)
-    for a, _, s in slices(pa.array(streams, pa.large_string())):
-        page = np.repeat(np.arange(s.n), s.n_words())
-        n = len(page) - run + 1
-        if n <= 0:
-            continue
-        inside = page[:n] == page[run - 1 :]
-        short = s.hashes(s.starts[: len(page) - part + 1], s.ends[part - 1 :])
-        anchor = short[:n].copy()
-        for j in range(1, run - part + 1):
-            np.minimum(anchor, short[j : j + n], out=anchor)
-        page = page[:n][inside]
-        host = mix(hosts[a + page].astype(np.int64).view(np.uint64))
-        found.append((a + page, mix(anchor[inside] ^ host).view(np.int64), mix(s.hashes(s.starts[:n], s.ends[run - 1 :])[inside] + host).view(np.int64)))
+def suffix_keys(texts: list[str], hosts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all suffixes of at least `run` tokens, text by text: the text's number, and a hash of the host and the first `run` tokens."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, _, s in slices(pa.array(texts, pa.large_string())):
+        owner = np.repeat(np.arange(s.n), s.n_words())
+        n = len(owner) - run + 1
+        if n > 0:
+            inside = np.flatnonzero(owner[:n] == owner[run - 1 :])
+            host = mix(hosts[a + owner[inside]].astype(np.int64).view(np.uint64))
+            found.append((a + owner[inside], mix(s.hashes(s.starts[inside], s.ends[inside + run - 1]) + host).view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def anchored(rows: DataFrame, how: Hosts) -> DataFrame:
-    """(host, shard, stream, anchor, runs): each page's different anchors, with the runs that have them."""
+def block_key(text: str, host: int) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=host.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
+
+
+def stretches(found: list[tuple[int, str]]) -> list[tuple[int, list[int]]]:
+    """(zone, blocks) of runs of blocks in one zone; a heading outside a main part counts as other text."""
+    out: list[tuple[int, list[int]]] = []
+    for i, (zone, _) in enumerate(found):
+        zone = OTHER if zone == HEADING else zone
+        if out and out[-1][0] == zone:
+            out[-1][1].append(i)
+        else:
+            out.append((zone, [i]))
+    return out
+
+
+def without_furniture(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks with one empty block for each stretch of furniture, so that runs don't reach across it."""
+    return [(z, t if z != FURNITURE else "") for i, (z, t) in enumerate(found) if z != FURNITURE or not i or found[i - 1][0] != FURNITURE]
+
+
+def parsed(pages: DataFrame, how: Hosts) -> DataFrame:
+    """Each page's blocks without furniture's text, and keys: of the suffixes of other text and of furniture, and of long blocks of main parts (those of other zones are among the former)."""
+
+    def keys_of(cut: list[list[tuple[int, str]]], numbers: np.ndarray, zone: int) -> list[np.ndarray]:
+        """Page by page the different suffix keys of a zone's stretches, and its long blocks' keys."""
+        parts = [(i, " ".join(found[b][1] for b in at)) for i, found in enumerate(cut) for z, at in stretches(found) if z == zone]
+        owner = np.array([i for i, _ in parts], np.int64)
+        part, keys = suffix_keys([t for _, t in parts], numbers[owner], how.run) if zone != MAIN else (np.zeros(0, np.int64),) * 2
+        page = owner[part]
+        split = np.split(keys, np.searchsorted(page, np.arange(1, len(cut))))
+        same = lambda z: (OTHER if z == HEADING else z) == zone
+        long = [[block_key(t, int(n)) for z, t in found if same(z) and t.count(" ") + 1 >= how.run] for found, n in zip(cut, numbers)]
+        return [np.unique(np.concatenate((x, np.array(y, np.int64)))) for x, y in zip(split, long)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [" ".join(text for _, text in blocks(p)) for p in batch.column("html").to_pylist()]
-            page, anchor, runs = run_keys(texts, batch.column("number").to_numpy(), how.run)
-            if not len(page):
+            if not batch.num_rows:
                 continue
-            order = np.lexsort((anchor, page))
-            page, anchor, runs = page[order], anchor[order], runs[order]
-            first = np.flatnonzero(np.concatenate(([True], (page[1:] != page[:-1]) | (anchor[1:] != anchor[:-1]))))
-            stream = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t in texts])
-            at = pa.array(page[first])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(page)), pa.int32()), pa.array(runs))
-            yield pa.RecordBatch.from_pydict({"host": batch.column("host").take(at), "shard": batch.column("shard").take(at), "stream": stream[page[first]], "anchor": anchor[first], "runs": lists})
-
-    return rows.select("host", "shard", "number", "html").mapInArrow(run, "host string, shard long, stream long, anchor long, runs array<long>")
-
-
-def host_runs(rows: DataFrame, how: Hosts) -> DataFrame:
-    """(host, shard, run): the runs of each shard that pages of the host with different streams hold."""
-    several = lambda df, key: df.groupBy(key).agg(F.min("stream").alias("one"), F.max("stream").alias("two")).where("one != two").select(key)
-    found = anchored(rows, how)
-    anchors = stored(several(found.select("anchor", "stream"), "anchor"), "anchors")
-    likely = found.join(small_or_shuffled(anchors), "anchor", "left_semi").select("host", "shard", "stream", F.explode("runs").alias("run"))
-    likely = stored(likely, "runs")
-    repeated = stored(several(likely.select("run", "stream"), "run"), "repeated")
-    return likely.select("host", "shard", "run").distinct().join(small_or_shuffled(repeated), "run", "left_semi")
-
-
-def extract(pages: list[str | None], how: Hosts, number: int = 0, repeated: np.ndarray = np.zeros(0, np.int64)) -> list[str]:
-    """Main texts of some pages of one host; `repeated` has the keys, in order, of runs that other pages of the host hold too."""
-    parsed = [blocks(p) for p in pages]
-    words = [[w for _, text in b for w in text.split(" ")] for b in parsed]
-    numbers: dict[str, int] = {}
-    streams = [np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64) for ws in words]
-    first: dict[bytes, int] = {}
-    stands_for = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]
-    different = sorted(set(stands_for))
-    hits = dict(zip(different, covered([streams[i] for i in different], how.run)))
-    if len(repeated):
-        page, _, runs = run_keys([" ".join(words[i]) for i in different], np.full(len(different), number), how.run)
-        known = repeated[np.minimum(np.searchsorted(repeated, runs), len(repeated) - 1)] == runs
-        begins = np.searchsorted(page, np.arange(len(different) + 1))
-        for j, i in enumerate(different):
-            for at in np.flatnonzero(known[begins[j] : begins[j + 1]]):
-                hits[i][at : at + how.run] = True
-    out = []
-    for i, b in enumerate(parsed):
-        if any(zone == MAIN for zone, _ in b):
-            out.append(" ".join(text for zone, text in b if zone == MAIN))
+            numbers = batch.column("number").to_numpy()
+            cut = [blocks(p) for p in batch.column("html").to_pylist()]
+            kept = [without_furniture(found) for found in cut]
+            columns = [
+                batch.column("page_id").cast(pa.int64()),
+                batch.column("url"),
+                batch.column("number"),
+                pa.array([block_key(" ".join(t for _, t in found), 0) for found in cut], pa.int64()),
+                pa.array([[zone for zone, _ in found] for found in kept], pa.list_(pa.int8())),
+                pa.array([[t for _, t in found] for found in kept], pa.list_(pa.string())),
+                *[pa.array(keys_of(cut, numbers, zone), pa.list_(pa.int64())) for zone in (OTHER, MAIN, FURNITURE)],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PARSED.split(", ")])
+
+    return pages.mapInArrow(run, PARSED)
+
+
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """(key): what pages of a host with different token streams hold, at least once outside a main part, and somewhere where it isn't furniture."""
+    zones = (("other", 1, 1), ("mains", 0, 1), ("furniture", 1, 0))
+    entry = lambda outside, asked: lambda k: F.struct(k.alias("key"), F.lit(outside).alias("outside"), F.lit(asked).alias("asked"))
+    held = rows.select("stream", F.explode(F.concat(*[F.transform(c, entry(o, a)) for c, o, a in zones])).alias("e")).select("stream", "e.*")
+    seen = held.groupBy("key").agg(F.min("stream").alias("one"), F.max("stream").alias("two"), F.max("outside").alias("outside"), F.max("asked").alias("asked"))
+    return seen.where("one != two and outside = 1 and asked = 1").select("key")
+
+
+def unique_part(found: list[tuple[int, str]], number: int, hits: np.ndarray, how: Hosts) -> str:
+    """The text of a page's blocks, given the keys among them that repeat on its host."""
+    known, main, other, heading = set(hits.tolist()), [], [], None
+    for zone, at in stretches(found):
+        if zone == FURNITURE:
             continue
-        hit, at, kept = hits[stands_for[i]], 0, []
-        for zone, text in b:
-            n = text.count(" ") + 1
-            if zone != FURNITURE:
-                kept += [w for w, h in zip(text.split(" "), hit[at : at + n]) if not h]
-            at += n
-        out.append(" ".join(kept))
-    return out
+        if zone == MAIN:
+            main += [(b, found[b][1]) for b in at if not (known and found[b][1].count(" ") + 1 >= how.run and block_key(found[b][1], number) in known)]
+            continue
+        words = [w for b in at for w in found[b][1].split(" ")]
+        hit = np.zeros(len(words), bool)
+        if known:
+            _, keys = suffix_keys([" ".join(words)], np.array([number]), how.run)
+            for i in np.flatnonzero(np.isin(keys, hits)):
+                hit[i : i + how.run] = True
+        i = 0
+        for b in at:
+            n = found[b][1].count(" ") + 1
+            left = " ".join(w for w, h in zip(words[i : i + n], hit[i : i + n]) if not h)
+            i += n
+            if left:
+                other.append((b, left))
+                if found[b][0] == HEADING and heading is None:
+                    heading = (b, left)
+    size = lambda parts: sum(t.count(" ") + 1 for _, t in parts)
+    if size(other) >= size(main):
+        parts = main + other
+    else:
+        parts = main + ([heading] if heading else [])
+    return " ".join(t for _, t in sorted(parts))
 
 
 def main_texts(pages: DataFrame, how: Hosts = Hosts()) -> DataFrame:
     """The main text of every page."""
-    spark = pages.sparkSession
-    prepare(spark)
+    prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    hosts = pages.select(host.alias("host")).groupBy("host").count()
-    total = pages.count()
-    least = max(how.block, total // how.split_hosts)
-    large = hosts.where(F.col("count") > least).select("host", (F.col("count") / how.block).cast("long").alias("shards"))  # at most split_hosts rows
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(F.broadcast(large), "host", "left")
-    shard = F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("shards") + 1), F.lit(0))
-    rows = rows.withColumn("shard", shard.cast("long")).withColumn("number", F.xxhash64("host"))
-    # a host that fits into a block needs no search beyond it; beyond `split_hosts` such hosts aren't told apart
-    wide = rows if least > how.block else rows.where("shards is not null")
-    rows = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "shard", "number", F.lit(None).cast("long").alias("run"))
-    if least > how.block or large.limit(1).count():
-        null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-        runs = host_runs(wide, how).select(null("page_id", "long"), null("url", "string"), null("html", "string"), "host", "shard", F.xxhash64("host").alias("number"), "run")
-        rows = rows.unionAll(runs)
-    rows = rows.repartition("host", "shard").sortWithinPartitions("host", "shard", F.col("run").isNull(), "run", "page_id")
+    rows = parsed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("number"), "html"), how)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "parsed")  # stored, so a row keeps its number
+    repeated = stored(repeated_keys(rows), "repeated")
+    asked = rows.select("row", F.explode(F.concat("other", "mains")).alias("key"))
+    hits = stored(asked.join(small_or_shuffled(repeated), "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("hits")), "hits")  # of one page
+    few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_IDS
+    both = rows.select("row", "page_id", "url", "number", "zones", "texts").join(F.broadcast(hits) if few else hits.hint("merge"), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        runs: list[int] = []
-        repeated = np.zeros(0, np.int64)
-
-        def done() -> pa.RecordBatch:
-            texts = extract([r[2] for r in held], how, held[0][3], repeated)
-            return pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in held], pa.int64()), "url": pa.array([r[1] for r in held], pa.string()), "text": texts, "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-        now = None
         for batch in batches:
-            for *row, h, s, known in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "number", "host", "shard", "run"))):
-                if held and ((h, s) != now or len(held) >= how.block):
-                    yield done()
-                    held.clear()
-                if (h, s) != now:
-                    runs, repeated, now = [], np.zeros(0, np.int64), (h, s)
-                if known is not None:
-                    runs.append(known)
-                    continue
-                if len(runs) != len(repeated):
-                    repeated = np.array(runs, np.int64)  # they come first, in order
-                held.append(tuple(row))
-        if held:
-            yield done()
-
-    return rows.mapInArrow(run, EXTRACTED)
+            if batch.num_rows:
+                columns = (batch.column(c).to_pylist() for c in ("zones", "texts", "number", "hits"))
+                made = [unique_part(list(zip(z, t)), n, np.array(h or [], np.int64), how) for z, t, n, h in zip(*columns)]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return both.select("page_id", "url", "number", "zones", "texts", "hits").mapInArrow(run, EXTRACTED)
