@@ -36,11 +36,12 @@ SHIFT = np.uint64(21)
 
 @dataclass(frozen=True)
 class Profiles:
-    """n-grams of a language's and of a document's profile, and documents learnt from (about so many of each language)."""
+    """n-grams of a language's and of a document's profile, documents learnt from (about so many of each language), and the most languages that profiles are kept of."""
 
     of_lang: int = 400
     of_doc: int = 300
     docs_per_lang: int = 2000
+    most_langs: int = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -80,13 +81,9 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, how: Profiles) -> dict[str, np.ndarray]:
     """Each language's n-grams in order of rank."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().collect()  # a row for each language
-    shares = {r["lang"]: min(1.0, how.docs_per_lang / r["count"]) for r in sizes}
-    if not shares:
-        return {}
-    rule = F.element_at(F.create_map(*[F.lit(v) for pair in shares.items() for v in pair]), F.col("lang"))
-    place = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    sample = known.where(place < rule)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = known.join(sizes, "lang").where(place * F.col("n") < how.docs_per_lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +102,9 @@ def learn(docs: DataFrame, how: Profiles) -> dict[str, np.ndarray]:
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= how.of_lang)
     found: dict[str, list] = {}
-    for r in top.orderBy("lang", "rank").collect():  # of_lang rows for each language
+    for r in top.orderBy("lang", "rank").limit(how.most_langs * how.of_lang + 1).collect():  # of_lang rows for each language
+        if r["lang"] not in found and len(found) == how.most_langs:
+            raise ValueError(f"lang has more than {how.most_langs} values that can be learnt")
         found.setdefault(r["lang"], []).append(r["gram"])
     return {lang: np.array(g, np.uint64) for lang, g in sorted(found.items())}
 

@@ -1,18 +1,24 @@
 """Quality classifier: co-training of a text view and a page-metadata view.
 
 Two logistic models see different sides of a document: hashed byte trigrams and
-character classes of the text, and the page's metadata (source, language, stated
-length, line layout). Both are fitted on a bounded sample of labelled documents.
-In every round each view scores a bounded pool of unlabelled documents; those it
-is sure of become pseudo-labelled examples of the other view. Each view is then
-calibrated (Platt) on labelled documents held out of the fit, and the calibrated
-views are combined by a logistic model over their log odds, fitted on the same
-held-out documents. All documents are scored by one pass.
+character classes of the text, and the page's metadata alone (source, language,
+stated length). Both are first fitted on a bounded sample of labelled documents.
+In every round each view scores all documents outside that sample, in one pass of
+the table; those it is sure of become pseudo-labelled examples of the other view.
+A task hands on only their sums: for each view, label and cell (a hash of source and
+language, so that rare kinds count too) the number of documents and the sum of their
+features. The views are then refitted on the labelled documents and the cells' means,
+weighted by the cells' documents; both kinds have half of a class's weight, however
+many documents there are. Each view is calibrated (Platt) on labelled documents held
+out of the fit, and the calibrated views are combined by a logistic model over their
+log odds, fitted on the same held-out documents. All documents are scored by one pass.
 
 Defined results: null text counts as empty, null metadata is a value of its own,
-a null label is no label. Without labels of both classes every score is 0.5 and
-all documents are kept. Repeated rows get equal scores; an empty table gives an
-empty result. `keep` returns the input's own columns whatever their names.
+a null label is no label, and a doc_id with labels that contradict one another has
+none. Of a labelled doc_id that repeats, one row is learnt from: the least by its
+features. Without labels of both classes every score is 0.5 and all documents are
+kept. Repeated rows get equal scores; an empty table gives an empty result. `keep`
+returns the input's own columns whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planecraft.llm.jobs import prepare, by_hash
+from planecraft.llm.jobs import by_hash, prepare, stored
 from planecraft.llm.text_arrays import spans, text_bytes
 
 SCORED = "doc_id long, text_score double, meta_score double, score double, kept boolean"
@@ -37,13 +44,12 @@ META_DIMS = 128
 
 @dataclass(frozen=True)
 class CoTraining:
-    """Bounds and rates of the fit. The fit reads at most `labelled` + `pool` documents, chosen by the hash of doc_id."""
+    """Bounds and rates of the fit: labelled documents (at most, by the hash of doc_id), passes over all others, and the probability from which a view is sure."""
 
     labelled: int = 4000
-    pool: int = 4000
     rounds: int = 3
     sure: float = 0.97
-    adopted: int = 400
+    cells: int = 16
     steps: int = 150
     threshold: float = 0.5
 
@@ -71,23 +77,17 @@ def text_view(column: pa.Array) -> np.ndarray:
 
 
 def meta_view(batch: pa.RecordBatch) -> np.ndarray:
-    """Per document: hashed source, language and length class, and the layout of lines as numbers."""
-    data, bounds = text_bytes(batch.column("text"))
-    total = np.concatenate(([0], np.cumsum(data == 0x0A)))
-    lines = total[bounds[1:]] - total[bounds[:-1]] + 1
-    size = np.diff(bounds)
+    """Per document: hashed source, language and class of the stated length, and that length; nothing of the text."""
     stated = np.array([-1.0 if v is None else float(v) for v in batch.column("n_chars").to_pylist()])
-    out = np.zeros((len(size), META_DIMS), np.float32)
-    rows = np.arange(len(size))
-    for name in ("source", "lang"):
-        at = np.array([zlib.crc32(f"{name}={v}".encode()) % (META_DIMS - 8) for v in batch.column(name).to_pylist()], np.int64)
+    out = np.zeros((len(stated), META_DIMS), np.float32)
+    rows = np.arange(len(stated))
+    names = {name: batch.column(name).to_pylist() for name in ("source", "lang")}
+    names["length"] = [int(max(v, -1)).bit_length() if v >= 0 else None for v in stated]
+    for name, values in names.items():
+        at = np.array([zlib.crc32(f"{name}={v}".encode()) % (META_DIMS - 8) for v in values], np.int64)
         out[rows, at] += 1
-    known = np.where(stated >= 0, stated, size)
-    out[rows, np.array([zlib.crc32(f"length={int(v).bit_length()}".encode()) % (META_DIMS - 8) for v in known], np.int64)] += 1
     out[:, -8] = stated < 0
-    out[:, -7] = np.log1p(known) / 8
-    out[:, -6] = np.log1p(size / lines) / 8
-    out[:, -5] = np.log1p(lines) / 8
+    out[:, -7] = np.log1p(np.maximum(stated, 0)) / 8
     out[:, -4] = 1
     return out
 
@@ -96,10 +96,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-3, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights (bias last) by full-batch gradient descent with Nesterov momentum; classes weigh the same."""
     x1 = np.concatenate((x, np.ones((len(x), 1))), 1, dtype=np.float32)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
+    weight = np.ones(len(y)) if weight is None else weight
+    weight = np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y <= 0].sum())).astype(np.float32) * weight.astype(np.float32)
     y = y.astype(np.float32)
     step = 4 / max(1e-9, float((weight @ (x1 * x1)).sum()))
     w = v = np.zeros(x1.shape[1], np.float32)
@@ -140,62 +141,109 @@ def platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], how: CoTraining) -> Model | None:
-    """y: 0 or 1 for each labelled document. A third of them is held out for calibration and combination."""
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return text_view(batch.column("text")), meta_view(batch)
+
+
+Cells = dict[tuple[int, int, int], tuple[int, np.ndarray]]
+
+
+def sure_sums(batch: pa.RecordBatch, model: Model, how: CoTraining) -> Cells:
+    """(view, label, cell): number and feature sum of the documents whose label the other view is sure of."""
+    views, found = _views(batch), {}
+    cell = np.array([zlib.crc32(f"{s}/{v}".encode()) % how.cells for s, v in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist())], np.int64)
+    good = sigmoid(model.log_odds(views))
+    for giver, taker in ((0, 1), (1, 0)):
+        for label, p in ((1, good[:, giver]), (0, 1 - good[:, giver])):
+            at = np.flatnonzero(p >= how.sure)
+            for c in np.unique(cell[at]).tolist():
+                own = at[cell[at] == c]
+                found[taker, label, c] = (len(own), views[taker][own].sum(0, dtype=np.float64))
+    return found
+
+
+def exchanged(others: DataFrame, model: Model, how: CoTraining) -> Cells:
+    """The sums over all documents; added in two steps, so that no task gets more than the square root of all tasks' sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Cells = {}
+        for batch in batches:
+            if batch.num_rows:
+                for key, (n, x) in sure_sums(batch, model, how).items():
+                    m, y = total.get(key, (0, 0.0))
+                    total[key] = (m + n, y + x)
+        part = TaskContext.get().partitionId() % 1024
+        rows = [(*key, part, n, x.tobytes()) for key, (n, x) in total.items()]
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(("view", "label", "cell", "part", "n", "total"), map(list, zip(*rows)))), schema=pa.schema([(c, pa.int32()) for c in ("view", "label", "cell", "part")] + [("n", pa.int64()), ("total", pa.binary())]))
+
+    def add(pdf):
+        total = sum(np.frombuffer(x) for x in pdf["total"])
+        return pdf.head(1).assign(n=pdf["n"].sum(), total=[total.tobytes()])
+
+    schema = "view int, label int, cell int, part int, n long, total binary"
+    sums = others.mapInArrow(run, schema).groupBy("view", "label", "cell", "part").applyInPandas(add, schema).groupBy("view", "label", "cell").applyInPandas(add, schema)
+    return {(r["view"], r["label"], r["cell"]): (r["n"], np.frombuffer(bytes(r["total"]))) for r in sums.collect()}  # 4 x cells rows at most
+
+
+def refitted(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, sums: Cells, how: CoTraining) -> Model | None:
+    """A model of labelled documents and of the cells' means. A third of the labelled is held out for calibration and combination."""
     held = np.arange(len(y)) % 3 == 2
     if min((y[held] > 0).sum(), (y[held] <= 0).sum(), (y[~held] > 0).sum(), (y[~held] <= 0).sum()) < 2:
         return None
-    own = [[x[~held]] for x in views]
-    targets = [[y[~held].astype(float)] for _ in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]  # documents of the pool that a view has not adopted
-    for r in range(how.rounds + 1):
-        fitted = [logistic(np.concatenate(x), np.concatenate(t), how.steps) for x, t in zip(own, targets)]
-        calibration = [platt(linear(w, x[held]), y[held]) for w, x in zip(fitted, views)]
-        if r == how.rounds or not len(pool[0]):
-            break
-        for giver, taker in ((0, 1), (1, 0)):
-            p = sigmoid(linear(calibration[giver], linear(fitted[giver], pool[giver])[:, None]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                at = np.flatnonzero((sure >= how.sure) & free[taker])
-                at = at[np.argsort(-sure[at], kind="stable")][: how.adopted]
-                free[taker][at] = False
-                own[taker].append(pool[taker][at])
-                targets[taker].append(np.full(len(at), label))
-    model = Model(tuple(fitted), tuple(calibration), np.zeros(3), how.threshold)
+    fitted = []
+    for i, x in enumerate(views):
+        rows, target, weight = [x[~held]], [y[~held].astype(float)], [np.ones((~held).sum())]
+        for label in (0, 1):
+            own = [(n, total) for (view, given, _), (n, total) in sorted(sums.items()) if (view, given) == (i, label)]
+            if own:
+                n = np.array([n for n, _ in own], float)
+                rows.append(np.stack([total / m for m, total in own]).astype(np.float32))
+                target.append(np.full(len(own), float(label)))
+                weight.append(n / n.sum() * (y[~held] == label).sum())
+        fitted.append(logistic(np.concatenate(rows), np.concatenate(target), how.steps, weight=np.concatenate(weight)))
+    calibration = tuple(platt(linear(w, x[held]), y[held]) for w, x in zip(fitted, views))
+    model = Model(tuple(fitted), calibration, np.zeros(3), how.threshold)
     combined = logistic(model.log_odds(tuple(x[held] for x in views)).astype(float), y[held].astype(float), 500, 1e-4)
     return Model(model.views, model.calibration, combined, how.threshold)
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_view(batch.column("text")), meta_view(batch)
+def chosen_labels(labels: DataFrame, how: CoTraining) -> DataFrame:
+    """(doc_id, _label) of at most `labelled` doc_ids whose labels agree."""
+    agreed = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_label"), F.max("quality").alias("most"))
+    return agreed.where("_label = most").select("doc_id", (F.col("_label") > 0).cast("int").alias("_label")).orderBy(*by_hash("doc_id")).limit(how.labelled)
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> Model | None:
-    """Fit on a bounded sample: the labelled documents, and the pool, with the smallest hashes of doc_id."""
+    """Fit on the labelled documents with the smallest hashes of doc_id, then exchange over all others."""
     prepare(docs.sparkSession)
-    ids = docs.select("doc_id").where("doc_id is not null")
-    known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("_label"))
-    chosen = known.orderBy(*by_hash("doc_id"), "_label").limit(how.labelled)
-    pool = ids.orderBy(*by_hash("doc_id")).limit(how.pool).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumn("_label", F.lit(-1))
-    sample = chosen.unionByName(pool).dropDuplicates(["doc_id"])  # at most labelled + pool ids
+    chosen = stored(chosen_labels(labels, how), "chosen")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 text, meta = _views(batch)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("_label"), "text": [x.tobytes() for x in text.astype(np.float16)], "meta": [x.tobytes() for x in meta.astype(np.float16)]})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "label": batch.column("_label"), "text": [x.tobytes() for x in text.astype(np.float16)], "meta": [x.tobytes() for x in meta.astype(np.float16)]})
 
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, label int, text binary, meta binary").toArrow()
-    rows = rows.sort_by("doc_id")
-    y = rows["label"].to_numpy()
+    learnt = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, text binary, meta binary")
+    learnt = learnt.groupBy("doc_id", "label").agg(F.min(F.struct("text", "meta")).alias("x")).select("doc_id", "label", "x.*").toArrow().sort_by("doc_id")  # a row of each chosen doc_id
+    y = learnt["label"].to_numpy()
 
-    def matrix(name: str, at: np.ndarray) -> np.ndarray:
-        found = rows[name].take(pa.array(at)).to_pylist()
+    def matrix(name: str) -> np.ndarray:
         width = META_DIMS if name == "meta" else (1 << TRIGRAM_BITS) + CLASS_FEATURES
-        return np.frombuffer(b"".join(found), np.float16).reshape(-1, width).astype(np.float32)
-
-    labelled, free = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    return co_train((matrix("text", labelled), matrix("meta", labelled)), y[labelled], (matrix("text", free), matrix("meta", free)), how)
+        return np.frombuffer(b"".join(learnt[name].to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+
+    views = (matrix("text"), matrix("meta"))
+    model = refitted(views, y, {}, how)
+    others = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    before: dict = {}
+    for _ in range(how.rounds if model is not None else 0):
+        sums = exchanged(others, model, how)
+        if (now := {key: n for key, (n, _) in sums.items()}) == before:
+            break  # the same documents as a round ago
+        model, before = refitted(views, y, sums, how), now
+    return model
 
 
 def judge(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
