@@ -101,7 +101,7 @@ def along_curve(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.array(curve_keys(batch.column("text")))], ["doc_id", "text", "curve_key"])
 
     keyed = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, curve_key long")
-    return keyed.repartitionByRange(partitions(docs), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", F.xxhash64("text"), "text")
+    return keyed.repartitionByRange(partitions(docs, each=8 << 20), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", F.xxhash64("text"), "text")
 
 
 def pack(docs: DataFrame, how: Packing) -> DataFrame:
