@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planecraft.plans.storage import checked
+
 SHIFTS, ZOOMS = ("tz", "ty", "tx", "r"), ("mz", "my", "mx")
 NAMES = SHIFTS + ZOOMS
 
@@ -71,11 +73,20 @@ def flat_gain(pixels: DataFrame) -> DataFrame:
 
 def flat_applied(pixels: DataFrame, gain: DataFrame) -> DataFrame:
     """Values times the gain of their channel and place; without one they stay. The gain has a row for each channel and place, whatever the stack."""
-    return pixels.join(gain, ["w", "y", "x"], "left").groupBy("z", "w").agg(F.round(F.sum((F.col("v") + 1) * F.coalesce("gain", F.lit(1.0))), 4).alias("total"))
+    return pixels.join(checked(gain, "gain", 1_000_000), ["w", "y", "x"], "left").groupBy("z", "w").agg(F.round(F.sum((F.col("v") + 1) * F.coalesce("gain", F.lit(1.0))), 4).alias("total"))
+
 
+def neighbours(params: DataFrame, edges: DataFrame, pixel: tuple[float, float, float], centre: tuple[float, float, float]) -> DataFrame:
+    """How each well's neighbours differ from it, as lengths: (t, src, dst, tz ... mx, total). edges: (src, dst), a few rows.
 
-def neighbours(params: DataFrame, edges: DataFrame) -> DataFrame:
-    """Parameters of each well relative to those of its neighbours. edges: (src, dst)."""
+    The neighbour's parameters minus the well's; shifts times the pixel, the rotation as the way of the image's
+    centre about the origin, and zooms (as 1 + difference) as the way of the centre. pixel: lengths in z, y, x.
+    """
     a, b = params.alias("a"), params.alias("b")
     joined = edges.join(a, F.col("src") == F.col("a.w")).join(b, (F.col("dst") == F.col("b.w")) & (F.col("a.t") == F.col("b.t")))
-    return joined.select(F.col("a.t").alias("t"), "src", "dst", *[F.round(F.col(f"a.{c}") - F.col(f"b.{c}"), 6).alias(c) for c in SHIFTS])
+    apart = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in NAMES}
+    sizes = {c: apart[c] * n for c, n in zip(("tz", "ty", "tx"), pixel)}
+    sizes["r"] = 2 * F.sin(F.radians(F.abs(apart["r"])) / 2) * ((centre[1] ** 2 + centre[2] ** 2) ** 0.5 * (pixel[1] + pixel[2]) / 2)
+    sizes |= {c: F.abs(apart[c] * h) * n for c, h, n in zip(ZOOMS, centre, pixel)}
+    total = F.sqrt(sum((e * e for e in sizes.values()), F.lit(0.0)))
+    return joined.select(F.col("a.t").alias("t"), "src", "dst", *[F.round(e, 4).alias(c) for c, e in sizes.items()], F.round(total, 4).alias("total"))

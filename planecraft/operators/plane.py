@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,32 @@ def shifted(planes: DataFrame, dy: float, dx: float) -> DataFrame:
     return each(planes, lambda y, x: F.round(sum((at(y + iy + a, x + ix + b) * w for a, b, w in weights), F.lit(0.0)), 6))
 
 
-def smoothed(planes: DataFrame, half: int = 1) -> DataFrame:
-    """Centred moving mean along x; at the edges over the pixels that are there."""
-
-    def mean(y: Column, x: Column) -> Column:
-        steps = range(-half, half + 1)
-        n = sum((F.when((x + d >= 0) & (x + d < F.col("nx")), 1).otherwise(0) for d in steps), F.lit(0))
-        return F.round(sum((at(y, x + d) for d in steps), F.lit(0.0)) / n, 6)
-
-    return each(planes, mean)
+def window(kind: str, n: int) -> list[float]:
+    """A smoothing window's weights, of sum 1. kind: flat, hanning, hamming, bartlett, blackman."""
+    turn = [2 * math.pi * i / (n - 1) for i in range(n)]
+    made = {
+        "flat": [1.0] * n,
+        "hanning": [0.5 - 0.5 * math.cos(t) for t in turn],
+        "hamming": [0.54 - 0.46 * math.cos(t) for t in turn],
+        "bartlett": [1 - abs(2 * i / (n - 1) - 1) for i in range(n)],
+        "blackman": [0.42 - 0.5 * math.cos(t) + 0.08 * math.cos(2 * t) for t in turn],
+    }[kind]
+    return [w / sum(made) for w in made]
+
+
+def smoothed(planes: DataFrame, n: int = 3, kind: str = "flat") -> DataFrame:
+    """Rows convolved with a window of n weights. Both ends are continued by point reflection: k pixels before the first
+    value x[0] stands 2 x[0] - x[k + 1], k pixels after the last one 2 x[-1] - x[-k]. Rows shorter than the window stay out."""
+    weights, nx = window(kind, n), F.col("nx")
+
+    def value(y: Column, x: Column) -> Column:
+        inside = at(y, x)
+        before = 2 * at(y, F.lit(0)) - at(y, 1 - x)
+        after = 2 * at(y, nx - 1) - at(y, 2 * nx - 1 - x)
+        return F.when(x < 0, before).when(x >= nx, after).otherwise(inside)
+
+    place = [(n - 1) // 2 - j for j in range(n)]
+    return each(planes.where(F.col("nx") >= n), lambda y, x: F.round(sum((value(y, x + d) * w for d, w in zip(place, weights)), F.lit(0.0)), 6))
 
 
 def derivative(planes: DataFrame) -> DataFrame:

@@ -19,12 +19,19 @@ def mmms(pixels: DataFrame, *keys: str) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.round(F.avg("v"), 6).alias("v_mean"), F.round(F.stddev_pop("v"), 6).alias("v_std"))
 
 
+def moments(data: Column) -> Column:
+    """n, sum, sum of squares about the first value, and that value, of an array in one pass: all that mean and deviation need."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    first = F.get(data, F.lit(0))
+    step = lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + (v - first)).alias("s"), (a["q"] + (v - first) * (v - first)).alias("q"))
+    return F.aggregate(data, zero, step)
+
+
 def section_mmms(sections: DataFrame) -> DataFrame:
-    """The same for each plane, inside its row: no shuffle."""
-    n = F.size("data")
-    mean = F.aggregate("data", F.lit(0.0), lambda s, v: s + v) / n
-    spread = F.aggregate(F.transform("data", lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / n
-    return sections.where(n > 0).select("z", "w", F.array_min("data").alias("v_min"), F.array_max("data").alias("v_max"), F.round(mean, 6).alias("v_mean"), F.round(F.sqrt(spread), 6).alias("v_std"))
+    """The same for each plane, inside its row: no shuffle, and one pass of its pixels."""
+    rows = sections.where(F.size("data") > 0).select("z", "w", F.array_min("data").alias("v_min"), F.array_max("data").alias("v_max"), F.get("data", F.lit(0)).alias("first"), moments(F.col("data")).alias("m"))
+    mean = F.col("m.s") / F.col("m.n")
+    return rows.select("z", "w", "v_min", "v_max", F.round(F.col("first") + mean, 6).alias("v_mean"), F.round(F.sqrt(F.greatest(F.col("m.q") / F.col("m.n") - mean * mean, F.lit(0.0))), 6).alias("v_std"))
 
 
 def _narrowed(values: DataFrame, wanted: DataFrame, keys: list[str], bins: int) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +101,24 @@ def projection(pixels: DataFrame, *keys: str) -> DataFrame:
 def best(pixels: DataFrame, key: str, value: str = "v") -> DataFrame:
     """The key with the highest mean, the first of equal ones: reference channel or time frame."""
     means = pixels.groupBy(key).agg(F.avg(value).alias("m"))
-    return means.agg(F.max_by(F.struct(key, "m"), F.struct("m", -F.xxhash64(key) * 0)).alias("b")).select(f"b.{key}", F.round("b.m", 6).alias("v_mean"))
+    return means.orderBy(F.desc("m"), key).limit(1).select(key, F.round("m", 6).alias("v_mean"))
 
 
-def pearson(pixels: DataFrame, reference: int) -> DataFrame:
-    """Correlation of each channel's mean projection with the reference channel's; null where one is constant."""
-    flat = pixels.groupBy("w", "y", "x").agg(F.avg("v").alias("v"))
-    ref = flat.where(F.col("w") == reference).select("y", "x", F.col("v").alias("r"))
-    r = F.try_divide(F.covar_pop("v", "r"), F.sqrt(F.var_pop("v") * F.var_pop("r")))
-    return flat.join(ref, ["y", "x"]).groupBy("w").agg(F.round(r, 6).alias("pearson"))
+def pearson(planes: DataFrame, reference: int) -> DataFrame:
+    """Correlation of each channel's voxels with those of the reference channel; null where one is constant.
+
+    Planes meet by z; a plane adds its sums, so no pixel is shuffled.
+    """
+    ref = planes.where(F.col("w") == reference).select("z", F.col("data").alias("ref"))
+    pairs = F.zip_with("data", "ref", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("a", "b", "aa", "bb", "ab")])
+    add = lambda s, p: F.struct((s["a"] + p["a"]).alias("a"), (s["b"] + p["b"]).alias("b"), (s["aa"] + p["a"] * p["a"]).alias("aa"), (s["bb"] + p["b"] * p["b"]).alias("bb"), (s["ab"] + p["a"] * p["b"]).alias("ab"))
+    sums = planes.join(ref, "z").select("w", F.size("data").alias("n"), F.aggregate(pairs, zero, add).alias("s"))
+    total = sums.groupBy("w").agg(F.sum("n").alias("n"), *[F.sum(f"s.{c}").alias(c) for c in ("a", "b", "aa", "bb", "ab")])
+    cov, va, vb = (F.col(x + y) / F.col("n") - F.col(x) * F.col(y) / (F.col("n") * F.col("n")) for x, y in ("ab", "aa", "bb"))
+    # what is left of a constant channel by rounding is no spread
+    spread = F.when((va > 1e-12) & (vb > 1e-12), F.sqrt(va * vb))
+    return total.select("w", F.round(F.try_divide(cov, spread), 6).alias("pearson"))
 
 
 def centroid(pixels: DataFrame, *keys: str) -> DataFrame:

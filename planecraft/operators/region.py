@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from planecraft.plans.storage import checked
+
 
 def copied(sections: DataFrame, w: list[int], z: tuple[int, int]) -> DataFrame:
     """Channels and a range of sections; both filters reach the scan."""
@@ -25,6 +27,20 @@ def swapped(sections: DataFrame, a: str, b: str) -> DataFrame:
     return sections.select(*[F.col({a: b, b: a}.get(c, c)).alias(c) for c in sections.columns])
 
 
-def empty_channels(channels: DataFrame, sections: DataFrame) -> DataFrame:
-    """Channels without a section."""
-    return channels.join(sections.select("w"), "w", "left_anti")
+def empty_channels(sections: DataFrame) -> DataFrame:
+    """Channels whose least and greatest values are both 0; a plane adds its own least and greatest."""
+    ends = sections.groupBy("w").agg(F.min(F.array_min("data")).alias("lo"), F.max(F.array_max("data")).alias("hi"))
+    return ends.where("lo = 0 and hi = 0").select("w")
+
+
+def without_empty_channels(sections: DataFrame) -> DataFrame:
+    """Sections of the other channels, which are numbered anew without gaps."""
+    ends = sections.groupBy("w").agg(F.min(F.array_min("data")).alias("lo"), F.max(F.array_max("data")).alias("hi"))
+    kept = ends.where("lo != 0 or hi != 0").select("w", (F.row_number().over(Window.orderBy("w")) - 1).alias("new"))  # a row for each channel
+    return sections.join(checked(kept, "channels"), "w").drop("w").withColumnRenamed("new", "w")
+
+
+def axes(sections: DataFrame, which: str) -> DataFrame:
+    """A stack seen from its side, as pixels: 'xz' swaps z and y, 'yz' swaps z and x."""
+    other = {"xz": "y", "yz": "x"}[which]
+    return swapped(sections, "z", other)

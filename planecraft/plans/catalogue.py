@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planecraft.functions import text
 from planecraft.operators import histogram, kernels, params, plane, reduce, region
-from planecraft.plans.model import PIXELS_SQL, pixels, sections, table
+from planecraft.plans.model import PIXELS_SQL, STACK_SQL, pixels, sections, stack, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,19 +61,19 @@ def max_projection(spark, d):
     return reduce.projection(pixels(spark, d), "w")
 
 
-@query(pixel_sql="SELECT w, round(avg(v), 6) AS v_mean FROM pixels GROUP BY w ORDER BY avg(v) DESC LIMIT 1")
+@query(pixel_sql="SELECT w, round(avg(v), 6) AS v_mean FROM pixels GROUP BY w ORDER BY avg(v) DESC, w LIMIT 1")
 def best_channel(spark, d):
     return reduce.best(pixels(spark, d), "w")
 
 
-@query("SELECT CAST(ts AS DATE) AS frame, round(avg(value), 6) AS v_mean FROM events GROUP BY 1 ORDER BY avg(value) DESC LIMIT 1")
+@query("SELECT CAST(ts AS DATE) AS frame, round(avg(value), 6) AS v_mean FROM events GROUP BY 1 ORDER BY avg(value) DESC, frame LIMIT 1")
 def best_frame(spark, d):
     return reduce.best(table(spark, d, "events").select(F.to_date("ts").alias("frame"), "value"), "frame", "value")
 
 
-@query(pixel_sql=", f AS (SELECT w, y, x, avg(v) AS v FROM pixels GROUP BY w, y, x), r AS (SELECT y, x, v AS r FROM f WHERE w = 0) SELECT w, round(covar_pop(v, r) / nullif(sqrt(var_pop(v) * var_pop(r)), 0), 6) AS pearson FROM f JOIN r USING (y, x) GROUP BY w")
+@query(f"WITH {STACK_SQL}, r AS (SELECT z, y, x, v AS r FROM stack WHERE w = 0) SELECT w, round(covar_pop(v, r) / nullif(sqrt(var_pop(v) * var_pop(r)), 0), 6) AS pearson FROM stack JOIN r USING (z, y, x) GROUP BY w")
 def pearson_vs_reference(spark, d):
-    return reduce.pearson(pixels(spark, d), 0)
+    return reduce.pearson(stack(spark, d), 0)
 
 
 @query(pixel_sql="SELECT w, round(sum((v + 1) * y) / sum(v + 1), 6) AS cy, round(sum((v + 1) * x) / sum(v + 1), 6) AS cx FROM pixels GROUP BY w")
@@ -138,9 +138,46 @@ def otsu2(spark, d):
     return histogram.otsu2(histogram.histogram(pixels(spark, d), 64, "w"), "w")
 
 
-@query(pixel_sql=", t AS (SELECT w, avg(v) + 2 * stddev_pop(v) AS th FROM pixels GROUP BY w) SELECT w, round(any_value(th), 6) AS threshold, count(*) FILTER (v > th) AS n_above FROM pixels JOIN t USING (w) GROUP BY w")
+_basic_sql = (
+    _hist_sql(64)
+    + """, e AS (SELECT w, lo, hi, lo + bin * (hi - lo) / 63 AS x, n FROM h),
+    it AS (SELECT w, 0 AS i, (lo + hi) * 0.5 AS t, false AS done FROM l
+      UNION ALL
+      SELECT w, i + 1, m, abs(m - t) < 0.0001 FROM (
+        SELECT it.w, it.i, it.t, 0.5 * (sum(n * x) FILTER (x <= t) / sum(n) FILTER (x <= t) + sum(n * x) FILTER (x > t) / sum(n) FILTER (x > t)) AS m
+        FROM it JOIN e ON it.w = e.w WHERE NOT done AND i < 100 GROUP BY it.w, it.i, it.t)),
+    t AS (SELECT w, round(t, 6) AS threshold FROM it QUALIFY row_number() OVER (PARTITION BY w ORDER BY i DESC) = 1)
+    SELECT w, threshold, count(*) FILTER (v > threshold) AS n_above FROM pixels JOIN t USING (w) GROUP BY w, threshold"""
+)
+
+
+@query(f"WITH RECURSIVE {PIXELS_SQL} {_basic_sql}")
 def threshold_basic(spark, d):
-    return histogram.above(pixels(spark, d), 2.0, "w")
+    limits = histogram.basic_threshold(histogram.histogram(pixels(spark, d), 64, "w"), 64, "w", dt=0.0001)
+    return histogram.above(pixels(spark, d), limits, "w")
+
+
+@query(
+    pixel_sql=_hist_sql(12)
+    + """, c AS (SELECT w, bin, CAST(sum(n) OVER u AS DOUBLE) AS n, CAST(sum(n * bin) OVER u AS DOUBLE) AS s, CAST(sum(n) OVER a AS DOUBLE) AS nt, CAST(sum(n * bin) OVER a AS DOUBLE) AS st FROM h
+      WINDOW u AS (PARTITION BY w ORDER BY bin), a AS (PARTITION BY w)),
+    p AS (SELECT x.w, x.bin, y.bin AS bin2, z.bin AS bin3, round((x.s * x.s / x.n + (y.s - x.s) * (y.s - x.s) / (y.n - x.n) + (z.s - y.s) * (z.s - y.s) / (z.n - y.n) + (x.st - z.s) * (x.st - z.s) / (x.nt - z.n)) / x.nt - (x.st / x.nt) * (x.st / x.nt), 6) AS v
+      FROM c x JOIN c y ON x.w = y.w AND x.bin < y.bin JOIN c z ON y.w = z.w AND y.bin < z.bin WHERE z.n < z.nt)
+    SELECT w, bin AS threshold1_bin, bin2 AS threshold2_bin, bin3 AS threshold3_bin, v AS between_variance FROM p QUALIFY row_number() OVER (PARTITION BY w ORDER BY v DESC, bin, bin2, bin3) = 1"""
+)
+def otsu3(spark, d):
+    return histogram.otsu3(histogram.histogram(pixels(spark, d), 12, "w"), "w")
+
+
+@query(
+    pixel_sql=_hist_sql(64)
+    + """, c AS (SELECT w, bin, sum(n) OVER (PARTITION BY w ORDER BY bin) / sum(n) OVER (PARTITION BY w) AS share FROM h),
+    q AS (SELECT z, w, y, x, coalesce(floor((v - lo) * 63 / nullif(hi - lo, 0) + 0.5), 0) AS b FROM pixels JOIN l USING (w))
+    SELECT z, q.w, y, x, share AS v FROM q ASOF JOIN c ON q.w = c.w AND q.b >= c.bin"""
+)
+def hist_equalized_stack(spark, d):
+    p = pixels(spark, d)
+    return histogram.equalised_values(p, histogram.histogram(p, 64, "w"), 64, "w")
 
 
 def _plane_sql(select: str) -> str:
@@ -157,9 +194,24 @@ def binning_2x2(spark, d):
     return _long(plane.binned(sections(spark, d), 2))
 
 
-@query(pixel_sql=" SELECT z, w, y, x, round(avg(v) OVER (PARTITION BY z, w, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS v FROM pixels")
+def _smooth_sql(weights: list[str]) -> str:
+    """Rows continued at both ends as s(-k) = 2 x(0) - x(k + 1) and s(7 + k) = 2 x(7) - x(8 - k), then weighted."""
+    half = len(weights) // 2
+    terms = " + ".join(f"{w} * s.v[{half + 1} + e.x + {j - half}]" for j, w in enumerate(weights))
+    ends = [f"2 * r[1] - r[{k + 2}]" for k in range(half, 0, -1)], [f"2 * r[8] - r[{9 - k}]" for k in range(1, half + 1)]
+    return f""", r AS (SELECT z, w, y, list(v ORDER BY x) AS r FROM pixels GROUP BY z, w, y),
+    s AS (SELECT z, w, y, list_concat([{", ".join(ends[0])}], r, [{", ".join(ends[1])}]) AS v FROM r)
+    SELECT s.z, s.w, s.y, e.x, round({terms}, 6) AS v FROM s, (SELECT unnest(range(8)) AS x) e"""
+
+
+@query(pixel_sql=_smooth_sql(["(1.0 / 3)"] * 3))
 def smooth_flat3(spark, d):
-    return _long(plane.smoothed(sections(spark, d), 1))
+    return _long(plane.smoothed(sections(spark, d), 3))
+
+
+@query(pixel_sql=_smooth_sql(["0.0", "0.25", "0.5", "0.25", "0.0"]))
+def smooth_hanning5(spark, d):
+    return _long(plane.smoothed(sections(spark, d), 5, "hanning"))
 
 
 @query(pixel_sql=_plane_sql("CASE WHEN x > 0 THEN v - lag(v) OVER r ELSE 0 END"))
@@ -167,10 +219,11 @@ def derivative(spark, d):
     return _long(plane.derivative(sections(spark, d)))
 
 
-@query(pixel_sql=""" SELECT a.z, a.w, a.y, a.x, round(0.375 * a.v + 0.375 * coalesce(b.v, 0) + 0.125 * coalesce(c.v, 0) + 0.125 * coalesce(e.v, 0), 6) AS v FROM pixels a
-  LEFT JOIN pixels b ON b.z = a.z AND b.w = a.w AND b.y = a.y AND b.x = a.x + 1
-  LEFT JOIN pixels c ON c.z = a.z AND c.w = a.w AND c.y = a.y + 1 AND c.x = a.x
-  LEFT JOIN pixels e ON e.z = a.z AND e.w = a.w AND e.y = a.y + 1 AND e.x = a.x + 1""")
+@query(
+    """SELECT vec_id AS z, label AS w, y, x, round(0.375 * e[y * 8 + x + 1] + 0.375 * CASE WHEN x < 7 THEN e[y * 8 + x + 2] ELSE 0 END + 0.125 * CASE WHEN y < 7 THEN e[y * 8 + x + 9] ELSE 0 END
+      + 0.125 * CASE WHEN y < 7 AND x < 7 THEN e[y * 8 + x + 10] ELSE 0 END, 6) AS v
+    FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), (SELECT p // 8 AS y, p % 8 AS x FROM (SELECT unnest(range(64)) AS p))"""
+)
 def bilinear_shift(spark, d):
     return _long(plane.shifted(sections(spark, d), 0.25, 0.5))
 
@@ -227,13 +280,14 @@ def _values(rows) -> str:
 
 @query(
     f"""WITH {PARAMS_SQL}, tw(target, wave) AS (VALUES {_values(WAVES)}), pw(w, wave) AS (VALUES {_values(PARAM_WAVES)}),
-    own AS (SELECT CAST(round(pw.wave) AS INT) AS k, params.* FROM params JOIN pw ON params.w = pw.w WHERE t = 0)
-    SELECT tw.target, CAST(tw.wave AS DOUBLE) AS wave, {', '.join(f'coalesce(o.{c}, r.{c}) AS {c}' for c in params.NAMES)}
-    FROM tw LEFT JOIN own o ON o.k = CAST(round(tw.wave) AS INT) CROSS JOIN (SELECT * FROM own WHERE k = 488) r"""
+    own AS (SELECT CAST(round(pw.wave) AS INT) AS k, params.* FROM params JOIN pw ON params.w = pw.w),
+    frames AS (SELECT DISTINCT t FROM own)
+    SELECT f.t, tw.target, CAST(tw.wave AS DOUBLE) AS wave, {', '.join(f'coalesce(o.{c}, r.{c}) AS {c}' for c in params.NAMES)}
+    FROM frames f CROSS JOIN tw LEFT JOIN own o ON o.t = f.t AND o.k = CAST(round(tw.wave) AS INT) LEFT JOIN own r ON r.t = f.t AND r.k = 488"""
 )
 def wave_matched_params(spark, d):
-    own = parameters(spark, d).where("t = 0").join(F.broadcast(spark.createDataFrame(PARAM_WAVES, "w long, wave double")), "w")  # a row for each channel
-    return params.matched(spark.createDataFrame(WAVES, "target int, wave double"), own, 488.0).drop("t")  # of frame 0 only, as its SQL
+    own = parameters(spark, d).join(F.broadcast(spark.createDataFrame(PARAM_WAVES, "w long, wave double")), "w")  # a row for each channel
+    return params.matched(spark.createDataFrame(WAVES, "target int, wave double"), own, 488.0)
 
 
 @query(f"WITH {PARAMS_SQL} SELECT t, CAST(max(ceil(greatest(ty, 0))) AS BIGINT) AS y0, CAST(min(floor(512 + least(ty, 0))) AS BIGINT) AS y1, CAST(max(ceil(greatest(tx, 0))) AS BIGINT) AS x0, CAST(min(floor(512 + least(tx, 0))) AS BIGINT) AS x1 FROM params GROUP BY t")
@@ -259,30 +313,48 @@ def spectrum_pivot(spark, d):
     return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.round(F.avg("value"), 6))
 
 
-@query(f"WITH {PARAMS_SQL}, edges(src, dst) AS (VALUES {_values(WELLS)}) SELECT a.t, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, {', '.join(f'round(a.{c} - b.{c}, 6) AS {c}' for c in params.SHIFTS)} FROM edges JOIN params a ON a.w = src JOIN params b ON b.w = dst AND a.t = b.t")
+_apart = {c: f"(b.{c} - a.{c})" for c in params.NAMES}
+_wells_nm = {
+    "tz": f"{_apart['tz']} * 200",
+    "ty": f"{_apart['ty']} * 80",
+    "tx": f"{_apart['tx']} * 80",
+    # the way of the centre (y, x) = (256, 256) when it is rotated about the origin
+    "r": f"sqrt(pow(256 * cos(radians({_apart['r']})) + 256 * sin(radians({_apart['r']})) - 256, 2) + pow(256 * cos(radians({_apart['r']})) - 256 * sin(radians({_apart['r']})) - 256, 2)) * 80",
+    "mz": f"abs(16 * (1 + {_apart['mz']}) - 16) * 200",
+    "my": f"abs(256 * (1 + {_apart['my']}) - 256) * 80",
+    "mx": f"abs(256 * (1 + {_apart['mx']}) - 256) * 80",
+}
+
+
+@query(f"WITH {PARAMS_SQL}, edges(src, dst) AS (VALUES {_values(WELLS)}) SELECT a.t, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, {', '.join(f'round({e}, 4) AS {c}' for c, e in _wells_nm.items())}, round(sqrt({' + '.join(f'pow({e}, 2)' for e in _wells_nm.values())}), 4) AS total FROM edges JOIN params a ON a.w = src JOIN params b ON b.w = dst AND a.t = b.t")
 def well_neighbors(spark, d):
-    return params.neighbours(parameters(spark, d), F.broadcast(spark.createDataFrame(WELLS, "src long, dst long")))  # sixteen rows
+    edges = F.broadcast(spark.createDataFrame(WELLS, "src long, dst long"))  # sixteen rows
+    return params.neighbours(parameters(spark, d), edges, (200.0, 80.0, 80.0), (16.0, 256.0, 256.0))
 
 
-@query("SELECT vec_id AS z, label AS w, t, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS v(t)")
+@query("SELECT vec_id AS z, label AS w, t, CAST(embedding AS DOUBLE[]) AS data FROM embeddings, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS v(t)")
 def merge_along_t(spark, d):
     s = sections(spark, d)
-    return region.merged_along_t([s, s]).select("z", "w", "t", F.round(F.col("data")[0], 6).alias("first"))
+    return region.merged_along_t([s, s]).select("z", "w", "t", "data")
 
 
-@query("SELECT vec_id AS z, label AS w, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM embeddings WHERE label IN (1, 3) AND vec_id BETWEEN 10 AND 200")
+@query("SELECT vec_id AS z, label AS w, CAST(embedding AS DOUBLE[]) AS data FROM embeddings WHERE label IN (1, 3) AND vec_id BETWEEN 10 AND 200")
 def copy_region(spark, d):
-    return region.copied(sections(spark, d), [1, 3], (10, 200)).select("z", "w", F.round(F.col("data")[63], 6).alias("last"))
+    return region.copied(sections(spark, d), [1, 3], (10, 200)).select("z", "w", "data")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS z, vec_id AS t, label AS w FROM embeddings")
+@query("SELECT CAST(0 AS BIGINT) AS z, vec_id AS t, label AS w, CAST(embedding AS DOUBLE[]) AS data FROM embeddings")
 def swap_z_t(spark, d):
-    return region.swapped(sections(spark, d).withColumn("t", F.lit(0).cast("long")), "z", "t").select("z", "t", "w")
+    return region.swapped(sections(spark, d).withColumn("t", F.lit(0).cast("long")), "z", "t").select("z", "t", "w", "data")
+
+
+_dark = "CASE WHEN v > 0.3 THEN v ELSE 0 END"
 
 
-@query("SELECT w FROM (SELECT unnest(range(12)) AS w) WHERE w NOT IN (SELECT label FROM embeddings)")
+@query(pixel_sql=f", dark AS (SELECT z AS w, {_dark} AS v FROM pixels) SELECT w FROM dark GROUP BY w HAVING min(v) = 0 AND max(v) = 0")
 def empty_channels(spark, d):
-    return region.empty_channels(spark.range(12).withColumnRenamed("id", "w"), sections(spark, d))
+    dark = sections(spark, d).select(F.col("z").alias("w"), F.transform("data", lambda v: F.when(v > 0.3, v).otherwise(0.0)).alias("data"))
+    return region.empty_channels(dark)
 
 
 @query("SELECT p_partkey, list_sort(list_distinct([p_size, p_size + 1, p_size + 2, 7])) AS numbers FROM part")

@@ -29,6 +29,12 @@ def to_sections(pixels: DataFrame, *keys: str) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias("data"))
 
 
+def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as a stack of ten channels, whose planes meet in z: (z, w, ny, nx, data)."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return rows.select(F.floor(F.col("vec_id") / 10).alias("z"), (F.col("vec_id") % 10).alias("w"), F.lit(8).alias("ny"), F.lit(8).alias("nx"), F.col("embedding").cast("array<double>").alias("data"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_pixels(sections(spark, sf_dir))
 
@@ -37,3 +43,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIXELS_SQL = """pixels AS (
   SELECT vec_id AS z, label AS w, CAST(p // 8 AS BIGINT) AS y, CAST(p % 8 AS BIGINT) AS x, CAST(embedding[p + 1] AS DOUBLE) AS v
   FROM embeddings, (SELECT unnest(range(64)) AS p))"""
+
+STACK_SQL = """stack AS (
+  SELECT vec_id // 10 AS z, vec_id % 10 AS w, CAST(p // 8 AS BIGINT) AS y, CAST(p % 8 AS BIGINT) AS x, CAST(embedding[p + 1] AS DOUBLE) AS v
+  FROM embeddings, (SELECT unnest(range(64)) AS p))"""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,3 +37,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checked(small: DataFrame, what: str, most: int = 100_000) -> DataFrame:
+    """A side of a join, stored and counted: broadcast up to `most` rows, else left to a shuffle."""
+    rows = stored(small, what)
+    return F.broadcast(rows) if rows.count() <= most else rows
