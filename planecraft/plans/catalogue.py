@@ -383,3 +383,6 @@ def phase_correlation(spark, d):
 @query()
 def affine_apply(spark, d):
     return kernels.resampled(sections(spark, d), {"ty": 0.5, "tx": -0.25, "degrees": 5.0, "my": 1.1, "mx": 0.9})
+
+
+from planecraft.plans import shapes  # noqa: E402, F401  (registers its queries)
