@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from planecraft.operators.fitting import images
 from planecraft.plans.shipping import ship
 
 
@@ -47,10 +48,7 @@ def correlated(planes: DataFrame, reference: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shape = list(zip(batch.column("ny").to_pylist(), batch.column("nx").to_pylist()))
-            planes = [np.array(x).reshape(s) for x, s in zip(batch.column("data").to_pylist(), shape)]
-            refs = [np.array(x).reshape(s) for x, s in zip(batch.column("ref").to_pylist(), shape)]
-            found = np.array([phase_shift(r, p) for r, p in zip(refs, planes)]).reshape(-1, 3)
+            found = np.array([phase_shift(r, p) for r, p in zip(images(batch, "ref"), images(batch))]).reshape(-1, 3)
             yield pa.RecordBatch.from_pydict({"z": batch.column("z"), "w": batch.column("w"), "dy": found[:, 0], "dx": found[:, 1], "height": found[:, 2]})
 
     return planes.join(reference, "w").select("z", "w", "ny", "nx", "data", "ref").mapInArrow(run, "z long, w int, dy double, dx double, height double")
@@ -62,8 +60,7 @@ def resampled(planes: DataFrame, params: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shape = zip(batch.column("ny").to_pylist(), batch.column("nx").to_pylist())
-            made = [affine(np.array(x).reshape(s), **params).ravel() for x, s in zip(batch.column("data").to_pylist(), shape)]
+            made = [affine(x, **params).ravel() for x in images(batch)]
             yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(made, pa.list_(pa.float64())))
 
     return planes.mapInArrow(run, planes.schema)

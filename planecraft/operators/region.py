@@ -22,6 +22,14 @@ def merged_along_t(stacks: list[DataFrame]) -> DataFrame:
     return out
 
 
+def merged_along_w(stacks: list[DataFrame], channels: int) -> DataFrame:
+    """Stacks of up to `channels` channels side by side: the channels of the nth are numbered on from n times as many."""
+    out = stacks[0]
+    for i, s in enumerate(stacks[1:], 1):
+        out = out.unionByName(s.withColumn("w", F.col("w") + i * channels))
+    return out
+
+
 def swapped(sections: DataFrame, a: str, b: str) -> DataFrame:
     """Two axes for each other."""
     return sections.select(*[F.col({a: b, b: a}.get(c, c)).alias(c) for c in sections.columns])

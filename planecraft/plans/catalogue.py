@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planecraft.functions import text
 from planecraft.operators import histogram, kernels, params, plane, reduce, region
+from planecraft.plans.storage import checked
 from planecraft.plans.model import PIXELS_SQL, STACK_SQL, pixels, sections, stack, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,13 +377,8 @@ def grep(spark, d):
 @query()
 def phase_correlation(spark, d):
     planes = sections(spark, d)
-    ref = planes.groupBy("w").agg(F.min_by("data", "z").alias("ref"))
+    ref = checked(planes.groupBy("w").agg(F.min_by("data", "z").alias("ref")), "references", 1000)
     return kernels.correlated(planes, ref)
 
 
-@query()
-def affine_apply(spark, d):
-    return kernels.resampled(sections(spark, d), {"ty": 0.5, "tx": -0.25, "degrees": 5.0, "my": 1.1, "mx": 0.9})
-
-
-from planecraft.plans import shapes  # noqa: E402, F401  (registers its queries)
+from planecraft.plans import shapes, stacks  # noqa: E402, F401  (they register their queries)

@@ -30,9 +30,31 @@ def test_query_matches_sql(spark, sf, con, name):
     assert rows(got) == rows(want) and len(got)
 
 
+ROWS = {"phase_correlation": 500, "global_alignment": 7, "mosaic_peaks": 35}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_kernel_query_runs(spark, sf, name):
-    assert catalogue.QUERIES[name](spark, sf).count() == 500
+    assert catalogue.QUERIES[name](spark, sf).count() == ROWS[name]
+
+
+def test_known_warps_of_mosaics_are_found(spark, sf):
+    for r in catalogue.QUERIES["global_alignment"](spark, sf).collect():
+        assert (r.ty, r.tx, r.r) == pytest.approx((1.5, -2.0, 0.6), abs=0.25)
+
+
+def test_phase_correlation_matches_a_direct_transform(spark, sf):
+    """Each query row against sums over all pairs of frequencies and pixels."""
+    planes = {r.z: (r.w, np.array(r.data).reshape(8, 8)) for r in catalogue.sections(spark, sf).collect()}
+    first = {}
+    for z in sorted(planes, reverse=True):
+        first[planes[z][0]] = planes[z][1]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(8), np.arange(8)) / 8)
+    for r in catalogue.QUERIES["phase_correlation"](spark, sf).collect():
+        w, b = planes[r.z]
+        cross = (turn @ first[w] @ turn.T) * np.conj(turn @ b @ turn.T)
+        image = (np.conj(turn) @ (cross / np.maximum(np.abs(cross), 1e-12)) @ np.conj(turn).T).real / 64
+        assert r.height == pytest.approx(image.max(), abs=1e-9)
 
 
 def test_phase_shift_finds_rolls():
