@@ -3,8 +3,9 @@
 All documents' ids, each with its end token, lie end to end in ascending doc_id
 order, cut into sequences of equal length. A file holds batches of `rows` sequences:
 a fixed-size list of ids and one of mask bytes (0 in the padding after a file's last
-id, else 1). As all lists have one size, sequence i is found by arithmetic, and a
-memory-mapped file gives ids and mask without a copy. A second small file lists the
+id, else 1). Only a file's last sequence may have a mask of its own, so masks are kept
+in a dictionary of such lists, by their number. As all lists have one size, sequence i
+is found by arithmetic, and a memory-mapped file gives ids and mask without a copy. A second small file lists the
 documents of the first: doc_id, place of the first id, number of ids.
 
 A file is written under a name of its task attempt and then renamed, so a task that
@@ -48,7 +49,7 @@ class Format:
 
     def schema(self) -> pa.Schema:
         kind = pa.uint16() if self.id_bytes == 2 else pa.uint32()
-        return pa.schema([pa.field("ids", pa.list_(kind, self.length)), pa.field("mask", pa.list_(pa.uint8(), self.length))])
+        return pa.schema([pa.field("ids", pa.list_(kind, self.length)), pa.field("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), self.length)))])
 
     def holding(self, largest: int) -> Format:
         """This format with ids wide enough for the largest one."""
@@ -70,7 +71,7 @@ class SequenceWriter:
     """Takes ids bit by bit, and writes full batches."""
 
     def __init__(self, sink, form: Format):
-        self.form, self.writer = form, pa.ipc.new_file(sink, form.schema())
+        self.form, self.writer = form, pa.ipc.new_file(sink, form.schema(), options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.dtype = np.uint16 if form.id_bytes == 2 else np.uint32
         self.held, self.size, self.total = [], 0, 0
 
@@ -87,8 +88,13 @@ class SequenceWriter:
             self.held, self.size = [rest.copy()], len(rest)
 
     def write(self, ids: np.ndarray, valid: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(x, self.form.length) for x in (pa.array(ids), pa.array((np.arange(len(ids)) < valid).view(np.uint8)))]
-        self.writer.write_batch(pa.record_batch(lists, schema=self.form.schema()))
+        n, rest = self.form.length, valid % self.form.length
+        masks = np.arange(n)[None, :] < np.array([n, rest] if rest else [n])[:, None]
+        number = np.zeros(len(ids) // n, np.int32)
+        number[-1] = 1 if rest else 0
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x in (ids, masks.ravel().view(np.uint8))]
+        mask = pa.DictionaryArray.from_arrays(pa.array(number), lists[1])
+        self.writer.write_batch(pa.record_batch([lists[0], mask], schema=self.form.schema()))
 
     def close(self) -> None:
         if self.size:
@@ -109,12 +115,18 @@ class SequenceFile:
         self.held: tuple[int, np.ndarray] = (-1, np.zeros(0))
 
     def n_tokens(self) -> int:
-        """Ids in the file, by the masks: only the last batch has padding."""
+        """Ids in the file, by the masks: only the last sequence has padding."""
         last = self.reader.num_record_batches - 1
-        return last * self.rows * self.length + int(self.masks(last).sum()) if last >= 0 else 0
+        if last < 0:
+            return 0
+        rows = self.reader.get_batch(last).num_rows
+        return (last * self.rows + rows - 1) * self.length + int(self.mask(last, rows - 1).sum())
 
-    def masks(self, b: int) -> np.ndarray:
-        return self.reader.get_batch(b).column("mask").flatten().to_numpy(zero_copy_only=True).view(bool)
+    def mask(self, b: int, row: int) -> np.ndarray:
+        column = self.reader.get_batch(b).column("mask")
+        masks = column.dictionary.flatten().to_numpy(zero_copy_only=True).view(bool)
+        at = column.indices[row].as_py() * self.length
+        return masks[at : at + self.length]
 
     def batch_ids(self, b: int) -> np.ndarray:
         if self.held[0] != b:
@@ -124,8 +136,7 @@ class SequenceFile:
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i, as views."""
         b, row = divmod(i, self.rows)
-        place = slice(row * self.length, (row + 1) * self.length)
-        return self.batch_ids(b)[place], self.masks(b)[place]
+        return self.batch_ids(b)[row * self.length : (row + 1) * self.length], self.mask(b, row)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         batch, found = self.rows * self.length, []
