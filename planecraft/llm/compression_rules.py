@@ -128,7 +128,7 @@ def compressed_shares(s: Slice, bands: Bands) -> tuple[np.ndarray, ...]:
 def judge(column: pa.Array, bands: Bands) -> dict[str, np.ndarray]:
     """All counts and verdicts of a column of texts."""
     parts: list[dict[str, np.ndarray]] = []
-    for _, _, s in slices(column):
+    for _, _, s in slices(column, plain=True):  # what is counted is compared by bytes
         x = base_counts(s)
         x["ratio"], x["worst_chunk"], x["low_chunks"], x["high_chunks"] = compressed_shares(s, bands)
         sizes = np.diff(s.bounds)

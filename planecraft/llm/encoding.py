@@ -172,7 +172,7 @@ class Encoder:
     def slice(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         if not len(data):
             return [np.zeros(0, np.uint32)] * (len(bounds) - 1)
-        s, n = make_slice(data, bounds), len(data)
+        s, n = make_slice(data, bounds, plain=True), len(data)
         space, letter = SPACE[data], LETTER[data]
         cut = np.zeros(n + 1, bool)
         cut[bounds[:-1]] = True

@@ -79,7 +79,7 @@ def hilbert(levels: np.ndarray, bits: int = LEVEL_BITS) -> np.ndarray:
 def curve_keys(column: pa.Array) -> np.ndarray:
     """The Hilbert key of every text."""
     keys, to_few = [], projection()
-    for _, _, s in slices(column):
+    for _, _, s in slices(column, plain=True):
         words = s.words()
         place = (words >> np.uint64(8)) & np.uint64(DIMS - 1)
         sign = np.where(words & np.uint64(1), 1.0, -1.0)
