@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planecraft.llm.jobs import prepare
+from planecraft.llm.jobs import prepare, stored
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 SHIFT = np.uint64(21)
@@ -81,9 +81,11 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, how: Profiles) -> dict[str, np.ndarray]:
     """Each language's n-grams in order of rank."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if sizes.count() > how.most_langs:
+        raise ValueError(f"lang has more than {how.most_langs} values")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(sizes, "lang").where(place * F.col("n") < how.docs_per_lang)
+    sample = known.join(F.broadcast(sizes), "lang").where(place * F.col("n") < how.docs_per_lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +104,7 @@ def learn(docs: DataFrame, how: Profiles) -> dict[str, np.ndarray]:
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= how.of_lang)
     found: dict[str, list] = {}
-    for r in top.orderBy("lang", "rank").limit(how.most_langs * how.of_lang + 1).collect():  # of_lang rows for each language
-        if r["lang"] not in found and len(found) == how.most_langs:
-            raise ValueError(f"lang has more than {how.most_langs} values that can be learnt")
+    for r in top.orderBy("lang", "rank").collect():  # of_lang rows for each language
         found.setdefault(r["lang"], []).append(r["gram"])
     return {lang: np.array(g, np.uint64) for lang, g in sorted(found.items())}
 
