@@ -92,3 +92,36 @@ def poisson(planes: DataFrame, column: str = "v", seed: int = 0) -> DataFrame:
     step = lambda a, k: F.struct((a["p"] * v / k).alias("p"), (a["sum"] + a["p"] * v / k).alias("sum"), (a["count"] + F.when(a["sum"] < F.col("_u"), 1).otherwise(0)).alias("count"))
     rows = planes.withColumn("_u", F.rand(seed))
     return rows.withColumn(column, F.aggregate(F.sequence(F.lit(1), top), zero, step)["count"].cast("double")).drop("_u")
+
+
+def zernike_term(number: int) -> tuple[int, int, bool]:
+    """Order, turns and whether it is a sine, of the numbered polynomial: orders follow each other, turns fall, cosine before sine."""
+    order = math.isqrt(number)
+    step = number - order * order
+    return order, order - step // 2, step % 2 == 1
+
+
+def zernike(number: int, ny: int, nx: int, radius: float | None = None, crop: bool = True) -> Column:
+    """A Zernike polynomial about the plane's middle; 0 beyond the radius (half the shorter side) if cropped."""
+    order, turns, sine = zernike_term(number)
+    scale = min(ny, nx) / 2 if radius is None else radius
+    r, value = radial(ny, nx) / float(scale), F.lit(0.0)
+    for s in range(order - turns + 1):
+        ways = math.factorial(2 * order - turns - s) / (math.factorial(s) * math.factorial(order - s) * math.factorial(order - turns - s))
+        value = value + F.lit((-1) ** s * ways) * F.pow(r, F.lit(float(2 * (order - s) - turns)))
+    if turns:
+        angle = direction(ny, nx) * turns
+        value = value * (F.sin(angle) if sine else F.cos(angle))
+    return F.when(r <= 1, value).otherwise(0.0) if crop else value
+
+
+def neighbourhood(spark: SparkSession, connectivity: int) -> DataFrame:
+    """(z, y, x, v): a structuring element of 3 x 3 x 3: places of the middle plane in at most `connectivity` steps; the outer planes are empty."""
+    cube = spark.range(27).select(F.floor(F.col("id") / 9).alias("z"), F.floor(F.col("id") / 3 % 3).alias("y"), (F.col("id") % 3).alias("x"))
+    return cube.select("z", "y", "x", ((F.col("z") == 1) & (F.abs(F.col("y") - 1) + F.abs(F.col("x") - 1) <= connectivity)).alias("v"))
+
+
+def flat_disc(spark: SparkSession, ny: int = 5, nx: int = 5, radius: float = 2.5) -> DataFrame:
+    """(z, y, x, v): a structuring element of three planes with a disc in the middle one."""
+    plane = grid(spark, ny, nx).select("y", "x", (radial(ny, nx) <= radius).alias("inside"))
+    return plane.select(F.explode(F.expr("sequence(0L, 2L)")).alias("z"), "y", "x", "inside").select("z", "y", "x", ((F.col("z") == 1) & F.col("inside")).alias("v"))

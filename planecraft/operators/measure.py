@@ -104,3 +104,13 @@ def phase(re: Column, im: Column) -> Column:
 def from_polar(size: Column, angle: Column) -> tuple[Column, Column]:
     """Real and imaginary part."""
     return size * F.cos(angle), size * F.sin(angle)
+
+
+def peak_statistics(peaks: DataFrame, pixel: tuple[float, float], *keys: str) -> DataFrame:
+    """Mean and deviation of fitted peaks' heights and full widths at half height in y and x, and their number.
+
+    peaks: (height, sigma_y, sigma_x). A peak as wide in y as in x was not fitted and takes no part. pixel: lengths in y, x.
+    """
+    fitted = peaks.where("sigma_y != sigma_x")
+    values = {"height": F.col("height")} | {f"width_{c}": F.col(f"sigma_{c}") * (n * 2 * math.sqrt(2 * math.log(2))) for c, n in zip("yx", pixel)}
+    return fitted.groupBy(*keys).agg(*[F.round(f(v), 6).alias(f"{n}_{k}") for n, v in values.items() for k, f in (("mean", F.avg), ("std", F.stddev_pop))], F.count("*").alias("n"))

@@ -147,3 +147,17 @@ def line_profile(planes: DataFrame, start: tuple[float, float], end: tuple[float
     y, x = (F.floor(F.lit(float(a)) + F.col("step") * F.lit(d / (length or 1)) + 0.5) for a, d in ((start[0], dy), (start[1], dx)))
     inside = y.between(0, F.col("ny") - 1) & x.between(0, F.col("nx") - 1)
     return at.select("z", "w", "step", F.when(inside, F.get("data", (y * F.col("nx") + x).cast("int"))).alias("v"))
+
+
+def pearson_in_common(pixels: DataFrame, margin: int = 2) -> DataFrame:
+    """(image, pearson): correlation of channels 0 and 1 over the box that all images cover, half the margin less at each side.
+
+    pixels: (image, w, z, y, x, v), whose places are absolute. Null where a channel is constant there.
+    """
+    spans = pixels.groupBy("image").agg(*[f(c).alias(f"{c}{k}") for c in "zyx" for k, f in ((0, F.min), (1, F.max))])
+    box = spans.agg(*[f.alias(f"{c}{k}") for c in "zyx" for k, f in ((0, F.max(f"{c}0") + margin // 2), (1, F.min(f"{c}1") - margin // 2))])
+    inside = pixels.where("w in (0, 1)").join(F.broadcast(box), on=[F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1")) for c in "zyx"])  # one row
+    one = lambda w: F.max(F.when(F.col("w") == w, F.col("v")))
+    both = inside.groupBy("image", "z", "y", "x").agg(one(0).alias("a"), one(1).alias("b")).where("a is not null and b is not null")
+    spread = F.sqrt(F.var_pop("a") * F.var_pop("b"))
+    return both.groupBy("image").agg(F.round(F.try_divide(F.covar_pop("a", "b"), spread), 6).alias("pearson"))

@@ -52,3 +52,27 @@ def axes(sections: DataFrame, which: str) -> DataFrame:
     """A stack seen from its side, as pixels: 'xz' swaps z and y, 'yz' swaps z and x."""
     other = {"xz": "y", "yz": "x"}[which]
     return swapped(sections, "z", other)
+
+
+def floor_is_zero(sections: DataFrame) -> DataFrame:
+    """(zero): whether the least value of every frame and channel (t, w) is 0."""
+    least = sections.groupBy("t", "w").agg(F.min(F.array_min("data")).alias("lo"))
+    return least.agg(F.bool_and(F.col("lo") == 0).alias("zero"))
+
+
+def maximum_of(stacks: list[DataFrame]) -> DataFrame:
+    """Stacks (t, w, z, data) of equal planes laid over each other: (t, w, z, data) with the greatest values.
+
+    Sections are numbered from 0. Of a stack with more sections than the shortest only the middle ones
+    count: what is over goes from both ends, the odd section from the far end.
+    """
+    rows = stacks[0].select(F.lit(0).alias("i"), "t", "w", "z", "data")
+    for i, s in enumerate(stacks[1:], 1):
+        rows = rows.unionAll(s.select(F.lit(i).alias("i"), "t", "w", "z", "data"))
+    ends = rows.groupBy("i").agg(F.min("z").alias("z0"), (F.max("z") - F.min("z") + 1).alias("n")).withColumn("all", F.lit(0))
+    spans = ends.withColumn("least", F.min("n").over(Window.partitionBy("all")))  # a row for each stack
+    first = F.col("z0") + F.floor((F.col("n") - F.col("least")) / 2)
+    placed = rows.join(checked(spans.select("i", "least", first.alias("first")), "spans"), "i").withColumn("z", F.col("z") - F.col("first"))
+    laid = placed.where("z >= 0 and z < least").groupBy("t", "w", "z").agg(F.collect_list("data").alias("all"))  # as many as stacks
+    greatest = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+    return laid.select("t", "w", "z", F.aggregate(F.slice("all", 2, len(stacks)), F.get("all", F.lit(0)), greatest).alias("data"))

@@ -218,3 +218,18 @@ def moved_in_z(planes: DataFrame, shift: float, zoom: float = 1.0) -> DataFrame:
     sums = rows.groupBy("w", "to", "ny", "nx", "p").agg(F.sum("v").alias("v"))
     made = sums.groupBy("w", "to", "ny", "nx").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("s"))
     return made.select(F.col("to").alias("z"), "w", "ny", "nx", F.transform("s", lambda e: e["v"]).alias("data"))
+
+
+def drift(frames: DataFrame, reference_frame: int, reference_channel: int, turns: bool = False) -> DataFrame:
+    """(image, t, w, ty, tx, r, my, mx) that bring every frame of an image (image, t, w, ny, nx, data) onto its reference frame.
+
+    Found in the reference channel and valid for all channels. Without `turns` a frame only shifts; zooms stay 1.
+    An image without the reference frame or channel gives no rows.
+    """
+    own = frames.where(F.col("w") == reference_channel).select(F.col("image").cast("long").alias("z"), F.col("t").cast("long").alias("w"), "ny", "nx", "data")
+    reference = own.where(F.col("w") == reference_frame)
+    found = aligned(own.where(F.col("w") != reference_frame), reference.select("z", F.col("data").alias("ref")), **({} if turns else {"rounds": 0}))
+    at_rest = reference.select("z", "w", *[F.lit(0.0).alias(c) for c in ("ty", "tx", "r")])
+    moved = found.select("z", "w", "ty", "tx", "r").unionAll(at_rest).withColumnsRenamed({"z": "image", "w": "t"})
+    channels = frames.select(F.col("image").cast("long").alias("image"), F.col("t").cast("long").alias("t"), F.col("w").cast("long").alias("w"))
+    return channels.join(moved, ["image", "t"]).select("image", "t", "w", "ty", "tx", "r", F.lit(1.0).alias("my"), F.lit(1.0).alias("mx"))

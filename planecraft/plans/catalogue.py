@@ -381,4 +381,4 @@ def phase_correlation(spark, d):
     return kernels.correlated(planes, ref)
 
 
-from planecraft.plans import shapes, stacks  # noqa: E402, F401  (they register their queries)
+from planecraft.plans import series, shapes, stacks  # noqa: E402, F401  (they register their queries)

@@ -25,3 +25,12 @@ def lines(params: DataFrame, reference: int, pixel: tuple[float, float, float])
     rows = params.select(F.concat_ws(",", *COLUMNS).alias("value"), "t", "wavelength")
     numbered = made.select("value", F.lit(-1).alias("t"), F.col("nth").cast("double").alias("wavelength")).unionByName(rows.select("value", F.col("t").cast("int"), F.col("wavelength").cast("double")))
     return numbered.coalesce(1).sortWithinPartitions("t", "wavelength").select("value")  # a file of frames x channels rows
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, nt, nw, pz, py, px, reference): what the header lines of each file say; null where a line is missing or holds no number."""
+    cells = F.split("value", ",")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim(F.get(cells, F.lit(0))).alias("name"), cells.alias("c"))
+    places = {"nt": ("nt", 1, "int"), "nw": ("nw", 1, "int"), "pz": ("pxlsiz_z_y_x", 1, "double"), "py": ("pxlsiz_z_y_x", 2, "double"), "px": ("pxlsiz_z_y_x", 3, "double"), "reference": ("refwave", 1, "int")}
+    value = lambda name, i, kind: F.max(F.when(F.col("name") == name, F.get("c", F.lit(i)).try_cast(kind)))
+    return lines.groupBy("file").agg(*[value(*place).alias(n) for n, place in places.items()])

@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, sf, con, name):
     assert rows(got) == rows(want) and len(got)
 
 
-ROWS = {"phase_correlation": 500, "global_alignment": 7, "mosaic_peaks": 35}
+ROWS = {"phase_correlation": 500, "global_alignment": 7, "mosaic_peaks": 35, "time_drift": 56}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
