@@ -24,3 +24,19 @@ def settings(text: Column) -> Column:
 
 def swapped_letters(text: Column, old: str, new: str) -> Column:
     return F.translate(text, old, new)
+
+
+def number_map(text: Column) -> Column:
+    """'488:1.5 561:2' as a map of wavelengths to numbers, parts set off by commas or blanks; a part that is no pair of numbers is left out, the last of equal keys counts."""
+    parts = F.filter(F.split(F.trim(text), r"[,\s]+"), lambda p: p.rlike(r"^[-+]?[0-9.]+:[-+]?[0-9.]+$"))
+    pairs = F.transform(parts, lambda p: F.struct(F.substring_index(p, ":", 1).try_cast("double").alias("key"), F.substring_index(p, ":", -1).try_cast("double").alias("value")))
+    known = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+    keys = F.transform(known, lambda p: p["key"])
+    lasts = F.filter(known, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
+    return F.map_from_entries(lasts)
+
+
+def number_map_text(numbers: Column, digits: int = 2) -> Column:
+    """The map as text, in its order: whole values without a point, others with `digits` digits."""
+    value = lambda v: F.when(v % 1 != 0, F.format_string(f"%.{digits}f", v)).otherwise(F.format_string("%d", v.cast("long")))
+    return F.array_join(F.transform(F.map_entries(numbers), lambda e: F.concat(F.format_string("%d", e["key"].cast("long")), F.lit(":"), value(e["value"]))), " ")

@@ -1,10 +1,11 @@
-"""Queries of focus, drift, stacks laid over each other, peak statistics, Zernike planes and structuring elements."""
+"""Queries of focus, drift, stacks laid over each other, peak statistics, beads, Zernike planes, structuring elements and file names."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planecraft.operators import focus, generated, measure, reduce, region, registration
+from planecraft.functions import names, text
+from planecraft.operators import beads, focus, generated, measure, reduce, region, registration
 from planecraft.plans.catalogue import query
 from planecraft.plans.model import STACK_SQL, stack, table, to_pixels
 from planecraft.plans.stacks import mosaics
@@ -90,3 +91,67 @@ def pearson_in_common_box(spark, d):
     places = to_pixels(stack(spark, d)).where("w in (0, 1)").withColumn("image", F.explode(F.expr("sequence(0L, 2L)")))
     own = places.where("z >= 2 * image and x >= image and y <= 7 - image").withColumn("v", F.col("v") * (1 + F.col("image") * F.col("y")))
     return reduce.pearson_in_common(own, 2)
+
+
+@query(
+    """WITH b AS (SELECT label AS image, vec_id AS bead, CAST(embedding[1] AS DOUBLE) * 100 AS y, CAST(embedding[2] AS DOUBLE) * 100 AS x FROM embeddings)
+    SELECT image, bead, y, x FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.image = b.image AND o.bead <> b.bead AND pow(o.y - b.y, 2) + pow(o.x - b.x, 2) < 16)"""
+)
+def beads_alone(spark, d):
+    e = table(spark, d, "embeddings").where("embedding is not null")
+    found = e.select(F.col("label").alias("image"), F.col("vec_id").alias("bead"), *[(F.get("embedding", F.lit(i)).cast("double") * 100).alias(c) for i, c in enumerate("yx")])
+    return beads.alone(found, 4.0)
+
+
+_BEADS_SQL = """f AS (SELECT vec_id AS bead, w, vec_id % 97 + CAST(embedding[w + 1] AS DOUBLE) AS y, vec_id * 7 % 89 + CAST(embedding[w + 4] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(3)) AS w)),
+    o AS (SELECT a.bead, b.w, a.y * 80 AS y, a.x * 90 AS x, (b.y - a.y) * 80 AS dy, (b.x - a.x) * 90 AS dx FROM f a JOIN f b ON a.bead = b.bead AND a.w = 1 AND b.w <> 1),
+    k AS (SELECT * FROM o WHERE bead NOT IN (SELECT bead FROM o WHERE greatest(abs(dy), abs(dx)) > 20 OR dy = 0 AND dx = 0))"""
+_BEAD_VALUES = {"dy": "dy", "dx": "dx", "distance": "sqrt(dy * dy + dx * dx)"}
+
+
+@query(
+    f"""WITH {_BEADS_SQL} SELECT w, {', '.join(f'round(avg({e}), 6) AS {n}_mean, round(stddev_pop({e}), 6) AS {n}_std' for n, e in _BEAD_VALUES.items())},
+    {', '.join(f'round(covar_pop(abs({c} - {m}), abs(d{c})) / sqrt(var_pop(abs({c} - {m})) * var_pop(abs(d{c}))), 6) AS pearson_{c}' for c, m in (('y', 3840), ('x', 3960)))}, count(*) AS n FROM k GROUP BY w"""
+)
+def bead_report(spark, d):
+    e = table(spark, d, "embeddings").where("embedding is not null").withColumn("w", F.explode(F.expr("sequence(0L, 2L)")))
+    n = lambda shift: F.get("embedding", (F.col("w") + shift).cast("int")).cast("double")
+    found = e.select(F.lit(0).alias("image"), F.col("vec_id").alias("bead"), "w", (F.col("vec_id") % 97 + n(0)).alias("y"), (F.col("vec_id") * 7 % 89 + n(3)).alias("x"))
+    return beads.report(beads.deviations(found, 1, (80.0, 90.0), 20.0), (3840.0, 3960.0))
+
+
+_STEM = "'run_' || p_size || '_' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_partkey % 1000 AS VARCHAR) END"
+_LONG = f"'/data/' || {_STEM} || '.tif'"
+
+
+@query(
+    f"""SELECT p_partkey, {_STEM} || '.mrc' AS other, {_STEM} || '_cut.tif' AS suffixed, {_STEM} || '_cut.npy' AS both, regexp_extract({_STEM}, '[0-9]+$') AS number,
+    regexp_replace({_STEM}, '[0-9]+$', '') || CASE WHEN regexp_matches({_STEM}, '[0-9]$') THEN lpad(CAST(CAST(regexp_extract({_STEM}, '[0-9]+$') AS BIGINT) + 1 AS VARCHAR), CAST(greatest(length(regexp_extract({_STEM}, '[0-9]+$')), length(CAST(CAST(regexp_extract({_STEM}, '[0-9]+$') AS BIGINT) + 1 AS VARCHAR))) AS INTEGER), '0') ELSE '0' END || '.tif' AS following,
+    CASE WHEN length({_LONG}) > 20 THEN left({_LONG}, 8) || '...' || right({_LONG}, 9) ELSE {_LONG} END AS short FROM part"""
+)
+def file_names(spark, d):
+    rows = table(spark, d, "part").withColumn("s", F.expr("concat('run_', p_size, '_', p_name, if(p_partkey % 3 = 0, '', cast(p_partkey % 1000 as string)), '.tif')"))
+    s = F.col("s")
+    return rows.select(
+        "p_partkey", names.with_extension(s, "mrc").alias("other"), names.with_suffix(s, "_cut").alias("suffixed"), names.with_suffix(s, "_cut", ".npy").alias("both"),
+        names.last_number(s).alias("number"), names.next_numbered(s).alias("following"), names.shortened(F.concat(F.lit("/data/"), s), 20).alias("short"),
+    )
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 50 AS INT) AS z, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size END AS INT) AS t, CAST(p_partkey % 4 AS INT) AS w FROM part")
+def series_places(spark, d):
+    named = "concat('/x_z9/a', if(p_partkey % 2 = 0, concat('_T', lpad(p_size, 3, '0')), ''), '-z', p_partkey % 50, '_', if(p_size > 20, 'c', 'W'), p_partkey % 4, '.tif')"
+    s = F.expr(named)
+    return table(spark, d, "part").select("p_partkey", *[names.place_in_series(s, a).alias(a) for a in "ztw"])
+
+
+@query("SELECT p_size AS token, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_size")
+def name_groups(spark, d):
+    s = F.expr("concat('/a_b/', p_size, '_', p_partkey, '.tif')")
+    return table(spark, d, "part").groupBy(names.token(s).cast("int").alias("token")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS first, CAST(p_retailprice AS DOUBLE) AS last, '488:' || p_size || ' 561:' || CASE WHEN p_retailprice % 1 <> 0 THEN printf('%.2f', p_retailprice) ELSE CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) END AS again FROM part")
+def channel_values(spark, d):
+    rows = table(spark, d, "part").withColumn("m", text.number_map(F.concat(F.lit(" 488:"), "p_size", F.lit(", x, 561:7 561:"), "p_retailprice")))
+    return rows.select("p_partkey", F.col("m")[F.lit(488.0)].alias("first"), F.col("m")[F.lit(561.0)].alias("last"), text.number_map_text(F.col("m")).alias("again"))

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from planecraft.operators import focus, generated, region
+from planecraft.functions import names
+from planecraft.operators import beads, focus, generated, region
 from planecraft.plans import catalogue
 from planecraft.sources import param_files
 
@@ -46,3 +48,23 @@ def test_header_lines_are_read(spark, tmp_path):
     (tmp_path / "b.csv").write_text("nt,x\n")
     got = {r.file.rsplit("/", 1)[1]: tuple(r)[1:] for r in param_files.headers(spark, str(tmp_path)).collect()}
     assert got == {"a.csv": (2, 3, 0.2, 0.08, 0.09, 1), "b.csv": (None,) * 6}
+
+
+def test_beads_of_one_cell_and_at_the_border_of_the_distance(spark):
+    rows = [(0, 1, 0.0, 0.0), (0, 2, 0.5, 0.5), (0, 3, 0.5, 4.4), (0, 4, 30.0, 0.0), (0, 5, 30.0, 4.0), (1, 6, 0.0, 0.0), (0, 7, -50.0, -0.1), (0, 8, -50.0, 3.8), (0, 9, -90.0, 0.0), (0, 10, -90.0, 0.0)]
+    found = beads.alone(spark.createDataFrame(rows, "image int, bead int, y double, x double"), 4.0).collect()
+    assert sorted(r.bead for r in found) == [4, 5, 6]
+
+
+def test_a_bead_goes_with_its_worst_channel(spark):
+    rows = [(0, b, w, 10.0 + d, 5.0) for b, ds in ((1, (0, 1, 2)), (2, (0, 1, 9)), (3, (0, 0, 1))) for w, d in enumerate(ds)] + [(0, 4, 1, 1.0, 1.0)]
+    off = beads.deviations(spark.createDataFrame(rows, "image int, bead int, w int, y double, x double"), 0, (2.0, 3.0), 10.0)
+    assert sorted(map(tuple, off.collect())) == [(0, 1, 1, 20.0, 15.0, 2.0, 0.0), (0, 1, 2, 20.0, 15.0, 4.0, 0.0)]
+
+
+def test_odd_names(spark):
+    given = ["a.b/c", ".hidden", "x_099.ome.tif", "", None, "run9.tif"]
+    made = spark.createDataFrame([(n,) for n in given], "n string").select("n", names.with_extension(F.col("n"), "npy").alias("e"), names.next_numbered(F.col("n")).alias("f")).collect()
+    assert {r.n: (r.e, r.f) for r in made} == {"a.b/c": ("a.b/c.npy", "a.b/c0"), ".hidden": (".hidden.npy", ".hidden0"), "x_099.ome.tif": ("x_099.ome.npy", "x_099.ome0.tif"), "": (".npy", "0"), None: (None, None), "run9.tif": ("run9.npy", "run10.tif")}
+    both = spark.createDataFrame([(["abc1", "abd", "ab"],), (["q"],), ([],)], "n array<string>").select(names.common_start(F.col("n")).alias("s")).collect()
+    assert [r.s for r in both] == ["ab", "q", None]
