@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planecraft.llm import additive_ann, bpe, compression_rules, language_id, main_text, near_dup, packing, perspectives, quality_classifier, token_files
+from planecraft.llm import additive_ann, bpe, compression_rules, filter_audit, language_id, main_text, near_dup, packing, perspectives, quality_classifier, token_files, web_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Packing(tokenizer("word_bpe_49k.json")))
 
 
+def op11_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archive.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,7 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_perspectives,
         op10_packing,
+        op11_web_archive,
+        op13_filter_audit,
     )
 }
 
-ORACLES: dict[str, str] = {"op9_perspectives": perspectives.ROTATE_SQL}
+ORACLES: dict[str, str] = {
+    "op9_perspectives": perspectives.ROTATE_SQL,
+    "op11_web_archive": web_archive.ROUND_TRIP_SQL,
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
+}
