@@ -128,7 +128,11 @@ class UnitTable:
             hashes, entries = hashes[~won], entries[~won]
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All units' ids in a row, and the number of ids of each."""
+        """All units' ids in a row, and the number of ids of each. More units than half the slots, as very long texts have, are looked up in portions."""
+        most = self.size // 2
+        if len(hashes) > most:
+            portions = [self.look_up(data, starts[i : i + most], ends[i : i + most], hashes[i : i + most]) for i in range(0, len(hashes), most)]
+            return np.concatenate([ids for ids, _ in portions]), np.concatenate([counts for _, counts in portions])
         hashes = hashes | np.uint64(1)  # 0 marks a free slot
         slots, there = self.probe(hashes)
         if not there.all():
