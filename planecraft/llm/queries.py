@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planecraft.llm import additive_ann, bpe, compression_rules, filter_audit, language_id, main_text, near_dup, packing, perspectives, quality_classifier, token_files, web_archive
+from planecraft.llm import additive_ann, bpe, compression_rules, filter_audit, importance, language_id, main_text, near_dup, packing, perspectives, quality_classifier, token_files, web_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_archive.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_perspectives,
         op10_packing,
         op11_web_archive,
+        op12_importance_resampling,
         op13_filter_audit,
     )
 }
