@@ -53,8 +53,8 @@ class Resampling:
     seed: str = "42"
     least_words: int = 20
     percent: int = 5
-    slice_bytes: int = 16 << 20
-    part_bytes: int = 16 << 20
+    slice_bytes: int = 12 << 20
+    part_bytes: int = 8 << 20
     level: int = 6
 
 
@@ -187,9 +187,14 @@ def dictionary(texts: DataFrame, parts: int, how: Resampling) -> DataFrame:
         strings = pa.Array.from_buffers(pa.large_binary(), len(breaks), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 10])])
         del raw, breaks
         encoded = strings.dictionary_encode()
+        del strings
         place, n = encoded.indices.to_numpy(), len(encoded.dictionary)
         total = np.bincount(place, np.concatenate(counts), n).astype(np.int64)
-        bucket = np.fromiter(map(zlib.crc32, encoded.dictionary.to_pylist()), np.uint32, n) % np.uint32(how.buckets)  # each distinct string once
+        bucket = np.empty(n, np.uint32)
+        for a in range(0, n, 1 << 16):  # each distinct string once
+            some = encoded.dictionary.slice(a, 1 << 16)
+            bucket[a : a + len(some)] = np.fromiter(map(zlib.crc32, some.to_pylist()), np.uint32, len(some))
+        bucket %= np.uint32(how.buckets)
         sums = np.bincount(bucket, total, how.buckets).astype(np.int64)
         each = np.split(bucket[place].astype(np.uint16), np.cumsum([len(c) for c in counts])[:-1])
         planes = [pack((b >> 8).astype(np.uint8).tobytes() + b.astype(np.uint8).tobytes()) for b in each]  # high bytes are few, so they stand together
@@ -248,6 +253,7 @@ def weights(documents: DataFrame, target: DataFrame, how: Resampling = Resamplin
             raise ValueError("documents gave other rows when they were read again")
         n = found.n_words
         features = n + np.maximum(n - 1, 0) + np.maximum(n - 2, 0)
+        del rows
         columns = texts[0]["ids"], n, features, found.sums(buckets, gain)
         return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, out)], [name for name, _ in out])
 
