@@ -55,7 +55,7 @@ class Resampling:
     percent: int = 5
     slice_bytes: int = 12 << 20
     part_bytes: int = 8 << 20
-    level: int = 6
+    level: int = 3
 
 
 class Features:
@@ -71,7 +71,8 @@ class Features:
         text = np.searchsorted(bounds, starts, "right") - 1
         self.n_words = np.bincount(text, minlength=len(bounds) - 1)
         self.first_word = np.concatenate(([0], np.cumsum(self.n_words)))
-        offsets = np.append(np.cumsum(inside)[starts] - 1, int(inside.sum())).astype(np.int32) if len(starts) else np.zeros(1, np.int32)
+        last = inside & (np.concatenate((~inside[1:], [True])) | edge[1:]) if len(low) else inside
+        offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - starts))).astype(np.int32)
         encoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]).dictionary_encode()
         order = pc.sort_indices(encoded.dictionary).to_numpy()
         self.words = encoded.dictionary.take(pa.array(order)).cast(pa.large_binary())
