@@ -7,9 +7,11 @@ distinct string once into a bucket, and adds up the buckets. From the sums of al
 of the target's texts, each bucket gets a gain. The dictionary's buckets then go back, by slice, to
 the per-document features, where gains are added up, and the documents of the highest score are drawn.
 
-A part gets a feature once from each slice, however often texts repeat it, and features are dealt by
-the hash of their whole string, so no word or phrase makes one part large. Strings are compared
-whole. Slices are made twice from the same rows, once for the dictionary and once for the weights;
+A part gets a feature once from each slice, however often texts repeat it. Features are dealt by the
+hash of their whole string, but three words go with their first two, whose bytes are then sent once,
+unless a slice has many such triples of one pair; so no word or phrase makes one part large. (A triple
+that is dealt in both ways has an entry in two parts, whose counts add up to the same bucket.) Strings
+are compared whole. Slices are made twice from the same rows, once for the dictionary and once for the weights;
 each is named by its place and a digest of its content, and one without its buckets stops the job
 (that happens only if `documents` gives other rows when it is read again).
 
@@ -42,6 +44,8 @@ LOWER[65:91] += 32
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 SPACE, NOTHING, BREAK = (pa.scalar(b, pa.large_binary()) for b in (b" ", b"", b"\n"))
+#: Triples of a pair with more followers in a slice are dealt by their own hash, so that no pair makes a part large.
+FOLLOWERS = 16
 _FACTORS = mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -86,49 +90,61 @@ class Features:
         place = np.zeros(n, np.int64)
         place[self.at_two] = self.two
         three, self.three, count_three = np.unique(place[self.at_three] * size + self.one[self.at_three + 2], return_inverse=True, return_counts=True)
-        # the words of each distinct feature, its count, and its part by the words' hashes
-        pair = two // size, two % size
         lead = three // size
-        self.kinds = [(np.arange(len(order)),), pair, (pair[0][lead], pair[1][lead], three % size)]
+        pair, last = (two // size, two % size), three % size
         self.counts = [np.bincount(self.one, minlength=len(order)), count_two, count_three]
         raw = self.words.to_pylist()
         hashed = mix(np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw)) | (np.fromiter(map(len, raw), np.uint64, len(raw)) << np.uint64(32)))
-        self.order, self.edges = [], []
-        for words in self.kinds:
-            key = np.zeros(len(words[0]), np.uint64)
-            for factor, w in zip(_FACTORS, words):
-                key += hashed[w] * factor
-            part = ((mix(key) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            self.order.append(np.argsort(part, kind="stable"))
-            self.edges.append(np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts)))))
-
-    def pieces(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(part, its distinct features of one, two and three words, each ended by a line break, and their counts)."""
-        made = []
-        for words, order, counts in zip(self.kinds, self.order, self.counts):
-            columns = [self.words.take(pa.array(w[order])) for w in words]
-            lines = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, SPACE)
-            lines = pc.binary_join_element_wise(lines, NOTHING, BREAK)
-            offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
-            made.append((memoryview(lines.buffers()[2]) if lines.buffers()[2] is not None else memoryview(b""), offsets, counts[order].astype(np.uint32)))
-        for p in range(len(self.edges[0]) - 1):
-            strings, numbers = [], []
-            for (raw, offsets, counts), edges in zip(made, self.edges):
-                a, b = edges[p], edges[p + 1]
-                if b > a:
-                    strings.append(raw[offsets[a] : offsets[b]])
-                    numbers.append(counts[a:b])
-            if strings:
-                yield p, b"".join(strings), np.concatenate(numbers).tobytes()
+        whole = lambda *words: ((mix(sum(hashed[w] * f for f, w in zip(_FACTORS, words))) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        part_two = whole(*pair)
+        crowded = np.flatnonzero(np.bincount(lead, minlength=len(two))[lead] > FOLLOWERS)
+        few = np.flatnonzero(np.bincount(lead, minlength=len(two))[lead] <= FOLLOWERS)
+        self.pair, self.triple, self.lead, self.size = pair, (pair[0][lead], pair[1][lead], last), lead, len(order)
+        # the groups of a piece: kind, features in order of part and string, and where each part's begin
+        self.groups = []
+        for kind, chosen, part in (
+            (0, np.arange(len(order)), whole(np.arange(len(order)))),
+            (2, crowded, whole(*(w[crowded] for w in self.triple))),
+            (1, np.arange(len(two)), part_two),
+            (2, few, part_two[lead[few]]),
+        ):
+            sorting = np.argsort(part, kind="stable")
+            self.groups.append((kind, chosen[sorting], np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))))
+
+    def pieces(self) -> Iterator[tuple[int, list[bytes]]]:
+        """Of each part with features: the lines of single words and crowded triples, those of pairs, those of other triples' last words, how many follow each pair, and all counts in this order."""
+        ended = pc.binary_join_element_wise(self.words, NOTHING, BREAK)
+        spaced = pc.binary_join_element_wise(NOTHING, ended, SPACE)
+        (_, one, _), (_, crowded, _), (_, two, _), (_, few, _) = self.groups
+        joined = lambda *columns: pc.binary_join_element_wise(*columns, NOTHING)
+        take = lambda words, i: words.take(pa.array(i))
+        first, second, third = (w[crowded] for w in self.triple)
+        made = [
+            take(ended, one),
+            joined(take(self.words, first), take(pc.binary_join_element_wise(NOTHING, self.words, SPACE), second), take(spaced, third)),
+            joined(take(self.words, self.pair[0][two]), take(spaced, self.pair[1][two])),
+            take(spaced, self.triple[2][few]),
+        ]
+        raw = [(memoryview(m.buffers()[2] or b""), np.frombuffer(m.buffers()[1], np.int64)[m.offset : m.offset + len(m) + 1]) for m in made]
+        following = np.zeros(len(self.pair[0]), np.uint32)
+        np.add.at(following, self.lead[few], 1)
+        for p in range(len(self.groups[0][2]) - 1):
+            spans_of = [(e[p], e[p + 1]) for _, _, e in self.groups]
+            if all(a == b for a, b in spans_of):
+                continue
+            text = [bytes(m[o[a] : o[b]]) for (m, o), (a, b) in zip(raw, spans_of)]
+            counts = np.concatenate([self.counts[kind][order[a:b]] for (kind, order, _), (a, b) in zip(self.groups, spans_of)]).astype(np.uint32)
+            a, b = spans_of[2]
+            yield p, [text[0] + text[1], text[2], text[3], following[two[a:b]].tobytes(), counts.tobytes()]
 
     def sums(self, buckets: list[np.ndarray], gains: np.ndarray) -> np.ndarray:
         """The gains of each text's features, from the buckets of each part's features in their order."""
-        each = [np.zeros(len(o), np.int64) for o in self.order]
+        each = [np.zeros(len(c), np.int64) for c in self.counts]
         for p, found in enumerate(buckets):
             at = 0
-            for value, order, edges in zip(each, self.order, self.edges):
+            for kind, order, edges in self.groups:
                 mine = order[edges[p] : edges[p + 1]]
-                value[mine] = gains[found[at : at + len(mine)]]
+                each[kind][mine] = gains[found[at : at + len(mine)]]
                 at += len(mine)
         total = each[0][self.one]
         total[self.at_two] += each[1][self.two]
@@ -168,41 +184,57 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 def dictionary(texts: DataFrame, parts: int, how: Resampling) -> DataFrame:
     """(slice, part, buckets, sums): for each part the counts of its buckets, and for each slice's piece of it the buckets of the piece's features."""
-    fields = [("part", pa.int32()), ("slice", pa.string()), ("features", pa.binary()), ("counts", pa.binary())]
+    pieces = ["lines", "pairs", "lasts", "following", "counts"]
+    fields = [("part", pa.int32()), ("slice", pa.string()), *((c, pa.binary()) for c in pieces)]
     out = [("slice", pa.string()), ("part", pa.int32()), ("buckets", pa.binary()), ("sums", pa.list_(pa.int64()))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=how.level).compress
         for name, _, data, bounds in _slices(batches, how.slice_bytes):
-            rows = [(p, name, pack(strings), pack(counts)) for p, strings, counts in Features(data, bounds, parts).pieces()]
+            rows = [(p, name, *map(pack, piece)) for p, piece in Features(data, bounds, parts).pieces()]
             if rows:
                 yield _batch(rows, fields)
 
     def merge(table: pa.Table) -> pa.Table:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=how.level).compress
         names, part = table.column("slice").to_pylist(), table.column("part")[0].as_py()
-        raw = np.concatenate([np.frombuffer(unpack(f), np.uint8) for f in table.column("features").to_pylist()])
-        counts = [np.frombuffer(unpack(c), np.uint32) for c in table.column("counts").to_pylist()]
-        breaks = np.flatnonzero(raw == 10)
-        offsets = np.concatenate(([0], breaks - np.arange(len(breaks)))).astype(np.int64)
-        strings = pa.Array.from_buffers(pa.large_binary(), len(breaks), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 10])])
-        del raw, breaks
-        encoded = strings.dictionary_encode()
-        del strings
-        place, n = encoded.indices.to_numpy(), len(encoded.dictionary)
-        total = np.bincount(place, np.concatenate(counts), n).astype(np.int64)
-        bucket = np.empty(n, np.uint32)
-        for a in range(0, n, 1 << 16):  # each distinct string once
-            some = encoded.dictionary.slice(a, 1 << 16)
-            bucket[a : a + len(some)] = np.fromiter(map(zlib.crc32, some.to_pylist()), np.uint32, len(some))
-        bucket %= np.uint32(how.buckets)
-        sums = np.bincount(bucket, total, how.buckets).astype(np.int64)
-        each = np.split(bucket[place].astype(np.uint16), np.cumsum([len(c) for c in counts])[:-1])
-        planes = [pack((b >> 8).astype(np.uint8).tobytes() + b.astype(np.uint8).tobytes()) for b in each]  # high bytes are few, so they stand together
-        return pa.Table.from_batches([_batch([*((s, part, b, None) for s, b in zip(names, planes)), (None, part, None, sums)], out)])
-
-    pieces = texts.select("doc_id", "text").mapInArrow(cut, "part int, slice string, features binary, counts binary")
-    return pieces.groupBy("part").applyInArrow(merge, "slice string, part int, buckets binary, sums array<long>")
+        numbers = lambda c: [np.frombuffer(unpack(x), np.uint32) for x in table.column(c).to_pylist()]
+        counts, following = numbers("counts"), numbers("following")
+
+        def lines(column: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+            """The number of each line among the distinct ones, those, and how many lines each slice has."""
+            raw = [np.frombuffer(unpack(x), np.uint8) for x in table.column(column).to_pylist()]
+            sizes = np.array([np.count_nonzero(r == 10) for r in raw])
+            raw = np.concatenate(raw)
+            breaks = np.flatnonzero(raw == 10)
+            offsets = np.concatenate(([0], breaks - np.arange(len(breaks)))).astype(np.int64)
+            encoded = pa.Array.from_buffers(pa.large_binary(), len(breaks), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 10])]).dictionary_encode()
+            return encoded.indices.to_numpy(), encoded.dictionary, sizes
+
+        def hashed(strings: pa.Array, before: np.ndarray | None = None) -> np.ndarray:
+            found = np.empty(len(strings), np.uint32)
+            for a in range(0, len(strings), 1 << 16):
+                some = strings.slice(a, 1 << 16).to_pylist()
+                found[a : a + len(some)] = np.fromiter(map(zlib.crc32, some, *([] if before is None else [before[a : a + len(some)].tolist()])), np.uint32, len(some))
+            return found
+
+        # each distinct string is counted and hashed once; a triple's hash goes on from its pair's
+        (at_line, line, n_line), (at_pair, pair, n_pair), (at_last, last, n_last) = (lines(c) for c in pieces[:3])
+        hash_line, hash_pair = hashed(line), hashed(pair)
+        key, at_triple = np.unique(np.repeat(at_pair, np.concatenate(following)) * max(len(last), 1) + at_last, return_inverse=True)
+        hash_triple = hashed(last.take(pa.array(key % max(len(last), 1))), hash_pair[key // max(len(last), 1)])
+        found = [(h % np.uint32(how.buckets)).astype(np.uint16) for h in (hash_line, hash_pair, hash_triple)]
+        ends = [np.cumsum(n) for n in (n_line, n_pair, n_last)]
+        sums, packed = np.zeros(how.buckets), []
+        for k, numbers_of in enumerate(counts):
+            runs = [(e[k - 1] if k else 0, e[k]) for e in ends]
+            mine = np.concatenate([f[at[a:b]] for f, at, (a, b) in zip(found, (at_line, at_pair, at_triple), runs)])
+            sums += np.bincount(mine, numbers_of, how.buckets)
+            packed.append(pack((mine >> 8).astype(np.uint8).tobytes() + mine.astype(np.uint8).tobytes()))  # high bytes are few, so they stand together
+        return pa.Table.from_batches([_batch([*((s, part, b, None) for s, b in zip(names, packed)), (None, part, None, sums.astype(np.int64))], out)])
+
+    dealt = texts.select("doc_id", "text").mapInArrow(cut, "part int, slice string, " + ", ".join(f"{c} binary" for c in pieces))
+    return dealt.groupBy("part").applyInArrow(merge, "slice string, part int, buckets binary, sums array<long>")
 
 
 def bucket_sums(entries: DataFrame, how: Resampling) -> np.ndarray:
@@ -250,7 +282,7 @@ def weights(documents: DataFrame, target: DataFrame, how: Resampling = Resamplin
             if r["texts"] is None:
                 raw = np.frombuffer(unpack(r["buckets"]), np.uint8).astype(np.int64).reshape(2, -1)
                 buckets[r["part"]] = raw[0] << 8 | raw[1]
-        if [len(b) for b in buckets] != np.sum([np.diff(e) for e in found.edges], 0).tolist():
+        if [len(b) for b in buckets] != np.sum([np.diff(e) for _, _, e in found.groups], 0).tolist():
             raise ValueError("documents gave other rows when they were read again")
         n = found.n_words
         features = n + np.maximum(n - 1, 0) + np.maximum(n - 2, 0)
