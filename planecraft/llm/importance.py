@@ -57,7 +57,7 @@ class Resampling:
     seed: str = "42"
     least_words: int = 20
     percent: int = 5
-    slice_bytes: int = 12 << 20
+    slice_bytes: int = 6 << 20
     part_bytes: int = 8 << 20
     level: int = 3
 
@@ -72,24 +72,29 @@ class Features:
         edge[bounds] = True
         first = inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]) if len(low) else inside
         starts = np.flatnonzero(first)
-        text = np.searchsorted(bounds, starts, "right") - 1
+        text = (np.searchsorted(bounds, starts, "right") - 1).astype(np.int32)
         self.n_words = np.bincount(text, minlength=len(bounds) - 1)
         self.first_word = np.concatenate(([0], np.cumsum(self.n_words)))
         last = inside & (np.concatenate((~inside[1:], [True])) | edge[1:]) if len(low) else inside
         offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - starts))).astype(np.int32)
         encoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]).dictionary_encode()
+        del low, inside, edge, first, last, offsets, starts
         order = pc.sort_indices(encoded.dictionary).to_numpy()
         self.words = encoded.dictionary.take(pa.array(order)).cast(pa.large_binary())
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.one = rank[encoded.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
+        self.one = rank[encoded.indices.to_numpy()]
+        del encoded, rank
         n, size = len(self.one), max(len(order), 1)
         self.at_two = np.flatnonzero(text[: max(n - 1, 0)] == text[1:])
         self.at_three = np.flatnonzero(text[: max(n - 2, 0)] == text[2:])
+        del text
         two, self.two, count_two = np.unique(self.one[self.at_two] * size + self.one[self.at_two + 1], return_inverse=True, return_counts=True)
         place = np.zeros(n, np.int64)
         place[self.at_two] = self.two
         three, self.three, count_three = np.unique(place[self.at_three] * size + self.one[self.at_three + 2], return_inverse=True, return_counts=True)
+        self.two, self.three = self.two.astype(np.int32), self.three.astype(np.int32)
+        del place
         lead = three // size
         pair, last = (two // size, two % size), three % size
         self.counts = [np.bincount(self.one, minlength=len(order)), count_two, count_three]
