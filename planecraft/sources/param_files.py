@@ -13,7 +13,7 @@ COLUMNS = ("t", "wavelength", *NAMES)
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, t, wavelength, tz ... mx) of all parameter files under a path; cells that are no numbers are null, header lines go."""
     cells = F.split("value", ",")
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), cells.alias("c"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), cells.alias("c"))
     rows = lines.where((F.size("c") == len(COLUMNS)) & F.get("c", F.lit(0)).rlike(r"^\s*\d+\s*$"))
     return rows.select("file", F.get("c", F.lit(0)).try_cast("int").alias("t"), *[F.get("c", F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(COLUMNS) if i])
 
@@ -21,16 +21,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def lines(params: DataFrame, reference: int, pixel: tuple[float, float, float]) -> DataFrame:
     """(value) lines of one file in order, for `write.text`. params: (t, wavelength, tz ... mx)."""
     head = params.agg(F.count_distinct("t").alias("nt"), F.count_distinct("wavelength").alias("nw"))
-    made = head.select(F.posexplode(F.array(F.concat(F.lit("nt,"), "nt"), F.concat(F.lit("nw,"), "nw"), F.lit("pxlsiz_z_y_x," + ",".join(map(str, pixel))), F.lit(f"refwave,{reference}"), F.lit(",".join(COLUMNS)))).alias("nth", "value"))
+    made = head.select(F.posexplode(F.array(F.concat(F.lit("nt,"), "nt"), F.concat(F.lit("nw,"), "nw"), F.lit("pxlsize_z_y_x," + ",".join(map(str, pixel))), F.lit(f"refwave,{reference}"), F.lit(",".join(COLUMNS)))).alias("nth", "value"))
     rows = params.select(F.concat_ws(",", *COLUMNS).alias("value"), "t", "wavelength")
     numbered = made.select("value", F.lit(-1).alias("t"), F.col("nth").cast("double").alias("wavelength")).unionByName(rows.select("value", F.col("t").cast("int"), F.col("wavelength").cast("double")))
     return numbered.coalesce(1).sortWithinPartitions("t", "wavelength").select("value")  # a file of frames x channels rows
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, nt, nw, pz, py, px, reference): what the header lines of each file say; null where a line is missing or holds no number."""
+    """(file, nt, nw, pz, py, px, reference): what the first four lines of each file say, by their place; null where one holds no number."""
+    from planecraft.sources.array_text import lines as numbered
+
     cells = F.split("value", ",")
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim(F.get(cells, F.lit(0))).alias("name"), cells.alias("c"))
-    places = {"nt": ("nt", 1, "int"), "nw": ("nw", 1, "int"), "pz": ("pxlsiz_z_y_x", 1, "double"), "py": ("pxlsiz_z_y_x", 2, "double"), "px": ("pxlsiz_z_y_x", 3, "double"), "reference": ("refwave", 1, "int")}
-    value = lambda name, i, kind: F.max(F.when(F.col("name") == name, F.get("c", F.lit(i)).try_cast(kind)))
-    return lines.groupBy("file").agg(*[value(*place).alias(n) for n, place in places.items()])
+    first = numbered(spark, path).where("line < 4").select("file", "line", cells.alias("c"))
+    places = {"nt": (0, 1, "int"), "nw": (1, 1, "int"), "pz": (2, 1, "double"), "py": (2, 2, "double"), "px": (2, 3, "double"), "reference": (3, 1, "int")}
+    value = lambda line, i, kind: F.max(F.when(F.col("line") == line, F.get("c", F.lit(i)).try_cast(kind)))
+    return first.groupBy("file").agg(*[value(*place).alias(n) for n, place in places.items()])
