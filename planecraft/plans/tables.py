@@ -9,7 +9,7 @@ from planecraft.plans.catalogue import PARAMS_SQL, parameters, query
 from planecraft.plans.grids import mosaic_blocks
 from planecraft.plans.model import sections, table
 from planecraft.plans.storage import scratch
-from planecraft.sources import array_text, reports, series
+from planecraft.sources import array_text, ome, reports, series
 
 
 @query("SELECT vec_id AS z, label AS w, CAST(p // 8 AS BIGINT) AS y, CAST(p % 8 AS INT) AS x, CAST(embedding[p + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(64)) AS p)")
@@ -133,3 +133,39 @@ def mixed_reports(spark, d):
     rows.unionByName(titles).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "at").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
     got = reports.chosen(reports.tables(spark, path), key=("long", ["key", "No"]), name=("string", ["name", "Name"]), balance=("double", ["balance", "acctbal"]), segment=("string", ["segment"]))
     return got.select(F.regexp_extract("file", "c_nationkey=([0-9]+)/", 1).cast("int").alias("nation"), "key", "name", "balance", "segment")
+
+
+def _images(spark, d):
+    """An image for each nation: a channel for each thousand of its customers' balances, a section for each segment."""
+    c = table(spark, d, "customer")
+    waves = F.array_sort(F.collect_set(F.floor(F.col("c_acctbal") / 1000) * 20 + 400.0))  # at most eleven
+    held = c.groupBy("c_nationkey").agg(waves.alias("waves"), F.count_distinct("c_mktsegment").alias("nz"), F.count("*").alias("nx"), F.max("c_custkey").alias("ny"))
+    names = F.get(F.array(*map(F.lit, ("ZTW", "WZT", "ZWT", "TZW"))), F.col("c_nationkey") % 4)
+    kinds = F.get(F.array(*map(F.lit, ("uint16", "float32", "complex128"))), F.col("c_nationkey") % 3)
+    return held.select(
+        F.col("c_nationkey").alias("nation"), F.concat(F.lit("n<&\"' "), "c_nationkey").alias("name"), names.alias("sequence"), kinds.alias("dtype"), F.lit(1).alias("nt"), F.size("waves").alias("nw"), "nz", "ny", "nx",
+        F.lit(0.2).alias("pz"), (F.col("c_nationkey") / 100 + 0.05).alias("py"), F.lit(0.1).alias("px"), "waves",
+    )
+
+
+_IMAGES = """i AS (SELECT c_nationkey AS nation, 'n<&"'' ' || c_nationkey AS name, ['ZTW', 'WZT', 'ZWT', 'TZW'][c_nationkey % 4 + 1] AS sequence, ['uint16', 'float32', 'complex128'][c_nationkey % 3 + 1] AS dtype,
+  list_sort(list_distinct(list(floor(c_acctbal / 1000) * 20 + 400.0))) AS waves, count(DISTINCT c_mktsegment) AS nz, max(c_custkey) AS ny, count(*) AS nx, c_nationkey / 100 + 0.05 AS py FROM customer GROUP BY c_nationkey)"""
+
+
+@query(
+    f"""WITH {_IMAGES} SELECT nation, name, sequence, dtype, CAST(1 AS BIGINT) AS nt, CAST(len(waves) AS BIGINT) AS nw, nz, ny, nx, CAST(0.2 AS DOUBLE) AS pz, CAST(py AS DOUBLE) AS py, CAST(0.1 AS DOUBLE) AS px,
+    CAST(waves AS DOUBLE[]) AS waves FROM i"""
+)
+def ome_round_trip(spark, d):
+    """Axes, channels and pixel sizes of images to OME-XML and back."""
+    return ome.xml(_images(spark, d)).select("nation", *ome.columns(F.col("ome")))
+
+
+@query(
+    f"""WITH {_IMAGES}, w AS (SELECT nation, len(waves) AS n, unnest(range(len(waves))) AS k, waves FROM i)
+    SELECT nation, 'OME/Image/Pixels/Channel' || CASE WHEN n > 1 THEN '[' || k || ']' ELSE '' END || '/@EmissionWavelength' AS path, CAST(waves[k + 1] AS DOUBLE) AS number FROM w"""
+)
+def ome_paths(spark, d):
+    """Wavelengths by their paths in the XML of each image."""
+    found = ome.paths(ome.xml(_images(spark, d)), "nation", "ome")
+    return found.where("path LIKE '%@EmissionWavelength'").select(F.col("id").alias("nation"), "path", "number")
