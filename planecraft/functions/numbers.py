@@ -38,10 +38,12 @@ def primes(spark: SparkSession, most: int) -> DataFrame:
 
 
 def prime_factors(n: Column) -> Column:
-    """A number's prime factors in order, each as often as it divides the number."""
-    candidates = F.filter(F.sequence(F.lit(2).cast("long"), F.greatest(n, F.lit(2).cast("long"))), lambda d: (n % d == 0) & is_prime(d))
+    """A number's prime factors in order, each as often as it divides the number: those up to its root, and what is left."""
+    candidates = F.filter(F.sequence(F.lit(2).cast("long"), F.greatest(F.floor(F.sqrt(n)), F.lit(2).cast("long"))), lambda d: (n % d == 0) & is_prime(d))
     powers = lambda p: F.filter(F.transform(F.sequence(F.lit(1), F.lit(62)), lambda k: F.pow(p.cast("double"), k)), lambda q: (q <= n) & (n % q == 0))
-    return F.flatten(F.transform(candidates, lambda p: F.transform(powers(p), lambda q: p)))
+    small = F.flatten(F.transform(candidates, lambda p: F.transform(powers(p), lambda q: p)))
+    left = F.floor(n / F.aggregate(small, F.lit(1).cast("long"), lambda a, p: a * p)).cast("long")
+    return F.when(left > 1, F.concat(small, F.array(left))).otherwise(small)
 
 
 def factorial(n: Column) -> Column:

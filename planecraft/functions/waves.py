@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planecraft.plans.storage import checked
+
 
 def place(wave: Column, waves: list[float]) -> Column:
     """A channel's place, from its wavelength (whole nanometres) or its number: the first equal wavelength, else the only one within 1e-6, else the number itself; null if there is none."""
@@ -30,5 +32,5 @@ def repeated(channels: DataFrame, image: str = "image", wave: str = "wave") -> D
 def unmatched(channels: DataFrame, reference, least: int = 2, image: str = "image", wave: str = "wave") -> DataFrame:
     """Images with fewer than `least` channels whose wavelength the reference image has."""
     known = channels.where(F.col(image) == reference).select(wave).distinct()
-    shared = channels.join(F.broadcast(known.withColumn("_known", F.lit(1))), wave, "left")  # one image's channels
+    shared = channels.join(checked(known.withColumn("_known", F.lit(1)), "waves"), wave, "left")
     return shared.groupBy(image).agg(F.count("_known").alias("n")).where(F.col("n") < least).select(image, "n")

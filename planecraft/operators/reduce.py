@@ -1,7 +1,7 @@
 """Reductions over stacks. All are partial aggregates: only one row for each group and task is shuffled.
 
-Quantiles are exact, by counts: a row for each group, task and bin is shuffled, and the
-different values of the last bin.
+Quantiles are exact, by a sketch and counts: a sketch for each group and task is shuffled, and the
+different values next to the wanted ranks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planecraft.plans.storage import stored
+from planecraft.plans.storage import checked, stored
 
 
 def mmms(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -34,35 +34,56 @@ def section_mmms(sections: DataFrame) -> DataFrame:
     return rows.select("z", "w", "v_min", "v_max", F.round(F.col("first") + mean, 6).alias("v_mean"), F.round(F.sqrt(F.greatest(F.col("m.q") / F.col("m.n") - mean * mean, F.lit(0.0))), 6).alias("v_std"))
 
 
-def _narrowed(values: DataFrame, wanted: DataFrame, keys: list[str], bins: int) -> tuple[DataFrame, DataFrame]:
-    """The values of the bins that hold the wanted ranks, as (keys, which, v), and (keys, which, rank) with the ranks inside them.
+def _narrowed(values: DataFrame, wanted: DataFrame, by: list[str], bins: int = 256) -> tuple[DataFrame, DataFrame, int]:
+    """Of counted values (by, v, n) those of the bins that hold the wanted ranks, the ranks inside these, and the most values of a bin.
 
-    Bins are between approximate quantiles, which sets their size only: they are counted exactly.
+    Bins lie between approximate quantiles, which set their size only: they are counted exactly.
     """
-    by = [*keys, "which"]
-    edges = values.groupBy(*by).agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10 * bins).alias("edges"))
-    edges = stored(edges, "edges")  # stored, or each use would count all again
+    edges = checked(values.groupBy(*by).agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10 * bins).alias("edges")), "edges")
     binned = values.join(edges, by).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
-    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    counts = binned.groupBy(*by, "bin").agg(F.sum("n").alias("n"), F.count("*").alias("values"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("bin"))).join(wanted, by)
     hit = upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    hit = hit.select(*by, "bin", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
-    hit = stored(hit, "ranks")
-    return binned.join(hit.drop("rank"), [*by, "bin"]).drop("bin"), hit.drop("bin")
+    hit = stored(hit.select(*by, "bin", "values", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "ranks")
+    kept = stored(binned.join(hit.select(*by, "bin"), [*by, "bin"]).drop("bin"), "values")
+    return kept, hit.select(*by, "rank"), hit.agg(F.max("values").alias("values")).first()["values"] or 0
 
 
-def ranked(pixels: DataFrame, ranks: dict[str, Column], *keys: str, bins: int = 256, rounds: int = 2) -> DataFrame:
-    """(keys, one column for each of `ranks`): the values of these ranks (from 0, columns over the group's count `n`) among the group's values."""
+def ranked(pixels: DataFrame, ranks: dict[str, tuple[float, Column]], *keys: str, accuracy: int = 20_000, most: int = 1_000_000) -> DataFrame:
+    """(keys, one column for each of `ranks`): exact values at ranks (from 0) among a group's values. ranks: the share of the
+    values below, about, and the rank over the group's count `n`.
+
+    One pass takes a sketch, whose bounded error says between which two values a rank lies; one more counts the values below
+    these and each value between them, some 4 / accuracy of the group. Only if these are more than `most` are they narrowed again.
+    """
     keyed = pixels.select(F.struct(*keys).alias("key"), "v")  # a struct is joined by its nulls too
     known = keyed.where(F.col("v").isNotNull())
-    wanted = known.groupBy("key").agg(F.count("*").alias("n"))
-    wanted = wanted.select("key", F.explode(F.create_map(*[x for name, r in ranks.items() for x in (F.lit(name), r.cast("long"))])).alias("which", "rank"))
-    values = known.withColumn("which", F.explode(F.array(*map(F.lit, ranks))))
-    for _ in range(rounds):
-        values, wanted = _narrowed(values, wanted, ["key"], bins)
-    by = ["key", "which"]
-    counts = values.groupBy(*by, "v").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("v"))).join(wanted, by)
+    shares = sorted({share for share, _ in ranks.values()})
+    apart = 2 / accuracy
+    ends = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-apart, apart)]
+    sketch = checked(known.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("ends")), "sketch")
+    spans = F.array(*[F.struct(F.lit(i).alias("share"), F.get("ends", F.lit(2 * i)).alias("low"), F.get("ends", F.lit(2 * i + 1)).alias("high")) for i in range(len(shares))])
+    # below the first end all values are one; above the second none count
+    upto = F.filter(spans, lambda s: F.col("v") <= s["high"])
+    placed = known.join(sketch, "key").select("key", "v", F.explode(upto).alias("s"))
+    inside = F.when(F.col("v") >= F.col("s.low"), F.col("v"))
+    counts = stored(placed.groupBy("key", F.col("s.share").alias("share"), inside.alias("v")).agg(F.count("*").alias("n")), "counts")
+    below = counts.where("v IS NULL").select("key", "share", F.col("n").alias("below"))
+    index = {s: i for i, s in enumerate(shares)}
+    each = F.array(*[F.struct(F.lit(name).alias("which"), F.lit(index[share]).alias("share"), rank.cast("long").alias("rank")) for name, (share, rank) in ranks.items()])
+    wanted = sketch.select("key", F.explode(each).alias("r")).select("key", "r.*").join(below, ["key", "share"], "left")
+    wanted = stored(wanted.select("key", "which", "share", (F.col("rank") - F.coalesce("below", F.lit(0))).alias("rank")), "ranks")
+    held = counts.where("v IS NOT NULL")
+    sizes = held.groupBy("key", "share").agg(F.sum("n").alias("held"), F.count("*").alias("values"))
+    worst = sizes.agg(F.max("values").alias("values")).first()["values"] or 0
+    missed = wanted.join(sizes, ["key", "share"], "left").where("rank < 0 OR rank >= coalesce(held, 0)")
+    if not missed.isEmpty():  # the sketch was wrong by more than it states
+        return ranked(pixels, ranks, *keys, accuracy=max(accuracy // 10, 4), most=most)
+    values, by = held.join(wanted.select("key", "share", "which"), ["key", "share"]).select("key", "which", "v", "n"), ["key", "which"]
+    wanted = wanted.select("key", "which", "rank")
+    while worst > most:
+        values, wanted, worst = _narrowed(values, wanted, by)
+    upto = values.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("v"))).join(wanted, by)
     hit = upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
     found = hit.groupBy("key").agg(*[F.max(F.when(F.col("which") == name, F.col("v"))).alias(name) for name in ranks])
     return keyed.select("key").distinct().join(found, "key", "left").select("key.*", *ranks)
@@ -70,13 +91,13 @@ def ranked(pixels: DataFrame, ranks: dict[str, Column], *keys: str, bins: int =
 
 def median(pixels: DataFrame, name: str, *keys: str) -> DataFrame:
     """Mean of the two middle values."""
-    middle = ranked(pixels, {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)}, *keys)
+    middle = ranked(pixels, {"low": (0.5, F.floor((F.col("n") - 1) / 2)), "high": (0.5, F.floor(F.col("n") / 2))}, *keys)
     return middle.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias(name))
 
 
 def median_mad(pixels: DataFrame, *keys: str) -> DataFrame:
     """Median, and median absolute deviation from it."""
-    centre = stored(median(pixels, "v_median", *keys), "medians")
+    centre = checked(median(pixels, "v_median", *keys), "medians")
     apart = pixels.join(centre, list(keys)).select(*keys, F.abs(F.col("v") - F.col("v_median")).alias("v"))
     both = centre.join(median(apart, "v_mad", *keys), list(keys))
     return both.select(*keys, F.round("v_median", 6).alias("v_median"), F.round("v_mad", 6).alias("v_mad"))
@@ -84,7 +105,7 @@ def median_mad(pixels: DataFrame, *keys: str) -> DataFrame:
 
 def percentile(pixels: DataFrame, share: float, *keys: str) -> DataFrame:
     """The least value that `share` of the values don't exceed."""
-    return ranked(pixels, {"v_top": F.greatest(F.ceil(F.col("n") * share) - 1, F.lit(0))}, *keys)
+    return ranked(pixels, {"v_top": (share, F.greatest(F.ceil(F.col("n") * share) - 1, F.lit(0)))}, *keys)
 
 
 def argmax(pixels: DataFrame, *keys: str) -> DataFrame:

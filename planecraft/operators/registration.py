@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from planecraft.operators.fitting import brightest, images, simplex, window
 from planecraft.operators.kernels import affine
 from planecraft.plans.shipping import ship
+from planecraft.plans.storage import checked
 
 FOUND = "z long, w long, ty double, tx double, r double, my double, mx double, quality double, converged boolean"
 NONE = np.array([0.0, 0.0, 0.0, 1.0, 1.0])
@@ -192,7 +193,7 @@ def aligned(planes: DataFrame, references: DataFrame, **how) -> DataFrame:
 def applied(planes: DataFrame, params: DataFrame) -> DataFrame:
     """Planes through the parameters of their channel (w, ty, tx, r, my, mx), a row for each channel."""
     ship(planes.sparkSession)
-    both = planes.join(F.broadcast(params.select("w", "ty", "tx", "r", "my", "mx")), "w")
+    both = planes.join(checked(params.select("w", "ty", "tx", "r", "my", "mx"), "parameters"), "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,17 +208,18 @@ def applied(planes: DataFrame, params: DataFrame) -> DataFrame:
 
 def moved_in_z(planes: DataFrame, shift: float, zoom: float = 1.0) -> DataFrame:
     """The stack shifted and zoomed along z about its middle, between neighbouring planes; 0 beyond its ends. A plane goes to the places that it has a part in."""
-    ends = planes.groupBy("w").agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+    ends = checked(planes.groupBy("w").agg(F.min("z").alias("z0"), F.max("z").alias("z1")), "ends")
     middle = (F.col("z0") + F.col("z1")) / 2
     low = F.greatest(F.col("z0"), F.ceil((F.col("z") - 1 - middle) * zoom + middle + shift))
     high = F.least(F.col("z1"), F.floor((F.col("z") + 1 - middle) * zoom + middle + shift))
-    to = planes.join(F.broadcast(ends), "w").where(low <= high).withColumn("to", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+    to = planes.join(ends, "w").where(low <= high).withColumn("to", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
     share = 1 - F.abs((F.col("to") - middle - shift) / zoom + middle - F.col("z"))
     parts = to.withColumn("share", share).where("share > 0")
-    rows = parts.select("w", "to", "ny", "nx", F.posexplode(F.transform("data", lambda v: v * F.col("share"))).alias("p", "v"))
-    sums = rows.groupBy("w", "to", "ny", "nx", "p").agg(F.sum("v").alias("v"))
-    made = sums.groupBy("w", "to", "ny", "nx").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("s"))
-    return made.select(F.col("to").alias("z"), "w", "ny", "nx", F.transform("s", lambda e: e["v"]).alias("data"))
+    # whole planes meet at a place: two of them, or some more if the stack shrinks
+    met = parts.groupBy("w", "to", "ny", "nx").agg(F.array_sort(F.collect_list(F.struct("z", "share", "data"))).alias("s"))
+    none = F.transform(F.get("s", F.lit(0))["data"], lambda v: F.lit(0.0))
+    sums = F.aggregate("s", none, lambda a, p: F.zip_with(a, p["data"], lambda x, v: x + v * p["share"]))
+    return met.select(F.col("to").alias("z"), "w", "ny", "nx", sums.alias("data"))
 
 
 def drift(frames: DataFrame, reference_frame: int, reference_channel: int, turns: bool = False) -> DataFrame:

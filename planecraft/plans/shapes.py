@@ -131,7 +131,7 @@ _plane("mirror_y", " SELECT z, w, 7 - y AS y, x, v FROM pixels", lambda s: plane
 _plane("cut_border", " SELECT z, w, y - 2 AS y, x - 2 AS x, v FROM pixels WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5", lambda s: plane.without_border(s, 2))
 _plane(
     "pad_plane",
-    ", e AS (SELECT DISTINCT z, w, p // 11 AS y, p % 11 AS x FROM pixels, (SELECT unnest(range(66)) AS p)) SELECT e.z, e.w, e.y, e.x, coalesce(v, -1) AS v FROM e LEFT JOIN pixels q ON q.z = e.z AND q.w = e.w AND q.y = e.y + 1 AND q.x = e.x - 1",
+    " SELECT vec_id AS z, label AS w, CAST(p // 11 AS BIGINT) AS y, CAST(p % 11 AS BIGINT) AS x, CASE WHEN p % 11 BETWEEN 1 AND 8 THEN CAST(embedding[(p // 11 + 1) * 8 + p % 11] AS DOUBLE) ELSE -1 END AS v FROM embeddings, (SELECT unnest(range(66)) AS p)",
     lambda s: plane.fitted_to(s, 6, 11, -1),
 )
 _plane("mask_edge", " SELECT z, w, y, x, CASE WHEN y >= 6 OR x < 2 THEN 0.5 ELSE v END AS v FROM pixels", lambda s: plane.edge_masked(s, 0.5))
