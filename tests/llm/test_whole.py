@@ -6,7 +6,6 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from planecraft.llm import additive_ann, main_text
-from planecraft.operators import params, reduce
 
 
 def test_ann_finds_all_neighbours_outside_the_fit_sample(spark, tmp_path):
@@ -38,28 +37,3 @@ def test_main_text_sees_repeats_over_the_whole_host(spark):
     want = {i: story(i) for i in range(300)} | {1000: story(7), 1001: notice}
     for parts in (1, 40):
         assert {r.page_id: r.text for r in main_text.main_texts(pages.repartition(parts)).collect()} == want
-
-
-def test_wavelengths_are_matched_in_every_frame(spark):
-    rows = [(t, w, wave, *[100.0 * t + w] * 7) for t in range(3) for w, wave in ((0, 488.0), (1, 560.9))]
-    own = spark.createDataFrame(rows, ["t", "w", "wave", *params.NAMES])
-    targets = spark.createDataFrame([(0, 561.0), (1, 488.4), (2, 700.0)], "target int, wave double")
-    got = sorted((r.t, r.target, r.tz, r.mx) for r in params.matched(targets, own, 488.0).collect())
-    assert got == [(t, i, 100.0 * t + w, 100.0 * t + w) for t in range(3) for i, w in enumerate((1, 0, 0))]
-
-
-def test_quantiles_are_counted_in_bins(spark):
-    rng = np.random.default_rng(6)
-    groups = {0: rng.normal(size=20_000).tolist(), 1: [1.0] * 300 + [2.0] * 301, 2: [5.0], 3: [1.0, 4.0]}
-    groups[None] = [7.0, 8.0]
-    pixels = spark.createDataFrame([(w, v) for w, vs in groups.items() for v in vs] + [(1, None), (4, None)], "w long, v double").repartition(5)
-    tops = reduce.percentile(pixels, 0.99, "w")
-    mads = reduce.median_mad(pixels, "w")
-    assert {r.w: r.v_top for r in tops.collect()} == {w: sorted(vs)[int(np.ceil(0.99 * len(vs))) - 1] for w, vs in groups.items()} | {4: None}
-    del groups[None]  # as in SQL, where the join leaves it out
-    want = {w: (np.median(vs), np.median(np.abs(vs - np.median(vs)))) for w, vs in groups.items()}
-    got = {r.w: (r.v_median, r.v_mad) for r in mads.collect()}
-    assert got.pop(4) == (None, None)
-    assert set(got) == set(want) and all(np.allclose(got[w], want[w], atol=1e-6) for w in want)
-    for plan in (x._jdf.queryExecution().optimizedPlan().toString() for x in (tops, mads)):
-        assert "percentile(" not in plan and "median(" not in plan and "percentiledisc" not in plan.lower()  # these hold a group in one buffer
