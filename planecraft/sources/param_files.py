@@ -27,6 +27,18 @@ def lines(params: DataFrame, reference: int, pixel: tuple[float, float, float])
     return numbered.coalesce(1).sortWithinPartitions("t", "wavelength").select("value")  # a file of frames x channels rows
 
 
+def write(params: DataFrame, path: str) -> None:
+    """Parameters (file, t, w, wave, tz ... mx, reference, pz, py, px) as text, in a folder `file=NAME` for each file. `reference` is a channel's number."""
+    cell = lambda c: F.col(c).cast("string")
+    rows = params.select("file", F.lit(5).alias("at"), F.col("t").cast("long").alias("t"), F.col("w").cast("long").alias("w"), F.concat_ws(",", cell("t"), cell("wave"), *map(cell, NAMES)).alias("value"))
+    files = params.groupBy("file").agg(F.count_distinct("t").alias("nt"), F.count_distinct("w").alias("nw"), *[F.max(c).alias(c) for c in ("reference", "pz", "py", "px")])
+    head = [F.concat_ws(",", F.lit("nt"), cell("nt")), F.concat_ws(",", F.lit("nw"), cell("nw")), F.concat_ws(",", F.lit("pxlsize_z_y_x"), *map(cell, ("pz", "py", "px"))), F.concat_ws(",", F.lit("refwave"), cell("reference")), F.lit(",".join(COLUMNS))]
+    none = F.lit(0).cast("long")
+    first = files.select("file", F.posexplode(F.array(*head)).alias("at", "value")).select("file", "at", none.alias("t"), none.alias("w"), "value")
+    ordered = first.unionByName(rows).repartition("file").sortWithinPartitions("file", "at", "t", "w")  # a file has a line for each frame and channel
+    ordered.select("file", "value").write.mode("append").partitionBy("file").text(path)
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(file, nt, nw, pz, py, px, reference): what the first four lines of each file say, by their place; null where one holds no number."""
     from planecraft.sources.array_text import lines as numbered
