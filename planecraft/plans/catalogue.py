@@ -381,4 +381,4 @@ def phase_correlation(spark, d):
     return kernels.correlated(planes, ref)
 
 
-from planecraft.plans import grids, series, shapes, stacks, tables  # noqa: E402, F401  (they register their queries)
+from planecraft.plans import grids, images, series, shapes, stacks, tables  # noqa: E402, F401  (they register their queries)
