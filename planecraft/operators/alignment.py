@@ -145,7 +145,7 @@ def _in_z(planes: DataFrame) -> DataFrame:
     return met.select(*keys, F.col("to").alias("z"), *kept, sums.alias("data"))
 
 
-def applied(planes: DataFrame, params: DataFrame, crop: bool = True) -> DataFrame:
+def applied(planes: DataFrame, params: DataFrame, crop: bool = True, order: int = 1) -> DataFrame:
     """Images read through parameters (t, wave, tz ... mx), matched by rounded wavelength; a wavelength without any stays as it is.
 
     One frame of parameters holds for all frames; of several, frames without their own stay. Whole numbers are rounded and
@@ -173,7 +173,7 @@ def applied(planes: DataFrame, params: DataFrame, crop: bool = True) -> DataFram
         for batch in batches:
             rest = np.array([0.0, 0.0, 0.0, 1.0, 1.0])
             values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in turning], 1)
-            made = [(a if (q == rest).all() else affine(a, *q)).ravel() for a, q in zip(images(batch), values)]
+            made = [(a if (q == rest).all() else affine(a, *q, order=order)).ravel() for a, q in zip(images(batch), values)]
             kept = batch.drop_columns(["data"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(made, pa.list_(pa.float64()))], [*kept.schema.names, "data"])
 

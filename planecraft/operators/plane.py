@@ -173,9 +173,16 @@ def without_border(planes: DataFrame, border: int) -> DataFrame:
     return each(planes.where((F.col("ny") > 2 * border) & (F.col("nx") > 2 * border)), lambda y, x: at(y + border, x + border), F.col("ny") - 2 * border, F.col("nx") - 2 * border)
 
 
-def edge_masked(planes: DataFrame, value: float) -> DataFrame:
-    """The last two rows and the first two columns set to a value."""
-    return each(planes, lambda y, x: F.when((y >= F.col("ny") - 2) | (x < 2), float(value)).otherwise(at(y, x)))
+def edge_masked(planes: DataFrame, value: float | None = None) -> DataFrame:
+    """The last two rows and the first two columns set to a value, or to the median of the others."""
+    inside = lambda i: (F.floor(i / F.col("nx")) < F.col("ny") - 2) & (i % F.col("nx") >= 2)
+    ordered = F.array_sort(F.filter("data", lambda v, i: inside(i)))
+    n = F.size(ordered)
+    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    edge = lambda y, x: (y >= F.col("ny") - 2) | (x < 2)
+    if value is None:
+        return each(planes, lambda y, x, m: F.when(edge(y, x), m).otherwise(at(y, x)), whole=middle)
+    return each(planes, lambda y, x: F.when(edge(y, x), float(value)).otherwise(at(y, x)))
 
 
 def region_masked(planes: DataFrame, y: float, x: float, radius: float, value: float = 0.0) -> DataFrame:

@@ -55,6 +55,24 @@ def affine_apply(spark, d):
     return _kept(kernels.resampled(sections(spark, d), {"ty": 0.5, "tx": -0.25, "degrees": 5.0, "my": 1.1, "mx": 0.9}))
 
 
+# coefficients by their closed form: sums of the values mirrored at both edges, with weights that fall by 2 - sqrt(3) a pixel
+_MIRROR = "CASE WHEN abs({i}) % 14 > 7 THEN 14 - abs({i}) % 14 ELSE abs({i}) % 14 END"
+_WEIGHT = "CASE WHEN abs({d}) < 1 THEN (4 - 6 * pow({d}, 2) + 3 * pow(abs({d}), 3)) / 6 WHEN abs({d}) < 2 THEN pow(2 - abs({d}), 3) / 6 ELSE 0 END"
+
+
+@query(
+    f"""WITH k AS (SELECT unnest(range(-30, 31)) AS k), m AS (SELECT i, j, sqrt(3) * sum(pow(sqrt(3) - 2, abs(k))) AS g FROM (SELECT unnest(range(8)) AS i), k, (SELECT unnest(range(8)) AS j) WHERE {_MIRROR.format(i='(i + k)')} = j GROUP BY i, j),
+    f AS (SELECT z, w, y, x, e[y * 8 + x + 1] AS v FROM ({_EACH})), r AS (SELECT z, w, i AS y, x, sum(g * v) AS v FROM f JOIN m ON m.j = f.y GROUP BY z, w, i, x), c AS (SELECT z, w, y, i AS x, sum(g * v) AS c FROM r JOIN m ON m.j = r.x GROUP BY z, w, y, i),
+    s AS (SELECT z, w, y, x, sy, sx, CAST(floor(sy) AS BIGINT) AS iy, CAST(floor(sx) AS BIGINT) AS ix FROM ({_SRC})),
+    n AS (SELECT s.*, iy + a AS oy, ix + b AS ox FROM s, (SELECT unnest(range(-1, 3)) AS a), (SELECT unnest(range(-1, 3)) AS b) WHERE sy BETWEEN 0 AND 7 AND sx BETWEEN 0 AND 7)
+    SELECT s.z, s.w, s.y, s.x, round(coalesce(any_value(v), 0), 6) + 0.0 AS v FROM s LEFT JOIN (
+      SELECT n.z, n.w, n.y, n.x, sum(c * {_WEIGHT.format(d='(sy - oy)')} * {_WEIGHT.format(d='(sx - ox)')}) AS v FROM n JOIN c ON c.z = n.z AND c.w = n.w AND c.y = {_MIRROR.format(i='oy')} AND c.x = {_MIRROR.format(i='ox')} GROUP BY n.z, n.w, n.y, n.x) q
+      ON q.z = s.z AND q.w = s.w AND q.y = s.y AND q.x = s.x GROUP BY s.z, s.w, s.y, s.x"""
+)
+def affine_cubic(spark, d):
+    return _kept(kernels.resampled(sections(spark, d), {"ty": 0.5, "tx": -0.25, "degrees": 5.0, "my": 1.1, "mx": 0.9}, order=3))
+
+
 @query(
     """WITH s AS (SELECT vec_id // 10 AS z, vec_id % 10 AS w, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT w, min(z) AS z0, max(z) AS z1 FROM s GROUP BY w),
     t AS (SELECT s.w, o.z AS up, e, 1 - abs(o.z - 0.25 - s.z) AS share FROM s JOIN n ON s.w = n.w JOIN (SELECT DISTINCT z FROM s) o ON abs(o.z - 0.25 - s.z) < 1 AND o.z BETWEEN n.z0 AND n.z1)
