@@ -84,25 +84,26 @@ def section_folder(spark, d) -> str:
     return path
 
 
-_STACK = F.regexp_extract("file", r"stack-([0-9]+)\.mrc$", 1).cast("long").alias("stack")
+def _stack():
+    return F.regexp_extract("file", r"stack-([0-9]+)\.mrc$", 1).cast("long").alias("stack")
 _E = "SELECT vec_id // 10 AS stack, vec_id % 10 AS z, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL"
 
 
 @query(f"SELECT stack, z, 488.0::DOUBLE AS wave, e AS data FROM ({_E}) WHERE z BETWEEN 3 AND 5")
 def file_section_range(spark, d):
     """Sections 3 to 5 of every image file; no others are read."""
-    return section_files.read(spark, section_folder(spark, d)).where("z BETWEEN 3 AND 5").select(_STACK, "z", "wave", "data")
+    return section_files.read(spark, section_folder(spark, d)).where("z BETWEEN 3 AND 5").select(_stack(), "z", "wave", "data")
 
 
 @query(f"SELECT stack, z, CAST(len(list_filter(e, lambda v: v >= 0.3)) AS INT) AS n FROM ({_E}) WHERE list_max(e) >= 0.3")
 def bright_sections(spark, d):
     """Pixels above a limit; sections whose zone map stays below it aren't read."""
     bright = section_files.read(spark, section_folder(spark, d)).where("v_max >= 0.3")
-    return bright.select(_STACK, "z", F.size(F.filter("data", lambda v: v >= 0.3)).alias("n"))
+    return bright.select(_stack(), "z", F.size(F.filter("data", lambda v: v >= 0.3)).alias("n"))
 
 
 @query(f"SELECT stack, count(*) AS sections, min(list_min(e)) AS v_min, max(list_max(e)) AS v_max, round(avg(list_avg(e)), 4) AS v_mean FROM ({_E}) GROUP BY stack")
 def file_index(spark, d):
     """Lowest, highest and mean value of each file, from its zone map alone."""
     index = section_files.read(spark, section_folder(spark, d), data=False)
-    return index.groupBy(_STACK).agg(F.count("*").alias("sections"), F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.round(F.avg("v_mean"), 4).alias("v_mean"))
+    return index.groupBy(_stack()).agg(F.count("*").alias("sections"), F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.round(F.avg("v_mean"), 4).alias("v_mean"))

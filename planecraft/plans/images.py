@@ -91,7 +91,8 @@ def _written(spark, d):
     return section_files.read(spark, path).withColumn("file", name)
 
 
-_NUMBER = F.regexp_extract("file", "stack-([0-9]+)", 1).cast("long").alias("stack")
+def _number():
+    return F.regexp_extract("file", "stack-([0-9]+)", 1).cast("long").alias("stack")
 _FILES = """f AS (SELECT vec_id // 20 AS stack, vec_id % 20 // 10 AS t, vec_id % 2 AS w, vec_id % 10 // 2 AS z, 488 + vec_id % 2 * 73 AS wave, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)"""
 _EACH = "SELECT *, q // 8 AS y, q % 8 AS x, e[q + 1] AS v FROM f, (SELECT unnest(range(64)) AS q)"
 
@@ -99,7 +100,7 @@ _EACH = "SELECT *, q // 8 AS y, q % 8 AS x, e[q + 1] AS v FROM f, (SELECT unnest
 @query(f"WITH {_FILES} SELECT stack, t, 1 - w AS w, z - 1 AS z, list_concat(e[19:22], e[27:30], e[35:38]) AS data FROM f WHERE z BETWEEN 1 AND 3")
 def file_region(spark, d):
     """Sections 1 to 3, both channels in the other order, rows 2 to 4 and columns 2 to 5 of every image file."""
-    return stacks.region(_written(spark, d), w=[1, 0], z=(1, 4), y=(2, 5), x=(2, 6)).select(_NUMBER, "t", "w", "z", "data")
+    return stacks.region(_written(spark, d), w=[1, 0], z=(1, 4), y=(2, 5), x=(2, 6)).select(_number(), "t", "w", "z", "data")
 
 
 @query(f"WITH {_FILES} SELECT stack * 2 + t AS t, w, z, e AS data FROM f")
@@ -110,14 +111,14 @@ def merged_files(spark, d):
 
 @query(f"WITH {_FILES} SELECT stack, max(t) + 1 AS nt, max(w) + 1 AS nw, max(z) + 1 AS nz, CAST(8 AS INT) AS ny, CAST(8 AS INT) AS nx, 'float32' AS dtype, CASE WHEN max(t) > 0 THEN 'T' ELSE '' END || 'WZYX' AS axes, [488.0::DOUBLE, 561.0::DOUBLE] AS waves FROM f GROUP BY stack")
 def file_shapes(spark, d):
-    return stacks.shapes(_written(spark, d)).select(_NUMBER, "nt", "nw", "nz", "ny", "nx", "dtype", "axes", "waves")
+    return stacks.shapes(_written(spark, d)).select(_number(), "nt", "nw", "nz", "ny", "nx", "dtype", "axes", "waves")
 
 
 @query(f"WITH {_FILES}, m AS (SELECT stack, wave, avg(v + 1) AS m FROM ({_EACH}) GROUP BY stack, wave) SELECT stack, wave, round(m / max(m) OVER (PARTITION BY stack), 6) AS level FROM m")
 def spectra(spark, d):
     """Level of each channel over that of the brightest, of every image."""
     bright = _stacks(spark, d).withColumn("data", F.transform("data", lambda v: v + 1))
-    return stacks.spectra(bright).select(_NUMBER, "wave", F.round("level", 6).alias("level"))
+    return stacks.spectra(bright).select(_number(), "wave", F.round("level", 6).alias("level"))
 
 
 @query(f"WITH {_FILES} SELECT stack AS w, t, z, y, x, round(avg(v), 6) + 0.0 AS v FROM ({_EACH}) GROUP BY stack, t, z, y, x")
@@ -136,7 +137,7 @@ def flattened_images(spark, d):
     """Every image with the flat field of the first."""
     bright = _stacks(spark, d).withColumn("data", F.transform("data", lambda v: v + 1))
     made = stacks.flattened(bright, stacks.flat_fields(bright.where("file = 'stack-00000.mrc'")))
-    p = made.select(_NUMBER, "t", "w", "z", "nx", F.posexplode("data").alias("p", "v"))
+    p = made.select(_number(), "t", "w", "z", "nx", F.posexplode("data").alias("p", "v"))
     return p.select("stack", "t", "w", "z", F.expr("cast(p div nx as bigint)").alias("y"), F.expr("cast(p % nx as bigint)").alias("x"), F.round("v", 6).alias("v"))
 
 
@@ -146,7 +147,7 @@ def map_files(spark, d):
     maps = _stacks(spark, d).withColumn("dy", F.col("data")).withColumn("dx", F.reverse("data"))
     path = scratch(spark, "maps")
     section_files.write(stacks.map_sections(maps), path)
-    return stacks.section_maps(section_files.read(spark, path)).select(_NUMBER, "t", "w", "z", "dy", "dx")
+    return stacks.section_maps(section_files.read(spark, path)).select(_number(), "t", "w", "z", "dy", "dx")
 
 
 @query("SELECT doc_id, line, value FROM (SELECT doc_id, unnest(lines) AS value, generate_subscripts(lines, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(value, '[0-9]{3}')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planecraft.functions import waves
-from planecraft.operators import filters, fitting, kernels, region, registration
+from planecraft.operators import filters, fitting, kernels, region, registration, tile_loop, trials
 from planecraft.plans.catalogue import _long, query
 from planecraft.plans.model import pixels, sections, stack, table
 
@@ -149,3 +149,21 @@ def drop_empty_channels(spark, d):
 def view_xz(spark, d):
     return region.axes(pixels(spark, d), "xz").select("z", "w", "y", "x", "v")
 
+
+
+_TRUTH = {"ty": 1.5, "tx": -2.0, "r": 0.6, "my": 1.0, "mx": 1.0}
+
+
+@query()
+def registration_report(spark, d):
+    """Mosaics against themselves mapped, under noise in two steps, by two methods: what is found, and how far off it is."""
+    bright = mosaics(spark, d).withColumn("data", F.transform("data", lambda v: v * 1000))
+    return trials.compared(bright, _TRUTH, [1, 4], 1.0, ("quadrants", "shift"))
+
+
+@query()
+def tile_loop_shifts(spark, d):
+    """Mosaics against themselves shifted, from tiles of 32 pixels down to 16."""
+    planes = mosaics(spark, d)
+    moved = kernels.resampled(planes, {"ty": 1.5, "tx": -2.0, "degrees": 0.0, "my": 1.0, "mx": 1.0})
+    return tile_loop.refined(planes, moved, 64, 64, tile_loop.Loop(least_window=16))[0]

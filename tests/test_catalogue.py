@@ -1,5 +1,9 @@
 """Every query against its SQL in DuckDB, and the kernels against known shifts."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -30,7 +34,7 @@ def test_query_matches_sql(spark, sf, con, name):
     assert rows(got) == rows(want) and len(got)
 
 
-ROWS = {"phase_correlation": 500, "global_alignment": 7, "mosaic_peaks": 35, "time_drift": 56}
+ROWS = {"phase_correlation": 500, "global_alignment": 7, "mosaic_peaks": 35, "time_drift": 56, "registration_report": 28, "tile_loop_shifts": 343}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
@@ -43,6 +47,16 @@ def test_known_warps_of_mosaics_are_found(spark, sf):
         assert (r.ty, r.tx, r.r) == pytest.approx((1.5, -2.0, 0.6), abs=0.25)
 
 
+def test_a_known_shift_of_mosaics_is_found_by_tiles(spark, sf):
+    rows = [r for r in catalogue.QUERIES["tile_loop_shifts"](spark, sf).collect() if r.accepted and 8 <= r.y0 <= 40 and 8 <= r.x0 <= 40]
+    assert len(rows) > 100 and np.median([r.dy for r in rows]) == pytest.approx(1.5, abs=0.2) and np.median([r.dx for r in rows]) == pytest.approx(-2.0, abs=0.2)
+
+
+def test_the_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
 def test_phase_correlation_matches_a_direct_transform(spark, sf):
     """Each query row against sums over all pairs of frequencies and pixels."""
     planes = {r.z: (r.w, np.array(r.data).reshape(8, 8)) for r in catalogue.sections(spark, sf).collect()}
