@@ -29,7 +29,7 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
 
 
 @lru_cache(maxsize=2)
-def _places(ny: int, nx: int, ty: float, tx: float, degrees: float, my: float, mx: float) -> tuple[np.ndarray, np.ndarray]:
+def places(ny: int, nx: int, ty: float, tx: float, degrees: float, my: float, mx: float) -> tuple[np.ndarray, np.ndarray]:
     """Where each pixel of a mapped plane is read; kept for the next plane."""
     cy, cx, t = (ny - 1) / 2, (nx - 1) / 2, np.deg2rad(degrees)
     y, x = np.mgrid[:ny, :nx].astype(float)
@@ -40,7 +40,7 @@ def _places(ny: int, nx: int, ty: float, tx: float, degrees: float, my: float, m
 def affine(plane: np.ndarray, ty: float, tx: float, degrees: float, my: float, mx: float, order: int = 1) -> np.ndarray:
     """Resampling after rotation and zoom about the centre, then a shift; 0 outside. Bilinear, or by cubic splines (order 3)."""
     ny, nx = plane.shape
-    y, x = _places(ny, nx, float(ty), float(tx), float(degrees), float(my), float(mx))
+    y, x = places(ny, nx, float(ty), float(tx), float(degrees), float(my), float(mx))
     if order == 3:
         return cubic(plane, y, x)
     if order != 1:

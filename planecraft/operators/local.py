@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planecraft.operators.fitting import images
+from planecraft.operators.kernels import cubic, places
 from planecraft.operators.reduce import moments
 from planecraft.operators.registration import shift_between
 from planecraft.plans.shipping import ship
+from planecraft.plans.storage import checked
 
 SHIFTS = "z long, w long, ny int, nx int, i int, j int, y0 int, x0 int, variance double, quality double, dy double, dx double, accepted boolean"
 MAPS = "z long, w long, ny int, nx int, dy array<double>, dx array<double>"
@@ -130,18 +132,26 @@ def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return at(0, 0) * (1 - fy) * (1 - fx) + at(0, 1) * (1 - fy) * fx + at(1, 0) * fy * (1 - fx) + at(1, 1) * fy * fx
 
 
-def remapped(planes: DataFrame, maps: DataFrame) -> DataFrame:
-    """Planes shifted by the map of their (z, w): the value at (y - dy, x - dx) comes to (y, x)."""
+def remapped(planes: DataFrame, maps: DataFrame, order: int = 1, params: DataFrame | None = None) -> DataFrame:
+    """Planes shifted by the map of their (z, w): the value at (y - dy, x - dx) comes to (y, x), bilinear or by cubic splines (order 3).
+
+    With `params` (w, ty, tx, r, my, mx), a row for each channel, the map comes on top of their affine map; channels without any have the map alone.
+    """
     ship(planes.sparkSession)
+    rest = {"ty": 0.0, "tx": 0.0, "r": 0.0, "my": 1.0, "mx": 1.0}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for a, dy, dx in zip(images(batch), images(batch, "dy"), images(batch, "dx")):
-                y, x = np.mgrid[: a.shape[0], : a.shape[1]]
-                made.append(sampled(a, y - dy, x - dx).ravel())
+            values = zip(*(batch.column(c).to_pylist() for c in rest))
+            for a, dy, dx, p in zip(images(batch), images(batch, "dy"), images(batch, "dx"), values):
+                y, x = places(*a.shape, *p)
+                made.append((sampled if order == 1 else cubic)(a, y - dy, x - dx).ravel())
             kept = batch.select(["z", "w", "ny", "nx"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(made, pa.list_(pa.float64()))], ["z", "w", "ny", "nx", "data"])
 
     rows = planes.selectExpr("z", "cast(w as bigint) AS w", "ny", "nx", "data").join(maps.select("z", "w", "dy", "dx"), ["z", "w"])
+    if params is not None:
+        rows = rows.join(checked(params.select(F.col("w").cast("long").alias("w"), *rest), "parameters"), "w", "left")
+    rows = rows.select("z", "w", "ny", "nx", "data", "dy", "dx", *[(F.coalesce(c, F.lit(v)) if params is not None else F.lit(v)).alias(c) for c, v in rest.items()])
     return rows.mapInArrow(run, "z long, w long, ny int, nx int, data array<double>")

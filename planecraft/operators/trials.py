@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planecraft.operators import kernels, registration
+from planecraft.operators import kernels, local, registration, tile_loop
+from planecraft.plans.storage import stored
 
 #: What `registration.aligned` is told for each method.
 METHODS = {"quadrants": {}, "simplex": {"least": 10.0, "otherwise": "simplex"}, "logpolar": {"least": 10.0, "otherwise": "logpolar"}, "shift": {"rounds": 0}}
@@ -76,3 +77,47 @@ def compared(planes: DataFrame, truth: dict[str, float], divisors: Sequence[floa
 def summary(trials: DataFrame) -> DataFrame:
     """(method, noise, n, me, sd, ma): mean, deviation and greatest of the total error over planes."""
     return trials.groupBy("method", "noise").agg(F.count("*").alias("n"), F.avg("total").alias("me"), F.stddev_pop("total").alias("sd"), F.max("total").alias("ma"))
+
+
+def warps(planes: DataFrame, dy: Sequence[tuple[float, float, float]], dx: Sequence[tuple[float, float, float]], sigma: float) -> DataFrame:
+    """(z, w, dy, dx): for every plane a map of shifts that is a sum of Gaussians, each (y, x, height) as a share of the plane's size and in pixels."""
+    pixels = F.sequence(F.lit(0), (F.col("ny") * F.col("nx") - 1).cast("int"))
+
+    def hills(peaks: Sequence[tuple[float, float, float]]) -> Column:
+        def at(p: Column) -> Column:
+            y, x = F.floor(p / F.col("nx")), p % F.col("nx")
+            parts = [h * F.exp(-((y - a * F.col("ny")) ** 2 + (x - b * F.col("nx")) ** 2) / (2 * sigma * sigma)) for a, b, h in peaks]
+            return sum(parts, F.lit(0.0))
+
+        return F.transform(pixels, at)
+
+    return planes.select("z", F.col("w").cast("long").alias("w"), hills(dy).alias("dy"), hills(dx).alias("dx"))
+
+
+def local_compared(planes: DataFrame, maps: DataFrame, windows: Sequence[int], pixel_nm: tuple[float, float] = (80.0, 80.0)) -> DataFrame:
+    """(z, w, window, regions, me, ma, sd, pearson): planes of one size, each against itself remapped, aligned by tiles down to each window size.
+
+    me, ma and sd are the mean, greatest and deviation of the way in nanometres between found and true shift at the middles of accepted
+    tiles; pearson is the correlation of the plane, read through what was found, with its reference. A plane without an accepted tile has none.
+    """
+    size = planes.select("ny", "nx").first()
+    if size is None:
+        raise ValueError("there are no planes")
+    ny, nx = size
+    own = stored(planes.withColumn("w", F.col("w").cast("long")), "planes")
+    maps = stored(maps, "maps")
+    reference = stored(local.remapped(own, maps, 3), "references")
+    out = None
+    for window in windows:
+        shifts = stored(tile_loop.refined(own, reference, ny, nx, tile_loop.Loop(least_window=window))[0], "shifts")
+        width = tile_loop.windows(ny, nx, window)[-1]
+        middle = ((F.col("y0") + width // 2) * nx + F.col("x0") + width // 2).cast("int")
+        both = shifts.where("accepted").join(maps.withColumnsRenamed({"dy": "true_dy", "dx": "true_dx"}), ["z", "w"])
+        way = F.hypot((F.col("dy") - F.get("true_dy", middle)) * pixel_nm[0], (F.col("dx") - F.get("true_dx", middle)) * pixel_nm[1])
+        errors = both.select("z", "w", way.alias("way")).groupBy("z", "w").agg(F.count("*").alias("regions"), F.avg("way").alias("me"), F.max("way").alias("ma"), F.stddev_pop("way").alias("sd"))
+        made = local.remapped(own, local.displacement(shifts, width), 3)
+        pairs = made.join(reference.select("z", "w", F.col("data").alias("ref")), ["z", "w"])
+        values = pairs.select("z", "w", F.explode(F.arrays_zip("data", "ref")).alias("v")).groupBy("z", "w").agg(F.corr("v.data", "v.ref").alias("pearson"))
+        one = errors.join(values, ["z", "w"]).select("z", "w", F.lit(window).alias("window"), "regions", "me", "ma", "sd", "pearson")
+        out = one if out is None else out.unionByName(one)
+    return out

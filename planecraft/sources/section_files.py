@@ -408,3 +408,11 @@ def write(planes: DataFrame, path: str, order: str = "ZTW") -> None:
     whole = planes.join(checked(frames, "frames"), "file")
     names = [c.split()[0] for c in SINK.split(", ")]
     whole.select(*names).write.format("sections").mode("append").options(path=path, order=order).save()
+
+
+def convert(spark: SparkSession, path: str, out: str, **options: object) -> None:
+    """All image files under a path as files of the sink's format, of the same names but for their endings. Types that the format doesn't know become float32."""
+    found = read(spark, path, **options)
+    name = F.concat(F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"\.[^.]*$", ""), F.lit(".mrc"))
+    known = F.col("dtype").isin(*[str(np.dtype(t)) for t in MRC_TYPES.values()])
+    write(found.withColumn("file", name).withColumn("dtype", F.when(known, F.col("dtype")).otherwise("float32")), out)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planecraft.operators import local
+from planecraft.operators import kernels, local
 from planecraft.sources import image_files
 
 
@@ -33,6 +33,30 @@ def test_local_map_is_recovered(spark):
         assert np.abs(made - b)[inner].mean() < 0.5 * np.abs(a - b)[inner].mean()
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_maps_come_on_top_of_an_affine_map(spark, order):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(24, 17))
+    p = (1.2, -0.7, 3.0, 1.05, 0.97)
+    planes = spark.createDataFrame([(z, w, 24, 17, a.ravel().tolist()) for z in range(2) for w in range(2)], "z long, w long, ny int, nx int, data array<double>")
+    shift = lambda w, v: [v if w else 0.0] * a.size
+    maps = spark.createDataFrame([(z, w, shift(w, 0.5), shift(w, -1.25)) for z in range(2) for w in range(2)], "z long, w long, dy array<double>, dx array<double>")
+    params = spark.createDataFrame([(0, *p)], "w long, ty double, tx double, r double, my double, mx double")
+    made = {(r.z, r.w): np.reshape(r.data, a.shape) for r in local.remapped(planes, maps, order, params).collect()}
+    assert np.allclose(made[0, 0], kernels.affine(a, *p, order=order)) and np.allclose(made[1, 1], kernels.affine(a, 0.5, -1.25, 0, 1, 1, order=order))
+
+
+def test_cubic_splines_go_through_their_values():
+    a = np.random.default_rng(1).normal(size=(9, 1))
+    for plane in (a, a.T, np.random.default_rng(2).normal(size=(7, 30))):
+        y, x = np.mgrid[: plane.shape[0], : plane.shape[1]].astype(float)
+        assert np.allclose(kernels.cubic(plane, y, x), plane)
+    y, x = np.mgrid[:40, :40].astype(float)
+    smooth = lambda v, u: np.sin(v / 5) * np.cos(u / 6)
+    inner = (slice(6, -6),) * 2
+    assert np.abs(kernels.cubic(smooth(y, x), y + 0.3, x - 0.4) - smooth(y + 0.3, x - 0.4))[inner].max() < 1e-4
+
+
 def test_tile_starts_and_holes():
     assert local.starts(100, 32, False) == [0, 32, 64] and local.starts(100, 32, True) == [16, 48]
     shift, good = np.zeros((2, 3, 5)), np.zeros((3, 5), bool)

@@ -115,3 +115,14 @@ def test_other_formats_and_broken_files(spark, tmp_path):
     (tmp_path / "short.mrc").write_bytes(raw)
     with pytest.raises(Exception, match="known type"):
         section_files.read(spark, f"file://{tmp_path}/short.mrc").collect()
+
+
+def test_files_are_converted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    pages = [np.arange(12, dtype="<u2").reshape(3, 4) + 100 * k for k in range(5)]
+    (tmp_path / "in" / "p.q.tif").write_bytes(image_files.tiff_bytes(pages))
+    np.save(tmp_path / "in" / "n.npy", np.arange(120, dtype="f8").reshape(2, 5, 3, 4))
+    section_files.convert(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    got = rows(section_files.read(spark, f"file://{tmp_path}/out"))
+    assert sorted(os.listdir(tmp_path / "out")) == ["n.mrc", "p.q.mrc"] and {(r[0], r[6]) for r in got} == {("n.mrc", "float32"), ("p.q.mrc", "uint16")}
+    assert [r[-1] for r in got if r[0] == "p.q.mrc"] == [tuple(map(float, p.ravel())) for p in pages] and [r[2:4] for r in got if r[0] == "n.mrc"] == [(w, z) for w in range(2) for z in range(5)]

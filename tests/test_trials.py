@@ -43,3 +43,17 @@ def test_errors_grow_with_noise(planes):
     assert me["quadrants", 1.0] < 25  # nanometres, of pixels of 80
     assert me["quadrants", 1.0] < me["shift", 1.0] and me["quadrants", 1.0] < me["quadrants", 60.0]
     assert trials.compared(planes.where(F.lit(False)), TRUTH, [1], 1.0).collect() == []
+
+
+def test_warps_are_found_by_tiles(planes):
+    one = planes.where("z < 2")
+    maps = trials.warps(one, [(0.5, 0.5, 1.5), (0.2, 0.2, -0.8)], [(0.25, 0.75, 1.2)], 25.0)
+    r = maps.first()
+    y, x = np.mgrid[:128, :128]
+    hill = lambda a, b, h: h * np.exp(-((y - a * 128) ** 2 + (x - b * 128) ** 2) / 1250)
+    assert np.allclose(np.reshape(r.dy, (128, 128)), hill(0.5, 0.5, 1.5) + hill(0.2, 0.2, -0.8)) and np.allclose(np.reshape(r.dx, (128, 128)), hill(0.25, 0.75, 1.2))
+    got = {(r.z, r.window): r for r in trials.local_compared(one, maps, [60, 24]).collect()}
+    assert set(got) == {(z, w) for z in (0, 1) for w in (60, 24)}
+    for z in (0, 1):
+        assert got[z, 24].regions > got[z, 60].regions > 0 and got[z, 24].me < 30 and got[z, 24].pearson > 0.97
+        assert got[z, 24].me <= got[z, 24].ma and got[z, 24].sd > 0
