@@ -116,7 +116,7 @@ def _plane(name: str, sql: str, made) -> None:
     query(pixel_sql=sql)(run)
 
 
-def _rounded(planes):
+def _six_digits(planes):
     return planes.withColumn("data", F.transform("data", lambda v: F.round(v, 6) + 0.0))
 
 
@@ -139,7 +139,7 @@ _plane(
     lambda s: plane.fitted_to(s, 6, 11, -1),
 )
 _plane("mask_edge", " SELECT z, w, y, x, CASE WHEN y >= 6 OR x < 2 THEN 0.5 ELSE v END AS v FROM pixels", lambda s: plane.edge_masked(s, 0.5))
-_plane("mask_edge_median", " SELECT z, w, y, x, round(CASE WHEN y >= 6 OR x < 2 THEN median(v) FILTER (y < 6 AND x >= 2) OVER (PARTITION BY z, w) ELSE v END, 6) + 0.0 AS v FROM pixels", lambda s: _rounded(plane.edge_masked(s)))
+_plane("mask_edge_median", " SELECT z, w, y, x, round(CASE WHEN y >= 6 OR x < 2 THEN median(v) FILTER (y < 6 AND x >= 2) OVER (PARTITION BY z, w) ELSE v END, 6) + 0.0 AS v FROM pixels", lambda s: _six_digits(plane.edge_masked(s)))
 _plane("mask_region", " SELECT z, w, y, x, CASE WHEN y BETWEEN 1 AND 5 AND x BETWEEN 3 AND 7 THEN 0 ELSE v END AS v FROM pixels", lambda s: plane.region_masked(s, 3, 5, 2))
 _plane(
     "squared_gradient",
