@@ -226,7 +226,8 @@ def dictionary(texts: DataFrame, parts: int, how: Resampling) -> DataFrame:
         # each distinct string is counted and hashed once; a triple's hash goes on from its pair's
         (at_line, line, n_line), (at_pair, pair, n_pair), (at_last, last, n_last) = (lines(c) for c in pieces[:3])
         hash_line, hash_pair = hashed(line), hashed(pair)
-        key, at_triple = np.unique(np.repeat(at_pair, np.concatenate(following)) * max(len(last), 1) + at_last, return_inverse=True)
+        # places are 4-byte numbers, whose products are not
+        key, at_triple = np.unique(np.repeat(at_pair.astype(np.int64), np.concatenate(following)) * max(len(last), 1) + at_last, return_inverse=True)
         hash_triple = hashed(last.take(pa.array(key % max(len(last), 1))), hash_pair[key // max(len(last), 1)])
         found = [(h % np.uint32(how.buckets)).astype(np.uint16) for h in (hash_line, hash_pair, hash_triple)]
         ends = [np.cumsum(n) for n in (n_line, n_pair, n_last)]

@@ -63,3 +63,12 @@ def test_odd_texts_and_small_slices(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert importance.resample(empty, empty).collect() == []
+
+
+def test_many_pairs_and_last_words_in_one_part(spark):
+    text = " ".join(f"u{i}" for i in range(60_000))  # pairs times last words go beyond 4-byte numbers
+    how = importance.Resampling()
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    counts = importance.bucket_sums(importance.dictionary(table, 1, how), how)
+    wanted = Counter(zlib.crc32(f.encode()) % 10000 for f in features(text)[1])
+    assert [int(n) for n in counts] == [wanted[b] for b in range(10000)]
