@@ -1,6 +1,7 @@
 """Image files as a Spark source and sink of sections, both by byte range.
 
-Source `sections`: every file is cut into splits of bytes, as Spark cuts its own files. A task reads
+Source `sections`: every file is cut into splits of bytes, and small files are put together into one
+split, as Spark does with its own files. A task reads
 the header, finds the sections that begin in its split and are wanted by the pushed filters, and reads
 only these, some megabytes at a time; so memory follows a plane's size and not a file's. Filters on t,
 w and z are exact. Files that state each section's lowest and highest value beside its header (a zone
@@ -9,7 +10,9 @@ map) let filters on v_min and v_max skip sections unread; those stated as 0, 0,
 Sink `sections`: tasks write their sections at their places into hidden files, each with its line of
 the zone map; only when all tasks are done, and every section of a file has come exactly once, does
 the file get its header and its name. A failed or repeated task leaves nothing behind. Files are
-written by offset, so the folder must be one that all machines mount.
+written by offset, so the folder must be one that all machines mount. With `gaps`, a file may lack
+sections: those that came are marked beside the header, the others read as zeros elsewhere and
+aren't given out here.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import shutil
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,10 +56,14 @@ TYPES = [pa.string(), *[pa.int64()] * 3, *[pa.int32()] * 2, pa.string(), *[pa.fl
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Bytes of a split, and of the planes read and given out at once.
 SPLIT_BYTES, READ_BYTES = 64 << 20, 16 << 20
+#: What opening a file counts for when small files are put together, in bytes.
+OPEN_BYTES = 256 << 10
 # Fixed values of the format: the header's size, the number that says that it has channels and frames, and where a section's floats have its lowest, highest and mean value.
 HEADER, KNOWN, ZONE = 1024, -16224, (5, 6, 7)
-#: Floats of a section beside the header in files written here; they end with the zone map.
+#: Floats of a section beside the header in files written here; the first tells that it was written, they end with the zone map.
 FLOATS = 8
+#: The header's label of files that lack sections, and where it stands.
+LACKING, LABEL = b"sections may be lacking", 224
 
 
 @dataclass
@@ -71,6 +80,7 @@ class Layout:
     pixel: tuple[float, float, float] = (1.0, 1.0, 1.0)
     zone: tuple[int, int] | None = None  # bytes of a section beside the header, and where its zone map begins there
     offsets: list[int] | None = None  # of sections that don't lie one after the other
+    lacking: bool = False  # only sections with their mark beside the header are there
 
     @property
     def n(self) -> int:
@@ -120,7 +130,7 @@ def mrc_layout(head: bytes) -> Layout:
         nt = nw = 1
     each = 4 * (ints + floats)
     zone = (each, 4 * (ints + ZONE[0])) if floats > ZONE[-1] and extra >= each * n else None
-    return Layout(mark + MRC_TYPES[mode], ny, nx, (nt, nw, n // (nt * nw)), MRC_ORDERS.get(order, "ZTW"), HEADER + extra, [float(v) for v in waves[:nw]], (pz, py, px), zone)
+    return Layout(mark + MRC_TYPES[mode], ny, nx, (nt, nw, n // (nt * nw)), MRC_ORDERS.get(order, "ZTW"), HEADER + extra, [float(v) for v in waves[:nw]], (pz, py, px), zone, lacking=zone is not None and head[LABEL : LABEL + len(LACKING)] == LACKING)
 
 
 def npy_layout(f: pa.NativeFile) -> Layout:
@@ -182,17 +192,22 @@ TESTS = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.grea
 
 
 @dataclass
-class Split(InputPartition):
+class Piece:
     path: str
-    size: int
     start: int
     end: int
 
 
+@dataclass
+class Split(InputPartition):
+    pieces: list[Piece]
+
+
 class SectionReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.glob = options["path"], options.get("glob", "*")
         self.split, self.data = int(options.get("splitbytes", SPLIT_BYTES)), options.get("data", "true") == "true"
+        self.cores = int(options.get("cores", 8))
         self.exact: list[tuple[str, type, object]] = []
         self.zones: list[tuple[str, type, object]] = []
 
@@ -214,10 +229,23 @@ class SectionReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         files = [found] if found.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         kept = [f for f in files if f.is_file and f.base_name.rsplit(".", 1)[-1].lower() in ENDS and fnmatch.fnmatch(f.base_name, self.glob) and "/_" not in f.path[len(root) :]]
-        return [Split(f.path, f.size, a, min(a + self.split, f.size)) for f in kept for a in range(0, f.size, self.split)]
+        pieces = [Piece(f.path, a, min(a + self.split, f.size)) for f in kept for a in range(0, f.size, self.split)]
+        costs = [p.end - p.start + OPEN_BYTES for p in pieces]
+        most, held, splits = min(self.split, max(sum(costs) // (2 * self.cores), OPEN_BYTES)), 0, []
+        for piece, cost in zip(pieces, costs):
+            if not splits or held + cost > most:
+                splits.append(Split([]))
+                held = 0
+            splits[-1].pieces.append(piece)
+            held += cost
+        return splits
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.path)
+        for piece in split.pieces:
+            yield from self.read_piece(store, piece)
+
+    def read_piece(self, store: fs.FileSystem, split: Piece) -> Iterator[pa.RecordBatch]:
         with store.open_input_file(split.path) as f:
             layout = layout_of(split.path, f)
             i = layout.beginning(split.start, split.end)
@@ -225,7 +253,9 @@ class SectionReader(DataSourceReader):
             for name, kind, value in self.exact:
                 keep = TESTS[kind](at[name.upper()], value)
                 i, at = i[keep], {k: v[keep] for k, v in at.items()}
-            low, high, mean = self.zone_map(f, layout, i)
+            there, low, high, mean = self.zone_map(f, layout, i)
+            if layout.lacking:
+                i, at, low, high, mean = i[there != 0], {k: v[there != 0] for k, v in at.items()}, *(s[there != 0] for s in (low, high, mean))
             stated = ~((low == 0) & (high == 0) & (mean == 0))
             keep = np.ones(len(i), bool)
             for name, kind, value in self.zones:  # stated bounds are rounded outwards
@@ -240,12 +270,13 @@ class SectionReader(DataSourceReader):
 
     def zone_map(self, f: pa.NativeFile, layout: Layout, i: np.ndarray) -> np.ndarray:
         if layout.zone is None or not len(i):
-            return np.zeros((3, len(i)))
+            return np.zeros((4, len(i)))
         each, first = layout.zone
         raw = np.frombuffer(f.read_at(int(i[-1] - i[0] + 1) * each, HEADER + int(i[0]) * each), np.uint8).reshape(-1, each)
-        return raw[i - i[0], first : first + 12].copy().view(layout.kind[0] + "f4").astype(float).T
+        floats = raw[i - i[0], first - 4 * ZONE[0] : first + 12].copy().view(layout.kind[0] + "f4").astype(float)
+        return floats[:, [0, *ZONE]].T
 
-    def batch(self, f: pa.NativeFile, split: Split, layout: Layout, i: np.ndarray, at: dict[str, np.ndarray], stats: list[np.ndarray]) -> pa.RecordBatch:
+    def batch(self, f: pa.NativeFile, split: Piece, layout: Layout, i: np.ndarray, at: dict[str, np.ndarray], stats: list[np.ndarray]) -> pa.RecordBatch:
         n, pixels = len(i), layout.ny * layout.nx
         if self.data:
             runs = np.split(i, np.flatnonzero(np.diff(i) != 1) + 1) if layout.offsets is None else [[j] for j in i]
@@ -270,7 +301,7 @@ class SectionReader(DataSourceReader):
 SINK = "file string, t long, w long, z long, nt long, nw long, nz long, ny int, nx int, dtype string, waves array<double>, pz double, py double, px double, data array<double>"
 
 
-def mrc_header(layout: Layout, order: str, low: float, high: float, mean: float, floats: int) -> bytes:
+def mrc_header(layout: Layout, order: str, low: float, high: float, mean: float, floats: int, lacking: bool = False) -> bytes:
     head = bytearray(HEADER)
     nt, nw, _ = layout.shape
     mode = next(m for m, t in MRC_TYPES.items() if "<" + t == layout.kind)
@@ -285,6 +316,9 @@ def mrc_header(layout: Layout, order: str, low: float, high: float, mean: float,
     struct.pack_into("<2h", head, 180, nt, next(k for k, v in MRC_ORDERS.items() if v == order))
     struct.pack_into("<h", head, 196, nw)
     struct.pack_into(f"<{len(layout.waves)}h", head, 198, *[int(round(v)) for v in layout.waves])
+    if lacking:
+        struct.pack_into("<i", head, LABEL - 4, 1)
+        head[LABEL : LABEL + len(LACKING)] = LACKING
     return bytes(head)
 
 
@@ -316,11 +350,18 @@ class SectionWriter(DataSourceArrowWriter):
         self.order = options.get("order", "ZTW")
         if self.order not in MRC_ORDERS.values():
             raise ValueError(f"the format has no order {self.order}")
+        self.gaps = options.get("gaps", "false") == "true"
         self.hidden = os.path.join(self.root, f"_writing-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         os.makedirs(self.hidden, exist_ok=True)
         done: dict[str, tuple[Layout, int, int, float, float, float]] = {}
+        with ExitStack() as opened:
+            self.write_batches(iterator, done, opened)
+        return Written(done)
+
+    def write_batches(self, iterator: Iterator[pa.RecordBatch], done: dict, opened: ExitStack) -> None:
+        last = f = None
         for batch in iterator:
             flat, offsets = batch.column("data").values.to_numpy(zero_copy_only=False), batch.column("data").offsets.to_numpy()
             for k, r in enumerate(batch.drop_columns(["data"]).to_pylist()):
@@ -334,14 +375,16 @@ class SectionWriter(DataSourceArrowWriter):
                     raise ValueError(f"a section of {r['file']} has another size or a type that the format doesn't know")
                 plane, i = values.astype(kind), layout.index(r["t"], r["w"], r["z"])
                 low, high, mean = float(plane.min()), float(plane.max()), float(plane.mean(dtype=float))
-                with open(os.open(os.path.join(self.hidden, r["file"]), os.O_CREAT | os.O_WRONLY), "wb") as f:
-                    f.seek(HEADER + 4 * FLOATS * i)
-                    f.write(struct.pack(f"<{FLOATS}f", *[0.0] * ZONE[0], *outward(low, high), mean))
-                    f.seek(layout.offset(i))
-                    f.write(plane.tobytes())
+                if r["file"] != last:  # it stays open while its sections follow each other
+                    opened.close()
+                    f = opened.enter_context(open(os.open(os.path.join(self.hidden, r["file"]), os.O_CREAT | os.O_WRONLY), "wb"))
+                    last = r["file"]
+                f.seek(HEADER + 4 * FLOATS * i)
+                f.write(struct.pack(f"<{FLOATS}f", float(self.gaps), *[0.0] * (ZONE[0] - 1), *outward(low, high), mean))
+                f.seek(layout.offset(i))
+                f.write(plane.tobytes())
                 old = done.get(r["file"], (layout, 0, 0, np.inf, -np.inf, 0.0))
                 done[r["file"]] = (layout, old[1] + 1, (old[2] + mark(np.array([i]))) % (1 << 64), min(old[3], low), max(old[4], high), old[5] + mean)
-        return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
         files: dict[str, list] = {}
@@ -349,14 +392,27 @@ class SectionWriter(DataSourceArrowWriter):
             for name, (layout, n, marks, low, high, total) in (m.files if m else {}).items():
                 f = files.setdefault(name, [layout, 0, 0, np.inf, -np.inf, 0.0])
                 f[1:] = f[1] + n, (f[2] + marks) % (1 << 64), min(f[3], low), max(f[4], high), f[5] + total
-        try:
-            for name, (layout, n, marks, low, high, total) in files.items():
-                if n != layout.n or marks != mark(np.arange(n)):
+        def finish(name: str) -> None:
+            layout, n, marks, low, high, total = files[name]
+            with open(os.path.join(self.hidden, name), "r+b") as f:
+                lacking = self.gaps and n < layout.n
+                there = np.arange(layout.n)
+                if lacking:
+                    f.seek(HEADER)
+                    there = np.flatnonzero(np.frombuffer(f.read(4 * FLOATS * layout.n).ljust(4 * FLOATS * layout.n, b"\0"), "<f4")[::FLOATS])
+                    f.truncate(layout.start + layout.n * layout.size)
+                    f.seek(0)
+                if n != len(there) or marks != mark(there):
                     raise ValueError(f"{name} has {n} sections written where each of {layout.n} is wanted once")
-                with open(os.path.join(self.hidden, name), "r+b") as f:
-                    f.write(mrc_header(layout, self.order, low, high, total / n, FLOATS))
-                    f.flush()
-                    os.fsync(f.fileno())
+                f.write(mrc_header(layout, self.order, low, high, total / n, FLOATS, lacking))
+                f.flush()
+                os.fsync(f.fileno())
+
+        try:
+            # files are brought to the disk together, as each waits for it
+            with ThreadPoolExecutor(32) as pool:
+                for _ in pool.map(finish, files):
+                    pass
             for name in files:
                 os.replace(os.path.join(self.hidden, name), os.path.join(self.root, name))
         finally:
@@ -393,11 +449,11 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, path: str, data: bool = True, **options: object) -> DataFrame:
     """The sections of a file or of all files under a folder; without data only what headers and zone maps say."""
     register(spark)
-    return spark.read.format("sections").options(path=path, data=str(data).lower(), **{k: str(v) for k, v in options.items()}).load()
+    return spark.read.format("sections").options(path=path, data=str(data).lower(), cores=spark.sparkContext.defaultParallelism, **{k: str(v) for k, v in options.items()}).load()
 
 
-def write(planes: DataFrame, path: str, order: str = "ZTW") -> None:
-    """Write planes (file, t, w, z, ny, nx, dtype, wave, pz, py, px, data) into a folder, a file for each name. t, w and z count from 0 without gaps."""
+def write(planes: DataFrame, path: str, order: str = "ZTW", gaps: bool = False) -> None:
+    """Write planes (file, t, w, z, ny, nx, dtype, wave, pz, py, px, data) into a folder, a file for each name. t, w and z count from 0, without gaps unless these are allowed."""
     register(planes.sparkSession)
     if path.startswith("file:"):
         os.makedirs(fs.FileSystem.from_uri(path)[1], exist_ok=True)
@@ -407,7 +463,7 @@ def write(planes: DataFrame, path: str, order: str = "ZTW") -> None:
     frames = planes.groupBy("file").agg(*sizes, F.when(F.max("w") < 5, waves).alias("waves"))
     whole = planes.join(checked(frames, "frames"), "file")
     names = [c.split()[0] for c in SINK.split(", ")]
-    whole.select(*names).write.format("sections").mode("append").options(path=path, order=order).save()
+    whole.select(*names).write.format("sections").mode("append").options(path=path, order=order, gaps=str(gaps).lower()).save()
 
 
 def convert(spark: SparkSession, path: str, out: str, **options: object) -> None:

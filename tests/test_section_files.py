@@ -126,3 +126,23 @@ def test_files_are_converted(spark, tmp_path):
     got = rows(section_files.read(spark, f"file://{tmp_path}/out"))
     assert sorted(os.listdir(tmp_path / "out")) == ["n.mrc", "p.q.mrc"] and {(r[0], r[6]) for r in got} == {("n.mrc", "float32"), ("p.q.mrc", "uint16")}
     assert [r[-1] for r in got if r[0] == "p.q.mrc"] == [tuple(map(float, p.ravel())) for p in pages] and [r[2:4] for r in got if r[0] == "n.mrc"] == [(w, z) for w in range(2) for z in range(5)]
+
+
+def test_files_may_lack_sections(spark, planes, tmp_path):
+    path = f"file://{tmp_path}/made"
+    some = planes.drop("nz").where("NOT (file = 'a.mrc' AND t = 1 AND (w = 0 AND z = 0 OR z = 3))")
+    section_files.write(some, path, gaps=True)
+    for split in (1 << 20, 700):
+        assert rows(section_files.read(spark, path, splitbytes=split)) == rows(some)
+    assert rows(section_files.read(spark, path).where("z = 3 AND v_min >= 0")) == [r for r in rows(some) if r[3] == 3]
+    assert section_files.read(spark, path, data=False).count() == some.count()
+    assert (tmp_path / "made" / "a.mrc").stat().st_size == 1024 + 24 * (32 + 60)  # whole for other readers
+    with pytest.raises(Exception, match="is wanted once"):
+        section_files.write(some.union(some.where("file = 'a.mrc' AND t = 0 AND z = 1")), path, gaps=True)
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    made = spark.range(300).selectExpr("concat(id div 2, '.mrc') AS file", "0L AS t", "0L AS w", "id % 2 AS z", "1 AS ny", "2 AS nx", "'float32' AS dtype", "488D AS wave", "1D AS pz", "1D AS py", "1D AS px", "array(double(id), 0D) AS data")
+    section_files.write(made, f"file://{tmp_path}/made")
+    read = section_files.read(spark, f"file://{tmp_path}/made")
+    assert read.rdd.getNumPartitions() <= 10 and sorted(r.data[0] for r in read.collect()) == list(range(300))
