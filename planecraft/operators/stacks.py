@@ -29,19 +29,20 @@ def region(planes: DataFrame, t: Span = None, w: Span = None, z: Span = None, y:
     return cut.withColumn("ny", (y1 - y0).cast("int")).withColumn("nx", (x1 - x0).cast("int"))
 
 
-def shapes(planes: DataFrame) -> DataFrame:
-    """(file, nt, nw, nz, ny, nx, dtype, axes, waves): axes names those longer than 1, in the order TWZYX; waves by channel. A row for each file."""
+def shapes(planes: DataFrame, always: str = "") -> DataFrame:
+    """(file, nt, nw, nz, ny, nx, dtype, axes, waves): axes names those longer than 1, and those of `always`, in the order TWZYX; waves by channel. A row for each file."""
     size = planes.groupBy("file").agg(
         *[(F.max(c) + 1).alias("n" + c) for c in "twz"], F.max("ny").alias("ny"), F.max("nx").alias("nx"), F.first("dtype").alias("dtype"),
         F.transform(F.array_sort(F.collect_set(F.struct("w", "wave"))), lambda s: s["wave"]).alias("waves"),
     )
-    axes = F.concat(*[F.when(F.col("n" + a.lower()) > 1, a).otherwise("") for a in "TWZYX"])
+    axes = F.concat(*[F.lit(a) if a in always else F.when(F.col("n" + a.lower()) > 1, a).otherwise("") for a in "TWZYX"])
     return size.select("file", "nt", "nw", "nz", "ny", "nx", "dtype", axes.alias("axes"), "waves")
 
 
-def merged(planes: DataFrame, along: str, file: str) -> DataFrame:
-    """All images as one, one after the other along t, w or z in the order of their names. Their other axes must agree."""
-    others = [c for c in "twz" if c != along]
+def merged(planes: DataFrame, along: str, file: str, gaps: bool = False) -> DataFrame:
+    """All images as one, one after the other along t, w or z in the order of their names. Their other axes must agree;
+    with `gaps` only their planes' size and type, and an image that ends early leaves its places empty."""
+    others = [] if gaps else [c for c in "twz" if c != along]
     sizes = planes.groupBy("file").agg((F.max(along) + 1).alias("size"), F.concat_ws("x", *[(F.max(c) + 1).cast("string") for c in (*others, "ny", "nx")], F.min("dtype"), F.max("dtype")).alias("shape"))
     sizes = checked(sizes, "sizes")  # a row for each file
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,11 +69,11 @@ def spectra(planes: DataFrame) -> DataFrame:
     return means.select("file", F.round("wave").cast("long").alias("wave"), F.try_divide(F.col("mean"), F.max("mean").over(Window.partitionBy("file"))).alias("level"))  # a row for each channel
 
 
-def summed_channels(planes: DataFrame, file: str) -> DataFrame:
-    """One image with a channel for each file, in the order of their names: the mean of the file's channels."""
+def summed_channels(planes: DataFrame, file: str, gaps: bool = False) -> DataFrame:
+    """One image with a channel for each file, in the order of their names: the mean of the file's channels. With `gaps`, files may differ in frames and sections."""
     frame = planes.groupBy("file", "t", "z", "ny", "nx").agg(*[F.min(c).alias(c) for c in ("dtype", "pz", "py", "px", "wave")])
     rows = frame.join(_mean_planes(planes, "file", "t", "z"), ["file", "t", "z"]).withColumn("w", F.lit(0).cast("long"))
-    return merged(rows.select(planes.columns), "w", file)
+    return merged(rows.select(planes.columns), "w", file, gaps)
 
 
 def flat_fields(planes: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def _stacks(spark, d):
 
 def _written(spark, d):
     path = scratch(spark, "images")
-    section_files.write(_stacks(spark, d), path)
+    section_files.write(_stacks(spark, d), path, gaps=True)  # the last image may end early
     name = F.regexp_extract("file", r"([^/]*)$", 1)
     return section_files.read(spark, path).withColumn("file", name)
 
@@ -106,12 +106,12 @@ def file_region(spark, d):
 @query(f"WITH {_FILES} SELECT stack * 2 + t AS t, w, z, e AS data FROM f")
 def merged_files(spark, d):
     """All image files as one, frame after frame."""
-    return stacks.merged(_written(spark, d), "t", "all.mrc").select("t", "w", "z", "data")
+    return stacks.merged(_written(spark, d), "t", "all.mrc", gaps=True).select("t", "w", "z", "data")
 
 
 @query(f"WITH {_FILES} SELECT stack, max(t) + 1 AS nt, max(w) + 1 AS nw, max(z) + 1 AS nz, CAST(8 AS INT) AS ny, CAST(8 AS INT) AS nx, 'float32' AS dtype, CASE WHEN max(t) > 0 THEN 'T' ELSE '' END || 'WZYX' AS axes, [488.0::DOUBLE, 561.0::DOUBLE] AS waves FROM f GROUP BY stack")
 def file_shapes(spark, d):
-    return stacks.shapes(_written(spark, d)).select(_number(), "nt", "nw", "nz", "ny", "nx", "dtype", "axes", "waves")
+    return stacks.shapes(_written(spark, d), "WZYX").select(_number(), "nt", "nw", "nz", "ny", "nx", "dtype", "axes", "waves")
 
 
 @query(f"WITH {_FILES}, m AS (SELECT stack, wave, avg(v + 1) AS m FROM ({_EACH}) GROUP BY stack, wave) SELECT stack, wave, round(m / max(m) OVER (PARTITION BY stack), 6) AS level FROM m")
@@ -124,7 +124,7 @@ def spectra(spark, d):
 @query(f"WITH {_FILES} SELECT stack AS w, t, z, y, x, round(avg(v), 6) + 0.0 AS v FROM ({_EACH}) GROUP BY stack, t, z, y, x")
 def summed_channels(spark, d):
     """An image with a channel for each image, the mean of its channels."""
-    made = stacks.summed_channels(_stacks(spark, d), "sum.mrc")
+    made = stacks.summed_channels(_stacks(spark, d), "sum.mrc", gaps=True)
     p = made.select("w", "t", "z", "nx", F.posexplode("data").alias("p", "v"))
     return p.select("w", "t", "z", F.expr("cast(p div nx as bigint)").alias("y"), F.expr("cast(p % nx as bigint)").alias("x"), (F.round("v", 6) + 0.0).alias("v"))
 
@@ -146,7 +146,7 @@ def map_files(spark, d):
     """Maps of shifts, made of each embedding and its mirror image, written as image files and read."""
     maps = _stacks(spark, d).withColumn("dy", F.col("data")).withColumn("dx", F.reverse("data"))
     path = scratch(spark, "maps")
-    section_files.write(stacks.map_sections(maps), path)
+    section_files.write(stacks.map_sections(maps), path, gaps=True)
     return stacks.section_maps(section_files.read(spark, path)).select(_number(), "t", "w", "z", "dy", "dx")
 
 
