@@ -85,3 +85,13 @@ def test_holes_are_filled_as_defined(spark, share):
     for r in got:
         assert (r.dy, r.dx) == pytest.approx(tuple(want[:, r.i, r.j]), abs=1e-12)
         assert (-1 if r.round is None else r.round) == rounds[r.i, r.j]
+
+
+def test_sparse_grids_and_odd_values(spark):
+    """No join for each round is left: one plan deals the tiles to their planes, whatever their number."""
+    nan = float("nan")
+    rows = [(1, 0, 0, 2.0, 1.0, True), (1, 0, 1, nan, 0.0, False), (1, 5, 0, 7.0, None, True), (1, 5, 1, 0.0, 3.0, None), (2, 0, 0, nan, 1.0, True), (2, 0, 1, 5.0, 5.0, False), (3, 0, 0, 9.0, 9.0, False)]
+    made = holes.fill(spark.createDataFrame(rows, "z long, i long, j long, dy double, dx double, accepted boolean"), "z")
+    assert "Join" not in made._jdf.queryExecution().toString()
+    got = {(r.z, r.i, r.j): (None if r.dy != r.dy else r.dy, r.dx, r.round) for r in made.collect()}
+    assert got == {(1, 0, 0): (2.0, 1.0, 0), (1, 0, 1): (2.0, 1.0, 1), (1, 5, 0): (7.0, None, 0), (1, 5, 1): (7.0, None, 1), (2, 0, 0): (None, 1.0, 0), (2, 0, 1): (None, 1.0, 1), (3, 0, 0): (9.0, 9.0, None)}
