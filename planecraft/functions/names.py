@@ -59,8 +59,8 @@ def token(name: Column, nth: int = 0, separator: str = "_") -> Column:
 def place_in_series(name: Column, axis: str) -> Column:
     """The number that a name of a series gives for axis z, t or w (also marked c): the last of `_z001` or `-z001`, in either case; null where it gives none."""
     letters = {"z": "zZ", "t": "tT", "w": "wWcC"}[axis]
-    found = F.regexp_extract_all(F.regexp_extract(name, r"([^/]*)$", 1), F.lit(rf"[_-][{letters}]([0-9]+)"), F.lit(1))
-    return F.get(found, F.size(found) - 1).try_cast("int")
+    last = F.regexp_extract(F.substring_index(name, "/", -1), rf"(?s)^.*[_-][{letters}]([0-9]+)", 1)
+    return last.try_cast("int")
 
 
 def common_start(names: Column) -> Column:

@@ -13,23 +13,36 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
 
+#: Places by position: `name_t_w_z`.
+_THREE = r"_([0-9]+)_([^_/]+)_([0-9]+)$"
+
+
+def _parts(paths: DataFrame) -> DataFrame:
+    """(path, folder, base, t, w, z): what a name's marks say. A row of its own for each name, so that no part is found again wherever it is used."""
+    file = F.substring_index("path", "/", -1)
+    folder = F.left("path", F.length("path") - F.length(file))
+    parts = F.struct(folder.alias("folder"), stem(file).alias("base"), *[place_in_series(F.col("path"), a).alias(a) for a in "twz"])
+    return paths.select("path", F.inline(F.array(parts)))
+
+
 def manifest(paths: DataFrame) -> DataFrame:
     """(series, path, t, w, z): places by marks like `_z001-t02_c1`; where no name of a series has one, by the last three numbers `name_t_w_z`.
 
     A series is a folder and the name without its marks and numbers. An axis that the names don't mark is 0.
+    Only names without marks meet the labels of their series; the others are not shuffled.
     """
-    base = stem(F.regexp_extract("path", r"([^/]*)$", 1))
-    three = r"_([0-9]+)_([^_/]+)_([0-9]+)$"
-    named = paths.select("path", base.alias("base"), F.regexp_extract("path", r"^(.*/)?", 0).alias("folder"), *[place_in_series(F.col("path"), a).alias(a) for a in "twz"])
     marked = F.coalesce("t", "w", "z").isNotNull()
-    plain = ~marked & F.col("base").rlike(three)
-    name = F.when(marked, F.regexp_replace("base", "[_-][zZtTwWcC][0-9]+", "")).when(plain, F.regexp_replace("base", three, ""))
-    rows = named.select("path", F.concat("folder", name).alias("series"), "t", "w", "z", "base", plain.alias("plain")).where("series IS NOT NULL")
-    last = lambda g: F.regexp_extract("base", three, g)
-    labels = rows.where("plain").groupBy("series").agg(F.array_sort(F.collect_set(last(2))).alias("labels"))  # channels of a series
-    both = rows.join(labels, "series", "left")
-    take = lambda c, other: F.coalesce(F.when(F.col("plain"), other).otherwise(F.col(c)).cast("long"), F.lit(0)).alias(c)
-    return both.select("series", "path", take("t", last(1).try_cast("long")), take("w", F.array_position("labels", last(2)) - 1), take("z", last(3).try_cast("long")))
+    by_marks = _parts(paths).where(marked).select(
+        F.concat("folder", F.regexp_replace("base", "[_-][zZtTwWcC][0-9]+", "")).alias("series"), "path", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in "twz"]
+    )
+    ending = _THREE.removesuffix("$") + r"\R?(\.[^./]*)?$"  # all whose stem ends so, and some more
+    plain = _parts(paths.where(F.col("path").rlike(ending))).where(~marked & F.col("base").rlike(_THREE))
+    last = lambda g: F.regexp_extract("base", _THREE, g)
+    rows = plain.select(F.concat("folder", F.regexp_replace("base", _THREE, "")).alias("series"), "path", last(1).alias("t"), last(2).alias("label"), last(3).alias("z"))
+    labels = rows.groupBy("series").agg(F.array_sort(F.collect_set("label")).alias("labels"))  # channels of a series
+    number = lambda c: F.coalesce(F.col(c).try_cast("long"), F.lit(0)).alias(c)
+    by_numbers = rows.join(labels, "series").select("series", "path", number("t"), (F.array_position("labels", F.col("label")) - 1).alias("w"), number("z"))
+    return by_marks.unionByName(by_numbers)
 
 
 def missing(series: DataFrame) -> DataFrame:

@@ -74,6 +74,25 @@ def test_series_and_their_gaps(spark, tmp_path):
     assert series.manifest(series.files(spark, str(tmp_path))).count() == 3
 
 
+def test_marked_names_meet_no_labels_and_names_are_parsed_once(spark):
+    """A name's parts are found in one place of the plan, not again in its filters; only names without marks go through the join."""
+    found = series.manifest(spark.createDataFrame([(f"/x/{n}",) for n in NAMES], "path string"))
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Union" in lines[0]
+    marked = lines[1 : next(i for i, line in enumerate(lines) if "Join" in line)]
+    assert any("Generate" in line for line in marked)
+    assert not [line for line in marked if "Filter" in line and "regexp" in line]
+
+
+def test_odd_names_of_series(spark):
+    names = ["/x/a_1_b_2_z3.tif", "/x/a_1_b_2.tif", "/x/a_1_c_2", "/x/a_1_b.c_2", "/x/d_z99999999999.tif", "/x/d_0_e_99999999999999999999.tif", "/x/f_5_g_6_z99999999999.tif", "/y\nz/a_t1-t02.tif", "h-Z1_C2.x_z7", "/z1/x_z9/no.tif", "/x/i_3_k_4\n.tif", "/x/.z_z1", ""]
+    found = series.manifest(spark.createDataFrame([(n,) for n in names], "path string"))
+    assert {r.path: (r.series, r.t, r.w, r.z) for r in found.collect()} == {
+        "/x/a_1_b_2_z3.tif": ("/x/a_1_b_2", 0, 0, 3), "/x/a_1_b_2.tif": ("/x/a", 1, 0, 2), "/x/a_1_c_2": ("/x/a", 1, 1, 2), "/x/d_0_e_99999999999999999999.tif": ("/x/d", 0, 0, 0),
+        "/y\nz/a_t1-t02.tif": ("/y\nz/a", 2, 0, 0), "h-Z1_C2.x_z7": ("h", 0, 2, 7), "/x/i_3_k_4\n.tif": ("/x/i\n", 3, 0, 4), "/x/.z_z1": ("/x/.z", 0, 0, 1),
+    }
+
+
 def spline(values, x):
     """By the whole system of equations."""
     n = len(values)
