@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planecraft.functions.names import place_in_series, stem
+from planecraft.plans.storage import stored
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -46,12 +47,12 @@ def manifest(paths: DataFrame) -> DataFrame:
 
 
 def missing(series: DataFrame) -> DataFrame:
-    """(series, t, w, z): places of the grid of a series' frames, channels and sections without a file."""
-    axes = series.groupBy("series").agg(*[F.collect_set(c).alias(c) for c in "twz"])  # the places of an axis, not of the grid
-    grid = axes
-    for c in "twz":
-        grid = grid.withColumn(c, F.explode(c))
-    return grid.join(series, ["series", "t", "w", "z"], "leftanti")
+    """(series, t, w, z): places of the grid of a series' frames, channels and sections without a file. The places that have one are stored, so names are parsed once."""
+    cells = stored(series.select("series", "t", "w", "z").distinct(), "cells")
+    grid, *others = (cells.select("series", c).distinct() for c in "twz")
+    for axis in others:
+        grid = grid.join(axis, "series")
+    return grid.join(cells, ["series", "t", "w", "z"], "leftanti")
 
 
 def repeated(series: DataFrame) -> DataFrame:

@@ -84,6 +84,12 @@ def test_marked_names_meet_no_labels_and_names_are_parsed_once(spark):
     assert not [line for line in marked if "Filter" in line and "regexp" in line]
 
 
+def test_gaps_parse_names_once(spark):
+    """The axes and the look for gaps read stored places, no names."""
+    found = series.manifest(spark.createDataFrame([(f"/x/{n}",) for n in NAMES], "path string"))
+    assert "regexp" not in series.missing(found)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_odd_names_of_series(spark):
     names = ["/x/a_1_b_2_z3.tif", "/x/a_1_b_2.tif", "/x/a_1_c_2", "/x/a_1_b.c_2", "/x/d_z99999999999.tif", "/x/d_0_e_99999999999999999999.tif", "/x/f_5_g_6_z99999999999.tif", "/y\nz/a_t1-t02.tif", "h-Z1_C2.x_z7", "/z1/x_z9/no.tif", "/x/i_3_k_4\n.tif", "/x/.z_z1", ""]
     found = series.manifest(spark.createDataFrame([(n,) for n in names], "path string"))
