@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planecraft.operators.fitting import images
+from planecraft.operators.fitting import images, in_portions
 from planecraft.operators.kernels import affine
 from planecraft.operators.params import NAMES, SHIFTS, ZOOMS
 from planecraft.operators.registration import aligned, shift_between
@@ -170,7 +170,7 @@ def applied(planes: DataFrame, params: DataFrame, crop: bool = True, order: int
     turning = ["ty", "tx", "r", "my", "mx"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_portions(batches):
             rest = np.array([0.0, 0.0, 0.0, 1.0, 1.0])
             values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in turning], 1)
             made = [(a if (q == rest).all() else affine(a, *q, order=order)).ravel() for a, q in zip(images(batch), values)]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planecraft.operators.fitting import images
+from planecraft.operators.fitting import images, in_portions
 from planecraft.operators.local import sampled
 from planecraft.plans.shipping import ship
 
@@ -106,9 +106,7 @@ def filtered(planes: DataFrame, kernel: Callable[..., np.ndarray], *args, **name
     ship(planes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_portions(batches):
             own, made = images(batch), [None] * batch.num_rows
             for shape in {a.shape for a in own}:
                 at = [i for i, a in enumerate(own) if a.shape == shape]

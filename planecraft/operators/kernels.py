@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planecraft.operators.fitting import images
+from planecraft.operators.fitting import images, in_portions
 from planecraft.plans.shipping import ship
 
 
@@ -106,7 +106,7 @@ def resampled(planes: DataFrame, params: dict[str, float], order: int = 1) -> Da
     ship(planes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_portions(batches):
             made = [affine(x, **params, order=order).ravel() for x in images(batch)]
             yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(made, pa.list_(pa.float64())))
 

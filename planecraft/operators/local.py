@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planecraft.operators.fitting import images
+from planecraft.operators.fitting import images, in_portions
 from planecraft.operators.kernels import cubic, places
 from planecraft.operators.reduce import moments
 from planecraft.operators.registration import shift_between
@@ -141,7 +141,7 @@ def remapped(planes: DataFrame, maps: DataFrame, order: int = 1, params: DataFra
     rest = {"ty": 0.0, "tx": 0.0, "r": 0.0, "my": 1.0, "mx": 1.0}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_portions(batches):
             made = []
             values = zip(*(batch.column(c).to_pylist() for c in rest))
             for a, dy, dx, p in zip(images(batch), images(batch, "dy"), images(batch, "dx"), values):

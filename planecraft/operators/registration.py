@@ -1,6 +1,6 @@
 """Alignment of planes: correlation with a sub-pixel peak, shift, rotation and zoom from four quadrants, and its application.
 
-Spark pairs the planes and deals the pairs; a task holds the planes of one Arrow batch. Parameters (ty, tx, r, my, mx)
+Spark pairs the planes and deals the pairs; a task holds the planes of one Arrow batch, and makes some megabytes of new ones at a time. Parameters (ty, tx, r, my, mx)
 describe the map that `kernels.affine` applies: rotation (degrees) and zoom about the middle, then a shift.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planecraft.operators.fitting import brightest, images, simplex, window
+from planecraft.operators.fitting import brightest, images, in_portions, simplex, window
 from planecraft.operators.kernels import affine
 from planecraft.plans.shipping import ship
 from planecraft.plans.storage import checked
@@ -196,7 +196,7 @@ def applied(planes: DataFrame, params: DataFrame) -> DataFrame:
     both = planes.join(checked(params.select("w", "ty", "tx", "r", "my", "mx"), "parameters"), "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_portions(batches):
             p = zip(*(batch.column(c).to_pylist() for c in ("ty", "tx", "r", "my", "mx")))
             made = [affine(a, *q).ravel() for a, q in zip(images(batch), p)]
             kept = batch.select(["z", "w", "ny", "nx"])

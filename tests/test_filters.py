@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planecraft.operators import filters
 
@@ -53,3 +54,16 @@ def test_shift_zoom_and_band_stop():
     assert filters.band_stop(smooth, 2) == pytest.approx(smooth)
     size, angle = filters.size_and_phase(A)
     assert size[:, 4, 5] == pytest.approx(np.abs(A.sum((1, 2))))
+
+
+def test_a_whole_batch_of_planes_is_not_worked_on_at_once(spark):
+    """300 planes of 64 x 64 are 9.8 MB in one batch."""
+
+    def most(a):
+        assert a.nbytes <= 2 << 20, a.nbytes
+        return a + 1
+
+    data = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda p: (p + F.col("id")).cast("double"))
+    planes = spark.range(300).coalesce(1).select(F.col("id").alias("z"), F.lit(0).alias("w"), F.lit(64).alias("ny"), F.lit(64).alias("nx"), data.alias("data"))
+    made = filters.filtered(planes, most).select("z", F.size("data").alias("n"), F.get("data", F.lit(0)).alias("first"), F.get("data", F.lit(4095)).alias("last"))
+    assert sorted(map(tuple, made.collect())) == [(z, 4096, z + 1.0, z + 4096.0) for z in range(300)]
